@@ -1,0 +1,59 @@
+"""Find keys too large for one task, so that they can take another route."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 5_000_000
+HOT_ROWS_SETTING = "clickloom.hotKeyRows"
+MAX_HOT_KEYS = 4_000
+SAMPLED_ROWS = 20_000_000
+
+
+def hot_row_limit(df: DataFrame) -> int:
+    """Rows of one key that a single task may still hold; a session setting overrides it."""
+    return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
+
+
+def find_hot_keys(df: DataFrame, key: str, limit: int | None = None, seed: int = 23) -> list:
+    """Keys estimated to hold more than ``limit`` rows.
+
+    A table no larger than the limit cannot have one. On huge tables the limit grows to
+    ``total / MAX_HOT_KEYS``, so the list that reaches the driver is bounded. Keys are
+    counted on a sample; missing a borderline key costs time, never rows.
+    """
+    total = df.count()
+    limit = max(limit or hot_row_limit(df), total // MAX_HOT_KEYS)
+    if total <= limit:
+        return []
+    narrow = df.select(key).where(F.col(key).isNotNull())
+    fraction = min(1.0, SAMPLED_ROWS / total)
+    if fraction < 1.0:
+        narrow = narrow.sample(fraction=fraction, seed=seed)
+    counted = narrow.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return [row[key] for row in counted.where(F.col("n") > limit * fraction).collect()]
+
+
+def is_hot(df: DataFrame, key: str, hot: list) -> Column:
+    return F.coalesce(F.col(key).isin(hot), F.lit(False))
+
+
+def by_key_size(
+    df: DataFrame,
+    key: str,
+    plain: Callable[[DataFrame], DataFrame],
+    hot: Callable[[DataFrame], DataFrame],
+    limit: int | None = None,
+) -> DataFrame:
+    """Apply ``plain`` to ordinary keys and ``hot`` to oversized ones; both give whole results.
+
+    Without oversized keys the plan is just ``plain(df)``.
+    """
+    keys = find_hot_keys(df, key, limit)
+    if not keys:
+        return plain(df)
+    chosen = is_hot(df, key, keys)
+    return plain(df.where(~chosen)).unionByName(hot(df.where(chosen)))
