@@ -106,7 +106,7 @@ def activity_percentile(sessions: DataFrame, fraction: float = 0.999) -> DataFra
     """
     sizes = sessions.groupBy("total_activity_count").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(
-        F.percentile("total_activity_count", fraction, "n").alias("maximum_activity_count")
+        F.percentile("total_activity_count", fraction, F.col("n")).alias("maximum_activity_count")
     )
 
 
