@@ -15,10 +15,10 @@ from clickloom.operators import model as conversion_model
 from clickloom.operators import ordering, validate
 from clickloom.plans import dashboards
 from clickloom.plans.reference_tables import percentile_table, scoring_thresholds
-from clickloom.schema import EVENT_COLUMNS, INTERVAL_STATISTICS, SCORED_STATISTICS
+from clickloom.schema import CLEAN_SCHEMA, EVENT_COLUMNS, INTERVAL_STATISTICS, SCORED_STATISTICS
 from clickloom.session import fresh_path, materialize
 from clickloom.sources import files, sinks
-from clickloom.sources.fixtures import clickstream
+from clickloom.sources.fixtures import SENTINEL, clickstream, stage_replay
 from clickloom.streaming import routes
 from clickloom.streaming import sessions as session_stream
 
@@ -396,7 +396,7 @@ def rank_lookup(spark, sf_dir):
     return stats.select(
         "user_session",
         *[
-            percentile_rank_lookup(F.col(name) * F.lit(0.9), table[name]).alias(f"{name}_rank")
+            percentile_rank_lookup(f"{name} * 0.9D", table[name]).alias(f"{name}_rank")
             for name in SCORED_STATISTICS
         ],
     )
@@ -1200,3 +1200,189 @@ def chart_model_table(spark, sf_dir):
 )
 def session_drilldown(spark, sf_dir):
     return sessions.session_drilldown(clickstream(spark, sf_dir, "lifetime"), "7")
+
+
+# ---------------------------------------------------------------- streaming
+
+REPLAY_CUTS = ["2024-01-10", "2024-01-20"]
+
+
+def _finished(stream_query) -> None:
+    stream_query.awaitTermination()
+
+
+def _session_updates(spark: SparkSession, sf_dir: str) -> str:
+    """Replay all events through the scoring stream; the path of the stored updates."""
+    folder, out = fresh_path(spark, "replay"), fresh_path(spark, "updates")
+    stage_replay(clickstream(spark, sf_dir, "lifetime"), folder, REPLAY_CUTS)
+    events = (
+        spark.readStream.schema("user_session string, event_time timestamp")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(folder)
+    )
+    updates = session_stream.score_sessions_stream(
+        events, _thresholds(spark, sf_dir), S.TIMEOUT_MS, threshold=S.THRESHOLD
+    )
+    _finished(
+        session_stream.write_session_updates(
+            updates, out, fresh_path(spark, "checkpoint"), available_now=True
+        )
+    )
+    return out
+
+
+_STREAM_COLUMNS = """user_session, last_event_time, event_count, interval_count,
+  mean_click_interval_ms, min_click_interval_ms, sd_click_interval_ms, bot_score, is_bot,
+  session_status, closed_at"""
+
+
+@query(
+    "score_sessions_stream",
+    S.with_clicks(
+        f"SELECT {_STREAM_COLUMNS} FROM ({_ACTIVE_SQL.replace(' FROM scored', ', CAST(NULL AS TIMESTAMP) AS closed_at FROM scored')})"
+        f" UNION ALL SELECT {_STREAM_COLUMNS} FROM ("
+        + _CLOSED_SQL.replace("FROM scored", "FROM scored WHERE is_last")
+        + ")",
+        *_SCORING,
+        S.RUNNING,
+        S.SCORED.replace("scored AS (", "plain AS ("),
+        "scored AS (SELECT *, row_number() OVER (PARTITION BY user_session, session_seq ORDER BY t DESC) = 1 "
+        "AS is_last FROM plain)",
+        sessions="lifetime",
+    ),
+)
+def score_sessions_stream(spark, sf_dir):
+    """Active and closed rows of the scoring stream over a replay of all events."""
+    rows = spark.read.parquet(_session_updates(spark, sf_dir)).where(F.col("user_session") != SENTINEL)
+    return _rounded(_ntz(rows, "last_event_time", "closed_at"), _SCORE_DIGITS)
+
+
+@query("bot_rate_stream", _scoring_sql(_METRICS_SQL, S.metrics(300_000)))
+def bot_rate_stream(spark, sf_dir):
+    """Windowed bot metrics from the stored update stream."""
+    updates = session_stream.read_session_updates(spark, _session_updates(spark, sf_dir))
+    metrics = session_stream.bot_rate_stream(updates, threshold=S.THRESHOLD)
+    out = fresh_path(spark, "metrics")
+    writer = metrics.writeStream.format("parquet").option("path", out)
+    writer = writer.option("checkpointLocation", fresh_path(spark, "checkpoint"))
+    _finished(routes.triggered(writer, available_now=True).start())
+    rows = _ntz(spark.read.parquet(out), "window_start", "window_end")
+    return _rounded(rows.where(F.year("window_start") < 2100), _METRIC_DIGITS)
+
+
+@query(
+    "upsert_session_scores",
+    _scoring_sql(
+        f"SELECT {S.SCORE_COLUMNS}, 'closed' AS session_status, make_timestamp((t + {S.TIMEOUT_MS}) * 1000) "
+        "AS closed_at FROM (SELECT * FROM scored "
+        "QUALIFY row_number() OVER (PARTITION BY user_session ORDER BY session_seq DESC) = 1)",
+        running=S.FINAL,
+    ).replace("SELECT user_session, session_seq, make_timestamp(t", "SELECT user_session, make_timestamp(t"),
+)
+def upsert_session_scores(spark, sf_dir):
+    """The score table after the whole stream: each session's newest row."""
+    updates = session_stream.read_session_updates(spark, _session_updates(spark, sf_dir))
+    target = fresh_path(spark, "scores")
+    writes = session_stream.score_writes_stream(updates)
+    _finished(
+        session_stream.upsert_session_scores(
+            writes, target, fresh_path(spark, "checkpoint"), available_now=True
+        )
+    )
+    rows = session_stream.read_session_scores(spark, target).drop("updated_at")
+    rows = rows.where(F.col("user_session") != SENTINEL)
+    return _rounded(_ntz(rows, "last_event_time", "closed_at"), _SCORE_DIGITS)
+
+
+def _raw_folder(spark: SparkSession, sf_dir: str) -> str:
+    folder = fresh_path(spark, "raw")
+    _raw(spark, sf_dir).select("payload").write.parquet(folder)
+    return folder
+
+
+@query(
+    "validation_stream",
+    S.with_clicks(
+        "SELECT CASE WHEN failure_reason IS NULL THEN 'clean' ELSE 'dlq' END AS route, failure_reason, "
+        "count(*) AS records FROM checked GROUP BY ALL",
+        S.TEXTS, S.CORRUPTED, S.CHECKED,
+    ),
+)
+def validation_stream(spark, sf_dir):
+    """Records per route after streaming all raw payloads through validation."""
+    raw = routes.stream_source_json(spark, "parquet", {"path": _raw_folder(spark, sf_dir)})
+    clean, dlq = fresh_path(spark, "clean"), fresh_path(spark, "dlq")
+    _finished(
+        routes.validation_stream(
+            raw, routes.batch_folder_writer(clean), routes.batch_folder_writer(dlq),
+            fresh_path(spark, "checkpoint"), available_now=True,
+        )
+    )
+    accepted = spark.read.parquet(clean).select(
+        F.lit("clean").alias("route"), F.lit(None).cast("string").alias("failure_reason")
+    )
+    rejected = spark.read.parquet(dlq).select(F.lit("dlq").alias("route"), "failure_reason")
+    both = accepted.unionByName(rejected).groupBy("route", "failure_reason")
+    return both.agg(F.count(F.lit(1)).alias("records"))
+
+
+def _clean_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "clean")
+    validate.route(_raw(spark, sf_dir))[0].write.parquet(folder)
+    return spark.readStream.schema(CLEAN_SCHEMA).parquet(folder)
+
+
+@query(
+    "archive_stream",
+    S.with_clicks(
+        f"SELECT {_FIELDS}, strftime(event_timestamp, '%Y-%m-%d') AS event_date FROM checked "
+        "WHERE failure_reason IS NULL",
+        S.TEXTS, S.CORRUPTED, S.CHECKED,
+    ),
+)
+def archive_stream(spark, sf_dir):
+    path = fresh_path(spark, "archive")
+    stream = _clean_stream(spark, sf_dir)
+    _finished(routes.archive_stream(stream, path, fresh_path(spark, "checkpoint"), available_now=True))
+    return spark.read.parquet(path).withColumn("event_date", F.col("event_date").cast("string"))
+
+
+@query(
+    "keyed_stream_sink",
+    S.with_clicks(
+        f"SELECT user_session AS key, CAST({_PAYLOAD_SQL} AS VARCHAR) AS value FROM checked "
+        "WHERE failure_reason IS NULL",
+        S.TEXTS, S.CORRUPTED, S.CHECKED,
+    ),
+)
+def keyed_stream_sink(spark, sf_dir):
+    path = fresh_path(spark, "keyed")
+    stream = _clean_stream(spark, sf_dir)
+    _finished(
+        routes.keyed_stream_sink(
+            stream, "parquet", {"path": path}, fresh_path(spark, "checkpoint"), available_now=True
+        )
+    )
+    return spark.read.parquet(path)
+
+
+@query(
+    "dlq_sink",
+    S.with_clicks(
+        f"SELECT CAST({_PAYLOAD_SQL} AS VARCHAR) AS original_payload, failure_reason FROM checked "
+        "WHERE failure_reason IS NOT NULL",
+        S.TEXTS, S.CORRUPTED, S.CHECKED,
+    ),
+)
+def dlq_sink(spark, sf_dir):
+    raw = routes.stream_source_json(spark, "parquet", {"path": _raw_folder(spark, sf_dir)})
+    path = fresh_path(spark, "dead-letters")
+    rejected = validate.route(raw)[1]
+    _finished(
+        routes.dlq_sink(
+            rejected, "parquet", {"path": path}, fresh_path(spark, "checkpoint"), available_now=True
+        )
+    )
+    fields = "original_payload string, failure_reason string"
+    rows = spark.read.parquet(path).select(F.from_json("value", fields).alias("r"))
+    return rows.select("r.*")

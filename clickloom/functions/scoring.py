@@ -11,23 +11,25 @@ from clickloom.functions.search import count_at_or_below
 from clickloom.schema import BOT_SCORE_THRESHOLD, SCORE_BUCKET_LABELS, SCORED_STATISTICS
 
 
-def percentile_rank_lookup(value: Column, thresholds: Sequence[float]) -> Column:
+def percentile_rank_lookup(value: str, thresholds: Sequence[float]) -> Column:
     """Highest percentile whose threshold is ``<= value``; 0 below all of them.
 
-    ``thresholds[p]`` is the value at percentile ``p`` and never decreases with ``p``.
+    ``value`` is a column name or SQL expression; ``thresholds[p]`` is the value at
+    percentile ``p`` and never decreases with ``p``.
     """
     return F.greatest(count_at_or_below(value, list(thresholds)) - 1, F.lit(0))
 
 
 def bot_score(
-    mean: Column, minimum: Column, sd: Column, table: Mapping[str, Sequence[float]]
+    mean: str, minimum: str, sd: str, table: Mapping[str, Sequence[float]]
 ) -> Column:
     """Average distance from the top percentile; 0.0 until all three statistics exist."""
+    values = (mean, minimum, sd)
     shares = [
         (100 - percentile_rank_lookup(value, table[name])) / F.lit(100.0)
-        for value, name in zip((mean, minimum, sd), SCORED_STATISTICS)
+        for value, name in zip(values, SCORED_STATISTICS)
     ]
-    missing = mean.isNull() | minimum.isNull() | sd.isNull()
+    missing = F.expr(" OR ".join(f"({value}) IS NULL" for value in values))
     return F.when(missing, F.lit(0.0)).otherwise((shares[0] + shares[1] + shares[2]) / F.lit(3.0))
 
 

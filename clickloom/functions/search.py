@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def count_at_or_below(value: Column, bounds: Sequence) -> Column:
+def sql_literal(value) -> str:
+    """A Python number, string or tuple as SQL text."""
+    if isinstance(value, tuple):
+        return f"struct({', '.join(sql_literal(part) for part in value)})"
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+    return f"{value}L"
+
+
+def count_at_or_below(value: str, bounds: Sequence) -> Column:
     """How many of the sorted ``bounds`` are ``<= value``; 0 when ``value`` is null.
 
-    Built as a balanced tree of comparisons, so a lookup costs log2(len(bounds)) steps
-    inside generated code. A bound may be a tuple when ``value`` is a struct.
+    ``value`` is a column name or SQL expression. The lookup is a balanced tree of
+    comparisons, log2(len(bounds)) steps inside generated code, handed over as one text
+    because building it node by node costs seconds. A bound may be a tuple when ``value`` is
+    a struct.
     """
 
-    def literal(bound) -> Column:
-        if isinstance(bound, tuple):
-            return F.struct(*[F.lit(part) for part in bound])
-        return F.lit(bound)
-
-    def subtree(low: int, high: int) -> Column:
+    def subtree(low: int, high: int) -> str:
         if low == high:
-            return F.lit(low)
+            return str(low)
         middle = (low + high + 1) // 2
-        return F.when(value >= literal(bounds[middle - 1]), subtree(middle, high)).otherwise(
-            subtree(low, middle - 1)
+        return (
+            f"CASE WHEN {value} >= {sql_literal(bounds[middle - 1])} "
+            f"THEN {subtree(middle, high)} ELSE {subtree(low, middle - 1)} END"
         )
 
-    return subtree(0, len(bounds))
+    return F.expr(subtree(0, len(bounds)))

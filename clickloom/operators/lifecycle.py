@@ -15,7 +15,7 @@ from clickloom.functions.scoring import bot_score, is_bot, mean_of, sample_sd, s
 from clickloom.functions.times import epoch_millis, millis_to_time
 from clickloom.operators.hotkeys import by_key_size
 from clickloom.operators.ordering import CHUNK, lag_in_order, running_in_order, with_chunks
-from clickloom.schema import BOT_SCORE_THRESHOLD, SESSION_TIMEOUT_MS
+from clickloom.schema import BOT_SCORE_THRESHOLD, SCORED_STATISTICS, SESSION_TIMEOUT_MS
 from clickloom.session import materialize
 
 TIME = "_t"
@@ -96,12 +96,7 @@ def _scored(
         F.col("_low").cast("double").alias("min_click_interval_ms"),
         sample_sd(intervals, F.col("_total"), F.col("_squares")).alias("sd_click_interval_ms"),
     )
-    score = bot_score(
-        F.col("mean_click_interval_ms"),
-        F.col("min_click_interval_ms"),
-        F.col("sd_click_interval_ms"),
-        table,
-    )
+    score = bot_score(*SCORED_STATISTICS, table)
     return rows.withColumn("bot_score", score).select(
         key,
         SEQ,

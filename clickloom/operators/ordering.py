@@ -59,7 +59,7 @@ def with_chunks(
     """Add the chunk number. ``order`` holds numeric or string columns."""
     if boundaries is None:
         boundaries = sample_boundaries(df, order, chunks)
-    value = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    value = order[0] if len(order) == 1 else f"struct({', '.join(order)})"
     return df.withColumn(CHUNK, count_at_or_below(value, boundaries))
 
 

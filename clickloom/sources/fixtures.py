@@ -55,3 +55,29 @@ def clickstream(spark: SparkSession, sf_dir: str, sessions: str = "daily") -> Da
         )
         .select("event_id", *EVENT_COLUMNS)
     )
+
+
+SENTINEL = "~end-of-replay"
+
+
+def stage_replay(events: DataFrame, folder: str, cuts: list[str]) -> None:
+    """Lay out events as a followed folder: one write per time range, in time order.
+
+    Two far-future events of a key of their own end the replay, so that the watermark passes
+    every real event and every session timeout.
+    """
+    spark = events.sparkSession
+    narrow = events.select("user_session", F.col("event_time").cast("timestamp").alias("event_time"))
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        piece = narrow
+        if low:
+            piece = piece.where(F.col("event_time") >= F.lit(low).cast("timestamp"))
+        if high:
+            piece = piece.where(F.col("event_time") < F.lit(high).cast("timestamp"))
+        piece.coalesce(1).write.mode("append").parquet(folder)
+    for end in ("2100-01-01 00:00:00", "2100-01-02 00:00:00"):
+        last = spark.range(1).select(
+            F.lit(SENTINEL).alias("user_session"), F.lit(end).cast("timestamp").alias("event_time")
+        )
+        last.coalesce(1).write.mode("append").parquet(folder)

@@ -104,25 +104,30 @@ def upsert_sink(
     """Record a batch of upserts.
 
     Each batch becomes its own folder of newest rows per key, replaced as a whole if the batch
-    is retried. Nothing already stored is read or rewritten; :func:`read_upserts` lets the
-    newest batch win.
+    is retried. Nothing already stored is read or rewritten; :func:`read_upserts` picks the
+    winner.
     """
     newest = latest_by_key(batch, keys, order_cols)
     newest.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
 
-def read_upserts(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
-    """Current rows: for every key the one from the newest batch."""
+def read_upserts(
+    spark: SparkSession, target: str, keys: Sequence[str], order_cols: Sequence[str] = ()
+) -> DataFrame:
+    """Current rows: for every key the highest order columns, then the newest batch."""
     history = spark.read.option("basePath", target).parquet(target)
-    return latest_by_key(history, keys, ["batch_id"]).drop("batch_id")
+    return latest_by_key(history, keys, [*order_cols, "batch_id"]).drop("batch_id")
 
 
-def compact_upserts(spark: SparkSession, target: str, compacted: str, keys: Sequence[str]) -> DataFrame:
+def compact_upserts(
+    spark: SparkSession, target: str, compacted: str, keys: Sequence[str], order_cols: Sequence[str] = ()
+) -> DataFrame:
     """Fold all batches so far into a new table that later batches can be added to."""
     history = spark.read.option("basePath", target).parquet(target)
     last = history.agg(F.max("batch_id").alias("b")).first()["b"]
-    read_upserts(spark, target, keys).write.mode("overwrite").parquet(f"{compacted}/batch_id={last}")
-    return read_upserts(spark, compacted, keys)
+    current = read_upserts(spark, target, keys, order_cols)
+    current.write.mode("overwrite").parquet(f"{compacted}/batch_id={last}")
+    return read_upserts(spark, compacted, keys, order_cols)
 
 
 def merge_into_table(batch: DataFrame, table: str, keys: Sequence[str], order_cols: Sequence[str]) -> None:

@@ -32,6 +32,7 @@ from clickloom.schema import (
     SESSION_UPDATE_SCHEMA,
 )
 from clickloom.session import ROCKSDB_PROVIDER, STATE_STORE_KEY
+from clickloom.sources.sinks import read_upserts, upsert_sink
 from clickloom.streaming.routes import triggered
 
 STATE_SCHEMA = T.StructType(
@@ -45,6 +46,9 @@ STATE_SCHEMA = T.StructType(
         T.StructField("waiting", T.ArrayType(T.LongType())),
     ]
 )
+SCORE_KEYS = ["user_session"]
+# A row with later events wins; at equal events the closing row does.
+SCORE_ORDER = ["last_event_time", "event_count", "session_status"]
 UPDATE_COLUMNS = SESSION_UPDATE_SCHEMA.fieldNames()
 EPOCH = datetime(1970, 1, 1)
 
@@ -265,6 +269,23 @@ def score_writes_stream(updates: DataFrame, size: str = "1 minute") -> DataFrame
     return latest.union(closed)
 
 
+def upsert_session_scores(
+    writes: DataFrame, target: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Keep the score table, one current row per session, read by read_session_scores."""
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        stamped = batch.withColumn("updated_at", F.current_timestamp())
+        upsert_sink(stamped, batch_id, target, SCORE_KEYS, SCORE_ORDER)
+
+    writer = writes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    return triggered(writer, available_now).start()
+
+
+def read_session_scores(spark, target: str) -> DataFrame:
+    return read_upserts(spark, target, SCORE_KEYS, SCORE_ORDER)
+
+
 def session_gauges(query: StreamingQuery) -> dict[str, int]:
     """Sessions held in state, and rows dropped or emitted by the last batch."""
     progress = query.lastProgress
