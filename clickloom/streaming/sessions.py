@@ -214,8 +214,8 @@ def score_sessions_stream(
 ) -> DataFrame:
     """Streaming session updates with status ``active``, ``closed`` or ``late``.
 
-    ``late`` rows only report how many events a batch dropped for a session. Repeated times
-    of a session collapse before the shuffle, since they never change its state.
+    ``late`` rows only report how many events a batch dropped for a session; the engine itself
+    drops those at or below the watermark of the batch before.
     """
     spark = events.sparkSession
     spark.conf.set(STATE_STORE_KEY, ROCKSDB_PROVIDER)
@@ -287,13 +287,14 @@ def read_session_scores(spark, target: str) -> DataFrame:
 
 
 def session_gauges(query: StreamingQuery) -> dict[str, int]:
-    """Sessions held in state, and rows dropped or emitted by the last batch."""
-    progress = query.lastProgress
-    operators = (progress or {}).get("stateOperators") or []
-    if not operators:
-        return {"active_sessions": 0, "state_bytes": 0}
-    first = operators[0]
+    """Sessions held in state, and late events the engine dropped before they reached the
+    processor. Late events of the newest watermark step show up as ``late`` rows instead."""
+    batches = [batch["stateOperators"] for batch in query.recentProgress if batch["stateOperators"]]
+    if not batches:
+        return {"active_sessions": 0, "state_bytes": 0, "dropped_late_events": 0}
+    newest = batches[-1][0]
     return {
-        "active_sessions": first["numRowsTotal"],
-        "state_bytes": first["memoryUsedBytes"],
+        "active_sessions": newest["numRowsTotal"],
+        "state_bytes": newest["memoryUsedBytes"],
+        "dropped_late_events": sum(operators[0]["numRowsDroppedByWatermark"] for operators in batches),
     }
