@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 5_000_000
 HOT_ROWS_SETTING = "clickloom.hotKeyRows"
 MAX_HOT_KEYS = 4_000
-SAMPLED_ROWS = 20_000_000
+SAMPLED_ROWS = 1_000_000
 
 
 def hot_row_limit(df: DataFrame) -> int:

@@ -27,12 +27,12 @@ def perturb_delay(
     kind = df.schema[ts].dataType.simpleString()
     if probability == 0 or mean_seconds == 0:
         return df.withColumns({"send_time": F.col(ts), "delayed": F.lit(False)})
-    chosen = hash_uniform(f"{seed}-pick", F.col(row_id)) < F.lit(float(probability))
     draw = hash_uniform(f"{seed}-size", F.col(row_id))
+    chosen = hash_uniform(f"{seed}-pick", F.col(row_id)) < F.lit(float(probability))
     micros = F.round(-F.log(1 - draw) * F.lit(mean_seconds * 1e6)).cast("bigint")
     late = F.timestamp_micros(epoch_micros(F.col(ts)) + micros).cast(kind)
-    return df.withColumns(
-        {"send_time": F.when(chosen, late).otherwise(F.col(ts)), "delayed": chosen}
+    return df.withColumn("delayed", chosen).withColumn(
+        "send_time", F.when(F.col("delayed"), late).otherwise(F.col(ts))
     )
 
 
@@ -43,16 +43,15 @@ def perturb_corrupt(
 
     Expects the text columns of a raw record.
     """
-    pick = hash_uniform(f"{seed}-kind", F.col(row_id)) * len(CORRUPTIONS)
-    kind = F.floor(pick).cast("int")
+    draw = hash_uniform(f"{seed}-kind", F.col(row_id)) * len(CORRUPTIONS)
     chosen = hash_uniform(f"{seed}-pick", F.col(row_id)) < F.lit(float(probability))
-    reason = F.lit(None).cast("string")
-    changed = {}
+    drawn = df.withColumn("_kind", F.when(chosen, F.floor(draw).cast("int")))
+    changed = {"corruption_reason": F.lit(None).cast("string")}
     for number, (name, field, value) in enumerate(CORRUPTIONS):
-        hit = chosen & (kind == number)
-        reason = F.when(hit, F.lit(name)).otherwise(reason)
+        hit = F.coalesce(F.col("_kind") == number, F.lit(False))
+        changed["corruption_reason"] = F.when(hit, F.lit(name)).otherwise(changed["corruption_reason"])
         changed[field] = F.when(hit, F.lit(value)).otherwise(F.col(field))
-    return df.withColumns({**changed, "corruption_reason": reason})
+    return drawn.withColumns(changed).drop("_kind")
 
 
 def replay_tick(

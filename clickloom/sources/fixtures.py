@@ -30,10 +30,10 @@ def clickstream(spark: SparkSession, sf_dir: str, sessions: str = "daily") -> Da
         kind = F.when(F.col("event_type") == source, target).otherwise(kind)
     user = F.col("user_id").cast("string")
     session = {
-        "daily": F.concat(user, F.lit("-"), F.date_format("ts", "yyyy-MM-dd")),
+        "daily": F.concat(user, F.lit("-"), F.to_date("ts").cast("string")),
         "lifetime": user,
     }[sessions]
-    group = F.floor(F.col("product_id") / 10).cast("bigint")
+    group = F.call_function("div", F.col("product_id"), F.lit(10))
     return (
         events.withColumn("product_id", product)
         .select(

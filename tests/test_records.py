@@ -175,3 +175,10 @@ def test_session_features_by_hand(spark):
     assert (s.brand, s.category_code, s.converted, s.day_of_week, s.hour_of_day) == ("a", "c", 1, 0, 10)
     assert (s.session_duration_seconds, s.seconds_to_first_cart) == (60, 40)
     assert (t.brand, t.converted, t.seconds_to_first_cart, t.view_count) == ("unknown", 0, None, 0)
+
+
+def test_distinct_sessions_with_unusual_and_missing_values(spark):
+    rows = [("view", "a"), ("view", "a"), ("view", "b"), ("cart", None), ("odd", "a"), ("odd", "c"), (None, "a")]
+    df = spark.createDataFrame(rows, "event_type string, user_session string")
+    found = {r["event_type"]: r["session_count"] for r in sessions.distinct_sessions_by_type(df).collect()}
+    assert found == {"view": 2, "cart": 0, "odd": 2, None: 1}
