@@ -651,6 +651,16 @@ def quality_gates(spark, sf_dir):
     return events.agg(F.count(F.lit(1)).alias("row_count"))
 
 
+@query(
+    "describe_table",
+    """SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double'
+      WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS data_type,
+      true AS nullable FROM (DESCRIBE SELECT * FROM events)""",
+)
+def describe_table(spark, sf_dir):
+    return quality.describe_table(files.read_parquet_dir(spark, f"{sf_dir}/events.parquet"))
+
+
 # ---------------------------------------------------------------- scoring
 
 

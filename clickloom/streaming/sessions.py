@@ -8,10 +8,8 @@ before the watermark yields one ``closed`` row and is forgotten.
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Mapping, Sequence
-from datetime import datetime, timedelta
 from decimal import Decimal
 
 import numpy as np
@@ -50,11 +48,6 @@ SCORE_KEYS = ["user_session"]
 # A row with later events wins; at equal events the closing row does.
 SCORE_ORDER = ["last_event_time", "event_count", "session_status"]
 UPDATE_COLUMNS = SESSION_UPDATE_SCHEMA.fieldNames()
-EPOCH = datetime(1970, 1, 1)
-
-
-def _time(ms: int) -> datetime:
-    return EPOCH + timedelta(milliseconds=ms)
 
 
 class SessionScorer(StatefulProcessor):
@@ -75,55 +68,54 @@ class SessionScorer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         watermark = timerValues.getCurrentWatermarkInMs()
         session = self._load()
-        late, newest_late = 0, None
-        waiting = set(session["waiting"])
+        late, newest_late, waiting = 0, None, [session["waiting"]]
         for frame in rows:
             times = frame["event_ms"].to_numpy(dtype="int64")
             dropped = times[times <= watermark]
             if len(dropped):
                 late += len(dropped)
-                newest_late = max(newest_late or int(dropped.max()), int(dropped.max()))
-            waiting.update(np.unique(times[times > watermark]).tolist())
-        session["waiting"] = sorted(waiting)
+                newest_late = max(newest_late or 0, int(dropped.max()))
+            waiting.append(np.unique(times[times > watermark]))
+        session["waiting"] = np.unique(np.concatenate(waiting))
         self._store(session)
         if late:
-            row = self._row(key, {**session, "last": newest_late, "events": late, "total": 0}, "late")
-            yield self._frame([row])
+            yield self._late_row(key, late, newest_late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         watermark = timerValues.getCurrentWatermarkInMs()
         session = self._load()
         session["timer"] = None
-        out = []
-        ready = [t for t in session["waiting"] if t <= watermark]
-        session["waiting"] = session["waiting"][len(ready):]
-        for event in ready:
-            if session["last"] is not None and event - session["last"] > self.timeout_ms:
-                out.append(self._row(key, session, "closed"))
+        ready = int(np.searchsorted(session["waiting"], watermark, side="right"))
+        times, session["waiting"] = np.split(session["waiting"], [ready])
+        parts = []
+        cuts = np.flatnonzero(np.diff(times) > self.timeout_ms) + 1
+        for piece in np.split(times, cuts) if len(times) else []:
+            if session["last"] is not None and piece[0] - session["last"] > self.timeout_ms:
+                parts.append(self._closed_row(key, session))
                 self._reset(session)
-            self._add(session, event)
-            out.append(self._row(key, session, "active"))
+            parts.append(self._advance(key, session, piece))
         if session["last"] is not None and session["last"] + self.timeout_ms <= watermark:
-            out.append(self._row(key, session, "closed"))
+            parts.append(self._closed_row(key, session))
             self._reset(session)
         self._store(session)
-        if out:
-            yield self._frame(out)
+        if parts:
+            yield pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
 
     def _load(self) -> dict:
         stored = self.state.get()
+        session = {"timer": None, "waiting": np.empty(0, dtype="int64")}
         if stored is None:
-            session = {"timer": None, "waiting": []}
             self._reset(session)
             return session
         session = dict(zip(STATE_SCHEMA.fieldNames(), stored))
-        session["waiting"] = list(session["waiting"] if session["waiting"] is not None else [])
+        waiting = session["waiting"] if session["waiting"] is not None else []
+        session["waiting"] = np.asarray(waiting, dtype="int64")
         session["squares"] = int(session["squares"])
         return session
 
     def _store(self, session: dict) -> None:
         """Keep one timer: the next waiting event or the close, whichever is first."""
-        wanted = [t for t in session["waiting"][:1]]
+        wanted = [int(t) for t in session["waiting"][:1]]
         if session["last"] is not None:
             wanted.append(session["last"] + self.timeout_ms)
         if not wanted:
@@ -137,70 +129,93 @@ class SessionScorer(StatefulProcessor):
                 self.handle.deleteTimer(session["timer"])
             self.handle.registerTimer(timer)
             session["timer"] = timer
-        values = {**session, "squares": Decimal(session["squares"])}
+        values = {
+            **session,
+            "squares": Decimal(session["squares"]),
+            "waiting": session["waiting"].tolist(),
+        }
         self.state.update(tuple(values[name] for name in STATE_SCHEMA.fieldNames()))
 
     @staticmethod
     def _reset(session: dict) -> None:
         session.update(last=None, events=0, total=0, squares=0, low=None)
 
-    @staticmethod
-    def _add(session: dict, event: int) -> None:
-        last = session["last"]
-        if last is None:
-            session.update(last=event, events=1)
-        elif event > last:
-            gap = event - last
-            session["events"] += 1
-            session["total"] += gap
-            session["squares"] += gap * gap
-            session["low"] = gap if session["low"] is None else min(session["low"], gap)
-            session["last"] = event
-
-    def _row(self, key, session: dict, status: str) -> tuple:
-        intervals = session["events"] - 1
-        mean = low = sd = None
-        if status != "late" and intervals > 0:
-            total = session["total"]
-            mean, low = total / intervals, float(session["low"])
-            if intervals > 1:
-                quotient, remainder = divmod(total, intervals)
-                whole = session["squares"] - quotient * total
-                spread = float(whole) - float(remainder * total) / float(intervals)
-                sd = math.sqrt(max(0.0, spread / float(intervals - 1)))
+    def _advance(self, key, session: dict, times: np.ndarray) -> pd.DataFrame:
+        """Add events that all belong to the session; one ``active`` row for each.
+
+        Running sums use Python's whole numbers, so they stay exact at any length.
+        """
+        fresh = session["last"] is None
+        before = times[:1] if fresh else np.array([session["last"]])
+        gaps = np.diff(np.concatenate([before, times])).astype(object)
+        events = session["events"] + np.arange(1, len(times) + 1)
+        totals = session["total"] + np.cumsum(gaps)
+        squares = session["squares"] + np.cumsum(gaps * gaps)
+        known = np.inf if session["low"] is None else float(session["low"])
+        sized = gaps.astype("float64")
+        if fresh:
+            sized[0] = np.inf
+        lows = np.minimum(known, np.minimum.accumulate(sized))
+        session.update(
+            last=int(times[-1]),
+            events=int(events[-1]),
+            total=int(totals[-1]),
+            squares=int(squares[-1]),
+            low=None if np.isinf(lows[-1]) else int(lows[-1]),
+        )
+        return self._rows(key, times, events, totals, squares, lows, "active")
+
+    def _closed_row(self, key, session: dict) -> pd.DataFrame:
+        low = np.inf if session["low"] is None else float(session["low"])
+        one = {name: np.array([session[name]], dtype=object) for name in ("total", "squares")}
+        times, events = np.array([session["last"]]), np.array([session["events"]])
+        rows = self._rows(
+            key, times, events, one["total"], one["squares"], np.array([low]), "closed"
+        )
+        return rows.assign(closed_at=pd.to_datetime(times + self.timeout_ms, unit="ms"))
+
+    def _rows(self, key, times, events, totals, squares, lows, status: str) -> pd.DataFrame:
+        intervals = events - 1
+        mean = np.full(len(times), np.nan)
+        sd = np.full(len(times), np.nan)
+        some, more = intervals > 0, intervals > 1
+        mean[some] = totals[some].astype("float64") / intervals[some]
+        if more.any():
+            total, count = totals[more], intervals[more].astype(object)
+            whole = squares[more] - (total // count) * total
+            rest = (total % count) * total
+            spread = whole.astype("float64") - rest.astype("float64") / count.astype("float64")
+            sd[more] = np.sqrt(np.maximum(0.0, spread / (intervals[more] - 1)))
+        low = np.where(some, lows, np.nan)
         score = self._score(mean, low, sd)
-        closed_at = _time(session["last"] + self.timeout_ms) if status == "closed" else None
-        return (
-            key[0],
-            _time(session["last"]),
-            session["events"],
-            max(intervals, 0),
-            mean,
-            low,
-            sd,
-            score,
-            score >= self.threshold,
-            status,
-            closed_at,
+        return pd.DataFrame(
+            {
+                "user_session": key[0],
+                "last_event_time": pd.to_datetime(times, unit="ms"),
+                "event_count": events,
+                "interval_count": np.maximum(intervals, 0),
+                "mean_click_interval_ms": mean,
+                "min_click_interval_ms": low,
+                "sd_click_interval_ms": sd,
+                "bot_score": score,
+                "is_bot": score >= self.threshold,
+                "session_status": status,
+                "closed_at": pd.Series(pd.NaT, index=range(len(times)), dtype="datetime64[ns]"),
+            }
         )
 
-    def _score(self, *values) -> float:
-        if any(value is None for value in values):
-            return 0.0
+    def _score(self, *values: np.ndarray) -> np.ndarray:
         shares = [
-            (100 - max(0, int(np.searchsorted(bounds, value, side="right")) - 1)) / 100.0
+            (100 - np.maximum(0, np.searchsorted(bounds, value, side="right") - 1)) / 100.0
             for bounds, value in zip(self.thresholds, values)
         ]
-        return (shares[0] + shares[1] + shares[2]) / 3.0
+        score = (shares[0] + shares[1] + shares[2]) / 3.0
+        return np.where(np.isnan(np.sum(values, axis=0)), 0.0, score)
 
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=UPDATE_COLUMNS)
-        for name in ("last_event_time", "closed_at"):
-            frame[name] = pd.to_datetime(frame[name])
-        for name in SCORED_STATISTICS:
-            frame[name] = frame[name].astype("float64")
-        return frame
+    def _late_row(self, key, events: int, newest: int) -> pd.DataFrame:
+        none = np.array([0], dtype=object)
+        rows = self._rows(key, np.array([newest]), np.array([1]), none, none, np.array([np.inf]), "late")
+        return rows.assign(event_count=events)
 
 
 def score_sessions_stream(

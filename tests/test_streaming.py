@@ -184,3 +184,31 @@ def test_archive_layout(spark, sf_dir):
     day = spark.read.parquet(path).where("event_date = '2024-01-03'")
     assert "PartitionFilters: [isnotnull(event_date" in day._jdf.queryExecution().executedPlan().toString()
     assert spark.read.parquet(path).count() == clean.count()
+
+
+def test_failing_stream_restarts_from_its_checkpoint(spark):
+    from pyspark.errors import StreamingQueryException
+
+    from clickloom.streaming.supervise import run_with_restarts
+
+    folder, checkpoint, out = (fresh_path(spark, n) for n in ("in", "checkpoint", "out"))
+    for part in range(3):
+        spark.range(part * 10, part * 10 + 10).coalesce(1).write.mode("append").parquet(folder)
+    failures = []
+
+    def start(always=False):
+        def write(batch, batch_id):
+            if batch_id == 1 and (always or len(failures) < 2):
+                failures.append(batch_id)
+                raise RuntimeError("lost")
+            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+        source = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(folder)
+        writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()
+
+    with pytest.raises(StreamingQueryException):
+        run_with_restarts(lambda: start(always=True), attempts=1)
+    run_with_restarts(start, attempts=3, delay_seconds=0.1)
+    assert len(failures) == 2
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(30))
