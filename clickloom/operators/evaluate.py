@@ -126,8 +126,8 @@ def roc_curve(steps: DataFrame) -> DataFrame:
         rate("tp", positives).alias("tpr"),
         F.col("score").alias("threshold"),
     )
-    origin = steps.sparkSession.createDataFrame(
-        [(0.0, 0.0, float("inf"))], "fpr double, tpr double, threshold double"
+    origin = steps.sparkSession.range(1).select(
+        F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold")
     )
     return origin.unionByName(points)
 

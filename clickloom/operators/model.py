@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.schema import CATEGORY_COLUMNS, FEATURE_COLUMNS
+from clickloom.session import ensure_checkpoints
 
 ROUNDS = 300
 DEPTH = 4
@@ -61,7 +62,12 @@ def train_conversion_model(
     seed: int = SEED,
     checkpoint_interval: int = 10,
 ) -> PipelineModel:
-    """Boosted trees with logistic loss over the six session features."""
+    """Boosted trees with logistic loss over the six session features.
+
+    Training data stay distributed; every ``checkpoint_interval`` rounds the row weights are
+    written out so that a lost executor costs a few rounds at most.
+    """
+    ensure_checkpoints(train.sparkSession)
     rows = train.withColumn("label", F.col("converted").cast("double"))
     trees = GBTClassifier(
         featuresCol="features",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.times import event_date, iso_instant, parse_event_time
+from clickloom.operators.sessions import share_of_total
 from clickloom.schema import CLEAN_SCHEMA, EVENT_COLUMNS, SUPPORTED_EVENT_TYPES
 
 
@@ -78,8 +79,7 @@ def validation_metrics(checked: DataFrame) -> DataFrame:
     """One row per outcome (``valid`` or the reason) with its count and share."""
     outcome = F.coalesce(F.col("failure_reason"), F.lit("valid"))
     counts = checked.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("records"))
-    total = checked.agg(F.count(F.lit(1)))
-    return counts.withColumn("share", F.col("records").cast("double") / total.scalar())
+    return share_of_total(counts, "records", "share")
 
 
 def validation_summary(checked: DataFrame) -> DataFrame:

@@ -54,6 +54,13 @@ def work_dir(spark: SparkSession) -> str:
     return _LOCAL_WORK_DIRS[app]
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Let long-running training cut its lineage in the shared folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{work_dir(spark)}/checkpoints")
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder."""
     return f"{work_dir(spark)}/clickloom-{label}-{uuid.uuid4().hex}"

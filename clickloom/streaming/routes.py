@@ -106,21 +106,24 @@ def validation_stream(
 
 
 def archive_stream(
-    clean: DataFrame, path: str, checkpoint: str, available_now: bool = False, every: str = "60 seconds"
+    clean: DataFrame,
+    path: str,
+    checkpoint: str,
+    available_now: bool = False,
+    every: str = "60 seconds",
+    files_per_date: int = 8,
 ) -> StreamingQuery:
     """Append clean records to Parquet partitioned by ``event_date``.
 
-    Each batch first gathers a date's rows from all tasks, so a date gets at most
-    ``spread`` new files per batch instead of one per task; dates of any size still spread
-    over several tasks.
+    Each batch first gathers a date's rows into ``files_per_date`` evenly filled parts, so it
+    adds that many files per date instead of one per task and date.
     """
-    spread = 8
-    dated = with_event_date(clean)
-    salt = F.pmod(F.xxhash64("user_session", "event_time", "product_id"), F.lit(spread))
+    part = F.floor(F.rand(7) * files_per_date)
     writer = (
-        dated.withColumn("_salt", salt)
-        .repartition("event_date", "_salt")
-        .drop("_salt")
+        with_event_date(clean)
+        .withColumn("_part", part)
+        .repartition("event_date", "_part")
+        .drop("_part")
         .writeStream.format("parquet")
         .partitionBy("event_date")
         .option("path", path)

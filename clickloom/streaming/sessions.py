@@ -87,19 +87,10 @@ class SessionScorer(StatefulProcessor):
         session["timer"] = None
         ready = int(np.searchsorted(session["waiting"], watermark, side="right"))
         times, session["waiting"] = np.split(session["waiting"], [ready])
-        parts = []
-        cuts = np.flatnonzero(np.diff(times) > self.timeout_ms) + 1
-        for piece in np.split(times, cuts) if len(times) else []:
-            if session["last"] is not None and piece[0] - session["last"] > self.timeout_ms:
-                parts.append(self._closed_row(key, session))
-                self._reset(session)
-            parts.append(self._advance(key, session, piece))
-        if session["last"] is not None and session["last"] + self.timeout_ms <= watermark:
-            parts.append(self._closed_row(key, session))
-            self._reset(session)
+        rows = self._advance(key, session, times, watermark)
         self._store(session)
-        if parts:
-            yield pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        if rows is not None:
+            yield rows
 
     def _load(self) -> dict:
         stored = self.state.get()
@@ -140,41 +131,58 @@ class SessionScorer(StatefulProcessor):
     def _reset(session: dict) -> None:
         session.update(last=None, events=0, total=0, squares=0, low=None)
 
-    def _advance(self, key, session: dict, times: np.ndarray) -> pd.DataFrame:
-        """Add events that all belong to the session; one ``active`` row for each.
+    def _advance(self, key, session: dict, times: np.ndarray, watermark: int) -> pd.DataFrame | None:
+        """Add sorted events: one ``active`` row for each, and a ``closed`` row for every
+        session whose timeout passed. The open session, if any, goes first as row 0.
 
         Running sums use Python's whole numbers, so they stay exact at any length.
         """
-        fresh = session["last"] is None
-        before = times[:1] if fresh else np.array([session["last"]])
-        gaps = np.diff(np.concatenate([before, times])).astype(object)
-        events = session["events"] + np.arange(1, len(times) + 1)
-        totals = session["total"] + np.cumsum(gaps)
-        squares = session["squares"] + np.cumsum(gaps * gaps)
-        known = np.inf if session["low"] is None else float(session["low"])
-        sized = gaps.astype("float64")
-        if fresh:
-            sized[0] = np.inf
-        lows = np.minimum(known, np.minimum.accumulate(sized))
-        session.update(
-            last=int(times[-1]),
-            events=int(events[-1]),
-            total=int(totals[-1]),
-            squares=int(squares[-1]),
-            low=None if np.isinf(lows[-1]) else int(lows[-1]),
-        )
-        return self._rows(key, times, events, totals, squares, lows, "active")
-
-    def _closed_row(self, key, session: dict) -> pd.DataFrame:
-        low = np.inf if session["low"] is None else float(session["low"])
-        one = {name: np.array([session[name]], dtype=object) for name in ("total", "squares")}
-        times, events = np.array([session["last"]]), np.array([session["events"]])
-        rows = self._rows(
-            key, times, events, one["total"], one["squares"], np.array([low]), "closed"
+        going_on = session["last"] is not None
+        if going_on:
+            times = np.concatenate([np.array([session["last"]]), times])
+        if not len(times):
+            return None
+        gaps = np.diff(times, prepend=times[:1])
+        starts = gaps > self.timeout_ms
+        starts[0] = True
+        position = np.arange(len(times))
+        first = np.maximum.accumulate(np.where(starts, position, 0))
+        inside = np.where(starts, 0, gaps).astype(object)
+        totals, squares = np.cumsum(inside), np.cumsum(inside * inside)
+        totals, squares = totals - totals[first], squares - squares[first]
+        events = position - first + 1
+        lows = np.where(starts, np.inf, gaps)
+        heads = np.flatnonzero(starts)
+        if going_on:
+            ongoing = first == 0
+            events[ongoing] += session["events"] - 1
+            totals[ongoing] += session["total"]
+            squares[ongoing] += session["squares"]
+            lows[0] = np.inf if session["low"] is None else session["low"]
+        for head, tail in zip(heads, [*heads[1:], len(times)]):
+            np.minimum.accumulate(lows[head:tail], out=lows[head:tail])
+
+        ended = heads[1:] - 1
+        if times[-1] + self.timeout_ms <= watermark:
+            ended = np.append(ended, len(times) - 1)
+            self._reset(session)
+        else:
+            session.update(
+                last=int(times[-1]),
+                events=int(events[-1]),
+                total=int(totals[-1]),
+                squares=int(squares[-1]),
+                low=None if np.isinf(lows[-1]) else int(lows[-1]),
+            )
+        order = np.concatenate([position[1:] if going_on else position, ended])
+        if not len(order):
+            return None
+        closed = np.arange(len(order)) >= len(order) - len(ended)
+        return self._rows(
+            key, times[order], events[order], totals[order], squares[order], lows[order], closed
         )
-        return rows.assign(closed_at=pd.to_datetime(times + self.timeout_ms, unit="ms"))
 
-    def _rows(self, key, times, events, totals, squares, lows, status: str) -> pd.DataFrame:
+    def _rows(self, key, times, events, totals, squares, lows, closed) -> pd.DataFrame:
         intervals = events - 1
         mean = np.full(len(times), np.nan)
         sd = np.full(len(times), np.nan)
@@ -184,23 +192,24 @@ class SessionScorer(StatefulProcessor):
             total, count = totals[more], intervals[more].astype(object)
             whole = squares[more] - (total // count) * total
             rest = (total % count) * total
-            spread = whole.astype("float64") - rest.astype("float64") / count.astype("float64")
+            spread = whole.astype("float64") - rest.astype("float64") / intervals[more]
             sd[more] = np.sqrt(np.maximum(0.0, spread / (intervals[more] - 1)))
         low = np.where(some, lows, np.nan)
         score = self._score(mean, low, sd)
+        closed_at = np.where(closed, times + self.timeout_ms, np.iinfo("int64").min)
         return pd.DataFrame(
             {
                 "user_session": key[0],
-                "last_event_time": pd.to_datetime(times, unit="ms"),
+                "last_event_time": times.astype("datetime64[ms]"),
                 "event_count": events,
-                "interval_count": np.maximum(intervals, 0),
+                "interval_count": intervals,
                 "mean_click_interval_ms": mean,
                 "min_click_interval_ms": low,
                 "sd_click_interval_ms": sd,
                 "bot_score": score,
                 "is_bot": score >= self.threshold,
-                "session_status": status,
-                "closed_at": pd.Series(pd.NaT, index=range(len(times)), dtype="datetime64[ns]"),
+                "session_status": np.where(closed, "closed", "active"),
+                "closed_at": closed_at.astype("datetime64[ms]"),
             }
         )
 
@@ -213,9 +222,10 @@ class SessionScorer(StatefulProcessor):
         return np.where(np.isnan(np.sum(values, axis=0)), 0.0, score)
 
     def _late_row(self, key, events: int, newest: int) -> pd.DataFrame:
-        none = np.array([0], dtype=object)
-        rows = self._rows(key, np.array([newest]), np.array([1]), none, none, np.array([np.inf]), "late")
-        return rows.assign(event_count=events)
+        none, never = np.array([0], dtype=object), np.array([False])
+        time, count, low = np.array([newest]), np.array([1]), np.array([np.inf])
+        rows = self._rows(key, time, count, none, none, low, never)
+        return rows.assign(session_status="late", event_count=events)
 
 
 def score_sessions_stream(

@@ -12,6 +12,12 @@ from clickloom.operators.percentiles import percentiles_by_rank
 from clickloom.schema import INTERVAL_STATISTICS
 
 
+@pytest.fixture(autouse=True)
+def many_chunks(monkeypatch):
+    """Cut even small inputs into chunks."""
+    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", 100)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of the rows in one key, one key of copies of a single time, and many small."""
