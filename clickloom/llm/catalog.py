@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clickloom.llm.catalog_sql import ORACLE
 from clickloom.llm.common import read_table
+from clickloom.llm.decontam import contaminations
+from clickloom.llm.linefreq import line_rules
+from clickloom.llm.mixing import mixed
 from clickloom.llm.neardup import near_duplicates
+from clickloom.llm.shards import shard_table
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +22,34 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return shard_table(read_table(spark, sf_dir, "documents"))
+
+
+def op6_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics and verdict of every document."""
+    return line_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in any document."""
+    return contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the mixture of its sources."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixed(docs, key=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op5_feistel_shards,
+        op6_line_frequency_rules,
+        op7_simhash_decontamination,
+        op9_pfair_mixing,
+    )
 }
-
-ORACLE: dict[str, str] = {}

@@ -31,7 +31,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = stream(1, 256)[_LOWER]  # a number for each byte, blind to the case of A-Z
+_EXACT_BYTE = stream(1, 256)
+_BYTE = _EXACT_BYTE[_LOWER]  # a number for each byte, blind to the case of A-Z
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = stream(2, WIDTH) | np.uint64(1)
@@ -58,17 +59,24 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, from one running polynomial over the bytes."""
+def hash_spans(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray = _BYTE
+) -> np.ndarray:
+    """A 64-bit hash of each span, from one running polynomial over the bytes' numbers."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _power_tables(len(data))
     running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=running[1:])
+    np.cumsum(numbers[data] * up[: len(data)], out=running[1:])
     lengths = (ends - starts).astype(np.uint64)
     return mix((running[ends] - running[starts]) * down[starts] + lengths * np.uint64(_BASE))
 
 
+def hash_spans_exact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As ``hash_spans``, but telling A-Z from a-z."""
+    return hash_spans(data, starts, ends, _EXACT_BYTE)
+
+
 def slices(texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a list of texts (None: empty) into runs of about ``SLICE_BYTES``.
 
