@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from clickloom.llm.catalog_sql import ORACLE
 from clickloom.llm.common import read_table
 from clickloom.llm.decontam import contaminations
+from clickloom.llm.langmix import predict_languages
 from clickloom.llm.linefreq import line_rules
 from clickloom.llm.mixing import mixed
 from clickloom.llm.neardup import near_duplicates
 from clickloom.llm.shards import shard_table
+from clickloom.llm.sitestyle import main_text
+from clickloom.llm.tokenfile import token_table
+from clickloom.llm.toolcalls import link_tool_calls
+from clickloom.llm.warc import archived_pages
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -22,6 +27,21 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_site_style_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
+def op3_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to files and read back."""
+    return token_table(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return predict_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return shard_table(read_table(spark, sf_dir, "documents"))
@@ -37,19 +57,41 @@ def op7_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn as canonical JSON with its tool links."""
+    return link_tool_calls(read_table(spark, sf_dir, "conversations"))
+
+
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in the mixture of its sources."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixed(docs, key=["doc_id"])
 
 
+def op10_warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived and read back through the merged capture index."""
+    return archived_pages(read_table(spark, sf_dir, "pages"))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies; workers find the same path on their machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
+        op2_site_style_text,
+        op3_bit_plane_tokens,
+        op4_language_mixture,
         op5_feistel_shards,
         op6_line_frequency_rules,
         op7_simhash_decontamination,
+        op8_tool_call_links,
         op9_pfair_mixing,
+        op10_warc_history,
     )
 }
