@@ -70,7 +70,8 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived and read back through the merged capture index."""
-    return archived_pages(read_table(spark, sf_dir, "pages"))
+    found = archived_pages(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def tokenizer_path(name: str) -> str:

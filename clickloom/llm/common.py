@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.session import fresh_path, materialize
 
-__all__ = ["bound_batches", "by_group", "fresh_path", "materialize", "pick", "read_table", "split_join"]
+__all__ = [
+    "bitmap_of", "bound_batches", "by_group", "fresh_path", "materialize", "maybe_in", "pick",
+    "read_table", "split_join", "where_maybe",
+]
 
 BATCH_BYTES = 8 << 20
+BITMAP_BITS = 1 << 26  # 8 MB, whatever the input
+_PAGE = 32_768  # bits of one built-in bitmap
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -79,3 +85,65 @@ def split_join(big: DataFrame, small: DataFrame, on: list[str], how: str, label:
     side whose stored size it has measured).
     """
     return big.join(materialize(small, label), on, how)
+
+
+def bitmap_of(df: DataFrame, column: str):
+    """A broadcast bitmap of the values of a long column, modulo its fixed number of bits.
+
+    It lets a pass drop rows that cannot meet ``df`` before they are shuffled. Values that share
+    a bit pass too, so an exact join follows (or the extra rows must do no harm); with very many
+    values it passes everything and only saves nothing.
+    """
+    bit = F.pmod(F.col(column), F.lit(BITMAP_BITS))
+    pages = (
+        df.where(F.col(column).isNotNull())
+        .select(F.expr(f"{_pmod(column)} div {_PAGE}").alias("page"), (bit % _PAGE).alias("bit"))
+        .groupBy("page")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+        .collect()
+    )
+    whole = np.zeros((BITMAP_BITS // _PAGE, _PAGE // 8), np.uint8)
+    for row in pages:
+        whole[row.page] = np.frombuffer(row.bits, np.uint8)
+    return df.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+
+
+def _pmod(column: str) -> str:
+    return f"pmod(`{column}`, {BITMAP_BITS})"
+
+
+def maybe_in(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value's bit is set; no value that went in is missed."""
+    at = np.mod(values, BITMAP_BITS)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def where_maybe(df: DataFrame, column: str, bitmap, wanted: bool = True) -> DataFrame:
+    """Rows whose value may be in the bitmap, or (``wanted`` false) those whose value is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = batch.column(column).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(maybe_in(bitmap.value, values) == wanted))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def store_of(path: str):
+    """The pyarrow file system of a shared path and the path within it, for files of own formats."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
+def row_keys(*columns: str) -> list:
+    """Two 64-bit hashes that stand for a row in joins of narrow tables; equal rows share them."""
+    own = [F.col(f"`{c}`") for c in columns]
+    absent = [c.isNull() for c in own]
+    return [
+        F.xxhash64(*own, *absent).alias("row_a"),
+        F.xxhash64(F.lit(7), *own[::-1], *absent).alias("row_b"),
+    ]

@@ -109,44 +109,44 @@ def _settled(edges: DataFrame) -> DataFrame:
     """(conv, turn, late, depth): where each linked message belongs.
 
     ``late`` is the last turn among the message and all it depends on, ``depth`` its distance
-    within that turn. Keys grow along every edge; a round passes them on, and the rounds end when
-    nothing changes. Messages on a cycle would grow for ever: they are left at the bound, which is
-    the number of edges of the largest conversation, and marked.
+    within that turn. A round passes keys on along every edge, until nothing changes: one round if
+    all messages stand in order, else as many as the longest chain of misplaced ones. The edges
+    form no cycle, so the rounds end.
     """
     nodes = edges.select("conv", F.explode(F.array("before", "after")).alias("turn")).distinct()
     state = materialize(nodes.select("conv", "turn", F.col("turn").alias("late"), F.lit(0).alias("depth")), "order")
-    longest = edges.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     key = F.struct("late", "depth")
-    for _ in range(longest + 1):
+    while True:
         ahead = edges.join(state.withColumnRenamed("turn", "before"), ["conv", "before"])
         push = ahead.groupBy("conv", F.col("after").alias("turn")).agg(
             F.max(F.struct(F.col("late").alias("late"), (F.col("depth") + 1).alias("depth"))).alias("need")
         )
-        moved = state.join(push, ["conv", "turn"], "left").withColumn("moved", F.col("need") > key)
+        moved = state.join(push, ["conv", "turn"], "left").withColumn("moved", F.coalesce(F.col("need") > key, F.lit(False)))
         moved = moved.select(
             "conv", "turn",
             F.when(F.col("moved"), F.col("need.late")).otherwise(F.col("late")).alias("late"),
             F.when(F.col("moved"), F.col("need.depth")).otherwise(F.col("depth")).alias("depth"),
-            F.coalesce("moved", F.lit(False)).alias("moved"),
+            "moved",
         )
         moved = materialize(moved, "order")
         state = moved.drop("moved")
         if not moved.where("moved").limit(1).count():
-            return state.withColumn("cyclic", F.lit(False))
-    return moved.withColumnRenamed("moved", "cyclic")
+            return state
 
 
 def link_tool_calls(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
     """One row per turn: conv_id, turn, role, message (canonical JSON), order_turn, order_depth,
-    n_calls, n_answered, n_invalid, is_result, linked, cyclic.
+    n_calls, n_answered, n_invalid, n_forward, is_result, linked.
 
     Sorting a conversation by (order_turn, order_depth, turn) puts every call before its result
     and every result before the calls that refer to it. Within a conversation the first call with
     an id is the call; results with its id link to it, others are orphans (``linked`` false).
-    ``n_invalid`` counts calls without a declared schema or with arguments that break it. A null
-    or broken text is plain content; calls and results without an id, and turns without a
+    ``n_invalid`` counts calls without a declared schema or with arguments that break it.
+    ``n_forward`` counts arguments that refer to the call itself or to a later one; they order
+    nothing, so no cycle can arise. A turn that makes calls is no result. A null or broken text is
+    plain content; calls and results without an id, and turns without a
     conversation or number, stay as they are and link to nothing. Repeated rows give repeated
     rows; an empty table gives an empty result; other columns are ignored.
     """
@@ -171,26 +171,28 @@ def link_tool_calls(
     calls = materialize(calls, "calls")
     first = calls.where("id is not null").groupBy("conv", "id").agg(F.min(F.struct("turn", "place")).alias("call"))
     first = materialize(first.select("conv", "id", F.col("call.turn").alias("call_turn"), F.col("call.place").alias("place")), "first-calls")
-    results = formed.where("j.tool_call_id is not null").select("conv", "turn", F.col("j.tool_call_id").alias("id")).distinct()
+    results = formed.where("j.tool_call_id is not null and j.tool_calls is null").select("conv", "turn", F.col("j.tool_call_id").alias("id")).distinct()
     links = materialize(results.join(first, ["conv", "id"], "left"), "links")
     answered = links.where("call_turn is not null").select("conv", F.col("call_turn").alias("turn"), "place").distinct()
 
     wanted = calls.select("conv", "turn", F.explode(F.expr(f"regexp_extract_all(arguments, '{_REFERENCE.replace(chr(92), chr(92) * 2)}', 1)")).alias("id"))
-    edges = links.where("call_turn is not null").select("conv", F.col("call_turn").alias("before"), F.col("turn").alias("after"))
-    edges = edges.union(links.select("conv", "id", "turn").join(wanted.withColumnRenamed("turn", "after"), ["conv", "id"]).select("conv", F.col("turn").alias("before"), "after"))
-    edges = materialize(edges.where("before <> after").distinct(), "call-edges")
-    order = _settled(edges)
+    known = links.where("call_turn is not null").select("conv", "id", "turn", "call_turn")
+    uses = materialize(known.join(wanted.withColumnRenamed("turn", "after"), ["conv", "id"]), "references")
+    edges = known.select("conv", F.col("call_turn").alias("before"), F.col("turn").alias("after")).union(
+        uses.where("call_turn < after").select("conv", F.col("turn").alias("before"), "after")
+    )
+    order = _settled(materialize(edges.where("before <> after").distinct(), "call-edges"))
 
     per_call = calls.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n_calls"), F.count("error").alias("n_invalid"))
     per_answer = answered.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n_answered"))
+    forward = uses.where("call_turn >= after").groupBy("conv", F.col("after").alias("turn")).agg(F.count_distinct("id").alias("n_forward"))
     per_result = links.groupBy("conv", "turn").agg(F.max(F.col("call_turn").isNotNull()).alias("linked"))
-    facts = order.join(per_call, ["conv", "turn"], "full").join(per_answer, ["conv", "turn"], "full").join(per_result, ["conv", "turn"], "full")
+    facts = order.join(per_call, ["conv", "turn"], "full").join(per_answer, ["conv", "turn"], "full").join(per_result, ["conv", "turn"], "full").join(forward, ["conv", "turn"], "full")
     rows = split_join(own, facts, ["conv", "turn"], "left", "turn-facts")
     none = F.lit(0).cast("long")
     return rows.select(
         F.col("conv").alias("conv_id"), "turn", "role", _message("role", "text", like).alias("message"),
         F.coalesce("late", "turn").alias("order_turn"), F.coalesce("depth", F.lit(0)).alias("order_depth"),
-        *(F.coalesce(c, none).alias(c) for c in ("n_calls", "n_answered", "n_invalid")),
+        *(F.coalesce(c, none).alias(c) for c in ("n_calls", "n_answered", "n_invalid", "n_forward")),
         F.col("linked").isNotNull().alias("is_result"), F.coalesce("linked", F.lit(False)).alias("linked"),
-        F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
     )
