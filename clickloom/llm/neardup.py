@@ -2,9 +2,9 @@
 
 The order of work, each step distributed and none of it all-pairs:
 
-1. Every text becomes its set of five-word shingles, a MinHash signature and 64 band keys.
+1. Every text becomes its set of five-word shingles and 64 band keys from MinHash values.
 2. Documents with equal sets are folded into the one with the smallest id.
-3. A bucket (documents that share a band key) compares all members with its smallest member, the
+3. Documents that share a band key get a longer signature. A bucket (documents that share a band key) compares all members with its smallest member, the
    hub. A pair is compared in batches of signature bytes and given up as soon as the posterior
    probability that its similarity reaches the threshold falls below ``MISS``. Survivors are
    verified on full sets. Groups of copies collapse here, with one link per member.
@@ -25,40 +25,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import bound_batches, by_group, materialize, pick, split_join
+from clickloom.llm.common import (
+    bitmap_of,
+    bound_batches,
+    by_group,
+    materialize,
+    maybe_in,
+    pick,
+    split_join,
+    where_maybe,
+)
 from clickloom.llm.components import connected
 from clickloom.llm.words import hashed_words, mix, shingles, stream
 
-HASHES = 512  # length of a signature
 BANDS = 64
-BAND_ROWS = 6  # BANDS * BAND_ROWS <= HASHES: bands share no hash
+BAND_ROWS = 6
+HASHES = 1024  # length of the signature of a document that shares a band key
 STEP = 32  # signature bytes compared between two looks at the posterior
 MISS = 1e-5  # chosen probability of giving up a pair that does reach the threshold, per look
 TILE = 1024  # documents of one bucket in one block
-TILE_BYTES = 8 << 20  # shingle sets in one block of the exact check
+TILE_BYTES = 2 << 20  # shingle sets in one block of the exact check
 PERCENT = 75
 
-_SLOPE = (stream(11, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_SHIFT = (stream(12, HASHES) >> np.uint64(32)).astype(np.uint32)
+def _functions(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    high = (stream(seed, 2 * n) >> np.uint64(32)).astype(np.uint32)
+    return high[:n] | np.uint32(1), high[n:]
 
-SKETCH = (
-    "doc_id long, n_shingles long, key_a long, key_b long, "
-    "signature binary, bands array<long>"
-)
+
+_BAND_HASHES = _functions(11, BANDS * BAND_ROWS)
+_HASHES = _functions(12, HASHES)
+
+SKETCH = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"
 
 
-def signature(shingle_set: np.ndarray) -> np.ndarray:
+def minima(shingle_set: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The smallest value of each hash function over a non-empty set."""
+    slope, shift = functions
     high = (shingle_set >> np.uint64(32)).astype(np.uint32)
-    low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    low = np.full(len(slope), 0xFFFFFFFF, np.uint32)
     for start in range(0, len(high), 256):  # keeps the product in cache and its size bounded
-        np.minimum(low, (high[start : start + 256, None] * _SLOPE + _SHIFT).min(axis=0), out=low)
+        np.minimum(low, (high[start : start + 256, None] * slope + shift).min(axis=0), out=low)
     return low
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
     """One 64-bit key per band; the band's number is part of it."""
-    rows = low[: BANDS * BAND_ROWS].astype(np.uint64).reshape(BANDS, BAND_ROWS)
+    rows = low.astype(np.uint64).reshape(BANDS, BAND_ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(BAND_ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
@@ -67,39 +79,65 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, key_a, key_b, signatures, bands = [], [], [], [], []
+        sizes, key_a, key_b, bands = [], [], [], []
         for words in hashed_words(batch.column("text").to_pylist()):
             own = np.unique(shingles(words))
             sizes.append(len(own))
             key_a.append(own.sum(dtype=np.uint64))
             key_b.append(mix(own).sum(dtype=np.uint64))
-            if len(own):
-                low = signature(own)
-                signatures.append(low.astype(np.uint8).tobytes())
-                bands.append(band_keys(low).view(np.int64))
-            else:
-                signatures.append(None)
-                bands.append(None)
+            bands.append(band_keys(minima(own, _BAND_HASHES)).view(np.int64) if len(own) else None)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").cast(pa.int64()),
                 pa.array(sizes, pa.int64()),
                 pa.array(np.array(key_a, np.uint64).view(np.int64)),
                 pa.array(np.array(key_b, np.uint64).view(np.int64)),
-                pa.array(signatures, pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n_shingles", "key_a", "key_b", "signature", "bands"],
+            names=["doc_id", "n_shingles", "key_a", "key_b", "bands"],
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.unique(shingles(w)).tobytes() for w in hashed_words(batch.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())],
-            names=["id", "own"],
-        )
+def _members(keys):
+    """(key, band, id) of each band key that more than one document may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+                row, band = np.nonzero(maybe_in(keys.value, own))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(own[row, band]),
+                        pa.array(band.astype(np.int32)),
+                        batch.column("id").take(pa.array(row)),
+                    ],
+                    names=["key", "band", "id"],
+                )
+
+    return run
+
+
+def _sets(active):
+    """Shingle set and signature of each text whose id may be active."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.filter(pa.array(maybe_in(active.value, batch.column("id").to_numpy())))
+            sets = [np.unique(shingles(w)) for w in hashed_words(batch.column("text").to_pylist())]
+            signatures = [minima(s, _HASHES).astype(np.uint8).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array(signatures, pa.binary()),
+                ],
+                names=["id", "own", "signature"],
+            )
+
+    return run
 
 
 @lru_cache
@@ -235,6 +273,7 @@ def verify(pairs: DataFrame, sets: DataFrame, blocks: int, percent: int) -> Data
     ).select("a", "b", F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"))
     dealt = materialize(dealt, "pairs")
     ends = dealt.select("low", "high", F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = where_maybe(sets.select("id", "own"), "id", bitmap_of(ends.select("id"), "id"))
     rows = ends.join(sets, "id").select("low", "high", "id", F.lit(None).cast("long").alias("other"), "own")
     rows = rows.unionByName(
         dealt.select(
@@ -279,23 +318,28 @@ def near_duplicates(
         .select("doc_id", "first", *set_key),
         "copies",
     )
-    heads = full.join(copies.select("doc_id", *set_key), ["doc_id", *set_key], "left_anti")
+    doubtful = bitmap_of(copies.select("doc_id"), "doc_id")
+    banded = full.select("doc_id", *set_key, "bands")
+    heads = where_maybe(banded, "doc_id", doubtful, wanted=False).union(
+        where_maybe(banded, "doc_id", doubtful).join(
+            copies.select("doc_id", *set_key), ["doc_id", *set_key], "left_anti"
+        ).select(*banded.columns)
+    ).select(F.col("doc_id").alias("id"), "bands")
 
-    banded = heads.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     buckets = (
-        banded.groupBy("key", "band")
+        heads.select("id", F.explode("bands").alias("key"))
+        .groupBy("key")
         .agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
         .where("hub < last")
+        .drop("last")
     )
-    members = materialize(split_join(banded, buckets, ["key", "band"], "inner", "buckets"), "members")
-    active = materialize(members.select("id").distinct(), "active")
-    sigs = materialize(
-        heads.select(F.col("doc_id").alias("id"), "signature", "bands").join(active, "id"), "signatures"
-    )
-    sets = materialize(
-        texts.join(active.withColumnRenamed("id", "doc_id"), "doc_id").mapInArrow(_sets, "id long, own binary"),
-        "sets",
-    )
+    buckets = materialize(buckets, "buckets")
+    shared = heads.mapInArrow(_members(bitmap_of(buckets, "key")), "key long, band int, id long")
+    members = materialize(shared.join(buckets, "key"), "members")
+    active = bitmap_of(members, "id")
+    known = texts.where("doc_id is not null").withColumnRenamed("doc_id", "id").withColumn("id", F.col("id").cast("long"))
+    sets = materialize(known.mapInArrow(_sets(active), "id long, own binary, signature binary"), "sets")
+    sigs = sets.where("signature is not null").select("id", "signature").dropDuplicates()
     total = sets.agg(F.sum(F.length("own"))).first()[0] or 0
     blocks = max(1, ceil(total / TILE_BYTES))
 
@@ -310,15 +354,15 @@ def near_duplicates(
     placed = members.where("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.withColumn("root", F.coalesce("root", "id"))
     split = (
-        placed.groupBy("key", "band")
+        placed.groupBy("key")
         .agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
         .where("r0 < r1")
-        .select("key", "band")
+        .select("key")
     )
     blocks_of = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.hash("id"), blocks_of).cast("int")
     tiled = (
-        split_join(placed, split, ["key", "band"], "inner", "open-buckets")
+        split_join(placed, split, ["key"], "inner", "open-buckets")
         .withColumn("block", own)
         .select(
             "key", "band", "id", "root", "hub", "block",
@@ -330,7 +374,7 @@ def near_duplicates(
         )
     )
     prints = F.transform("bands", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    held = sigs.select("id", "signature", prints.alias("prints"))
+    held = where_maybe(heads, "id", active).select("id", prints.alias("prints")).join(sigs, "id")
     compared = (
         materialize(tiled, "tiles")
         .join(held, "id")
