@@ -272,7 +272,9 @@ def verify(pairs: DataFrame, sets: DataFrame, blocks: int, percent: int) -> Data
         F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("y"),
     ).select("a", "b", F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"))
     dealt = materialize(dealt, "pairs")
-    ends = dealt.select("low", "high", F.explode(F.array("a", "b")).alias("id")).distinct()
+    lefts = dealt.select("low", "high", F.col("a").alias("id")).distinct()
+    rights = dealt.select("low", "high", F.col("b").alias("id")).distinct()
+    ends = materialize(lefts.union(rights).distinct(), "pair-ends")
     sets = where_maybe(sets.select("id", "own"), "id", bitmap_of(ends.select("id"), "id"))
     rows = ends.join(sets, "id").select("low", "high", "id", F.lit(None).cast("long").alias("other"), "own")
     rows = rows.unionByName(
