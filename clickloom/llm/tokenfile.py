@@ -12,10 +12,12 @@ Layout, little-endian: magic, blocks, document index, chunk index, footer.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ MAGIC = b"BITPLN01"
 FOOTER = struct.Struct("<QQQQBBI8s")  # document index at, chunk index at, ids, documents, unit, planes, block ids, magic
 BLOCK_IDS = 1 << 16
 END_ID = 1
-CACHE_WORDS = 1 << 18
+CACHE_PIECES = 1 << 18
 
 PART = "file string, first_doc long, last_doc long, n_docs long, n_ids long"
 DOC = "file string, place long, doc_id long, n_tokens long, ids_crc32 long, before long"
@@ -142,36 +144,58 @@ class Reader:
         return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+_PLAIN = re.compile(rf"[\t\n\r -~{_LATIN}]*")  # composed letters on whose classes all libraries agree
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\sa-z0-9{_LATIN}]+")
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies have for each byte: itself, or the next
+    free one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class Encoder:
-    """Encodes whole texts with a tokenizer whose tokens never span white space.
+    """Encodes whole texts with the tokenizer file; remembers the ids of what it has seen.
 
-    ``by_word`` encodes each distinct run of characters other than ASCII white space once and
-    joins the ids; the tokenizer file must drop white space, match no added token across it and
-    have a normaliser that looks at no character beyond it.
+    A text of ASCII and composed Latin letters without an added token is put in lower case and cut
+    into the pieces of the file's own pattern, and the library's model encodes each distinct piece
+    once. Any other text goes to the library whole. Both ways give the same ids; files with
+    another normaliser or pattern must be read with ``whole=True``.
     """
 
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str, whole: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer, self.whole = Tokenizer.from_file(path), whole
+        self.letters = _byte_letters()
+        self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        if not self.by_word:
-            for text in texts:
-                yield np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4")
-            return
         for text in texts:
-            words = (text or "").encode("utf-8").split()
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            if len(self.known) + len(new) > CACHE_WORDS:
+            text = text or ""
+            if self.whole or "<|" in text or not _PLAIN.fullmatch(text):
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+                continue
+            pieces = _PIECE.findall(text.lower())
+            new = set(pieces).difference(self.known)
+            if len(self.known) + len(new) > CACHE_PIECES:
                 self.known.clear()
-                new = list(dict.fromkeys(words))
-            if new:
-                found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                self.known.update((w, np.array(f.ids, "<u4").tobytes()) for w, f in zip(new, found, strict=True))
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+                new = set(pieces)
+            for piece in new:
+                spelled = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+                ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+                self.known[piece] = np.array(ids, "<u4").tobytes()
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per worker, so that what it remembers serves its later tasks too."""
+    return Encoder(path)
 
 
 def _write(folder: str, path: str, unit: int, end_id: int) -> Callable:
@@ -181,7 +205,7 @@ def _write(folder: str, path: str, unit: int, end_id: int) -> Callable:
             if not batch.num_rows:
                 continue
             if writer is None:
-                encode = Encoder(path)
+                encode = encoder(path)
                 store, base = store_of(folder)
                 store.create_dir(base, recursive=True)
                 name = f"{uuid.uuid4().hex}.ids"  # of this attempt: a lost one leaves no row

@@ -93,13 +93,19 @@ def test_planes_round_trip(ids, unit, block):
         assert reader.document(k).tolist() == docs[k].tolist()
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60))
-def test_words_encode_as_whole_texts(text):
-    whole, by_word = tokenfile.Encoder(VOCABULARY, by_word=False), tokenfile.Encoder(VOCABULARY)
+PLAIN_TEXT = st.text(alphabet=st.sampled_from("abZ019'stredvmlÀéŸßÿŽ -_#<|>.\n\t\r"), max_size=60)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=60), PLAIN_TEXT))
+def test_pieces_encode_as_whole_texts(text):
+    whole, by_piece = WHOLE, ENCODER
     text = text.encode("utf-8", "ignore").decode()
-    for t in (text, f"AΣ {text}́ <|endoftext|>x's  {text[::-1]}", text.replace("a", " ́")):
-        assert next(by_word([t])).tolist() == next(whole([t])).tolist()
+    for t in (text, f"AΣ {text}\u0301 <|endoftext|>x's  {text[::-1]}", text.replace("a", " \u0301")):
+        assert next(by_piece([t])).tolist() == next(whole([t])).tolist()
+
+
+ENCODER, WHOLE = tokenfile.Encoder(VOCABULARY), tokenfile.Encoder(VOCABULARY, whole=True)
 
 
 def test_token_files(spark):
