@@ -356,6 +356,20 @@ def percentile_unpivot(spark, sf_dir):
     return _rounded(percentile_table(clickstream(spark, sf_dir, "lifetime")), _TABLE_DIGITS)
 
 
+@query(
+    "percentile_unpivot_sparse",
+    S.with_clicks(
+        f"SELECT * REPLACE (CAST(NULL AS DOUBLE) AS sd_click_interval_ms) FROM ({_UNPIVOTED})",
+        S.GAPS, S.STATS, S.LOOKUP, sessions="lifetime",
+    ),
+)
+def percentile_unpivot_sparse(spark, sf_dir):
+    """The reference table when no session has a deviation: 101 rows, one column of nulls."""
+    stats = _stats(spark, sf_dir).withColumn("sd_click_interval_ms", F.lit(None).cast("double"))
+    row = intervals.interval_percentiles(materialize(stats, "stats"))
+    return _rounded(intervals.percentile_unpivot(row), _TABLE_DIGITS)
+
+
 @query(
     "session_count", S.with_clicks("SELECT count(*) AS session_count FROM stats", S.GAPS, S.STATS)
 )
@@ -942,14 +956,15 @@ _CURVE_SQL = "SELECT round(fpr, 9) AS fpr, round(tpr, 9) AS tpr, threshold FROM
 @query(
     "roc_curve",
     S.with_clicks(
-        "SELECT round(fpr, 9) AS fpr, round(tpr, 9) AS tpr, round(threshold, 9) AS threshold FROM curve "
-        "WHERE threshold <= 1",
+        "SELECT round(fpr, 9) AS fpr, round(tpr, 9) AS tpr, "
+        "CASE WHEN threshold <= 1 THEN round(threshold, 9) END AS threshold FROM curve",
         *_EVALUATED, S.STEPS,
     ),
 )
 def roc_curve(spark, sf_dir):
-    """All points with a finite threshold."""
-    curve = evaluate.roc_curve(_steps(spark, sf_dir)).where(F.col("threshold") <= 1)
+    """All points; the origin, which no score reaches, has no threshold here."""
+    curve = evaluate.roc_curve(_steps(spark, sf_dir))
+    curve = curve.withColumn("threshold", F.when(F.col("threshold") <= 1, F.col("threshold")))
     return _rounded(curve, {"fpr": 9, "tpr": 9, "threshold": 9})
 
 

@@ -10,7 +10,7 @@ from clickloom.functions.times import epoch_micros
 from clickloom.operators.hotkeys import by_key_size
 from clickloom.operators.ordering import lag_in_order, with_chunks
 from clickloom.operators.percentiles import exact_percentiles
-from clickloom.schema import INTERVAL_STATISTICS
+from clickloom.schema import INTERVAL_STATISTICS, SCORED_STATISTICS
 from clickloom.session import materialize
 
 GAP = "_gap_us"
@@ -23,8 +23,9 @@ def _timed(df: DataFrame, key: str, ts: str) -> DataFrame:
     )
 
 
-def _gaps_by_window(df: DataFrame, key: str) -> DataFrame:
-    previous = F.lag(TIME).over(Window.partitionBy(key).orderBy(TIME))
+def _gaps_by_window(df: DataFrame, key: str, tiebreak: str | None = None) -> DataFrame:
+    order = [F.col(TIME), *([F.col(tiebreak).asc_nulls_last()] if tiebreak else [])]
+    previous = F.lag(TIME).over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn(GAP, F.col(TIME) - previous)
 
 
@@ -48,9 +49,9 @@ def click_intervals(
 ) -> DataFrame:
     """Add ``click_interval_ms``: time since the previous event of the same key, null first.
 
-    Events with equal times are 0 ms apart. For oversized keys one event per distinct time,
-    the one with the lowest ``tiebreak``, carries the gap; a unique tiebreak keeps such a
-    join evenly spread.
+    Events with equal times are 0 ms apart; of these the one with the lowest ``tiebreak``
+    carries the gap to the time before. A unique tiebreak keeps the join of oversized keys
+    evenly spread.
     """
     timed = _timed(df, key, ts)
     columns = [c for c in df.columns]
@@ -67,7 +68,7 @@ def click_intervals(
         return joined.withColumn(GAP, gap).select(*columns, GAP)
 
     gaps = by_key_size(
-        timed, key, lambda part: _gaps_by_window(part, key).select(*columns, GAP), hot, hot_limit
+        timed, key, lambda part: _gaps_by_window(part, key, tiebreak).select(*columns, GAP), hot, hot_limit
     )
     return gaps.select(*columns, (F.col(GAP) / F.lit(1000.0)).alias("click_interval_ms"))
 
@@ -144,13 +145,18 @@ def interval_percentiles(stats: DataFrame, **options) -> DataFrame:
 
 
 def percentile_unpivot(row: DataFrame) -> DataFrame:
-    """The reference table: one row per percentile with its four thresholds."""
-    zipped = F.arrays_zip(*[F.col(f"{name}_values").alias(name) for name in INTERVAL_STATISTICS])
-    exploded = row.select(F.posexplode(zipped).alias("percentile", "t"))
+    """The reference table: one row per percentile with its four thresholds.
+
+    A statistic that no session has is a column of nulls; without sessions there is no row.
+    """
+    values = {name: F.col(f"{name}_values") for name in INTERVAL_STATISTICS}
+    longest = F.greatest(*(F.coalesce(F.size(v), F.lit(0)) for v in values.values()))
+    places = F.when(longest > 0, F.sequence(F.lit(0), longest - 1))
+    exploded = row.select(F.explode(places).alias("percentile"), *values.values())
     return exploded.select(
         "percentile",
         (F.col("percentile") / F.lit(100.0)).alias("percentile_fraction"),
-        *[F.col("t")[name].alias(name) for name in INTERVAL_STATISTICS],
+        *[F.get(values[name], F.col("percentile")).alias(name) for name in INTERVAL_STATISTICS],
     )
 
 
@@ -167,6 +173,13 @@ def session_count(stats: DataFrame) -> DataFrame:
 
 
 def thresholds_of(table: DataFrame) -> dict[str, list[float]]:
-    """The 101-row reference table as driver-side lists for the scoring expressions."""
+    """The 101-row reference table as driver-side lists for the scoring expressions.
+
+    Scores against missing thresholds would call every session a bot, so these are refused.
+    """
     rows = table.orderBy("percentile").collect()
-    return {name: [row[name] for row in rows] for name in INTERVAL_STATISTICS}
+    found = {name: [row[name] for row in rows] for name in INTERVAL_STATISTICS}
+    empty = [name for name in SCORED_STATISTICS if not rows or None in found[name]]
+    if empty:
+        raise ValueError(f"no thresholds for {', '.join(empty)}")
+    return found

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.scoring import bot_score, is_bot, mean_of, sample_sd, square
 from clickloom.functions.times import epoch_millis, millis_to_time
+from clickloom.functions.keys import named_session
 from clickloom.operators.hotkeys import by_key_size
 from clickloom.operators.ordering import CHUNK, lag_in_order, running_in_order, with_chunks
 from clickloom.schema import BOT_SCORE_THRESHOLD, SCORED_STATISTICS, SESSION_TIMEOUT_MS
@@ -25,7 +26,7 @@ GAP = "_gap"
 
 
 def _times(df: DataFrame, key: str, ts: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
+    return df.where(named_session(key) & F.col(ts).isNotNull()).select(
         key, epoch_millis(F.col(ts)).alias(TIME)
     )
 

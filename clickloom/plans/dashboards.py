@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from clickloom.schema import SCORE_BUCKET_LABELS
 
-CHART_ROWS = 10_000
 TOP_SESSIONS = 25
 MIN_SESSIONS = 100
 AVERAGED_BUCKETS = 12
@@ -110,20 +109,20 @@ def latest_histogram(metrics: DataFrame) -> DataFrame:
 
 def confusion_heatmap(matrix: DataFrame) -> DataFrame:
     totals = matrix.groupBy("predicted", "actual").agg(F.sum("count").alias("observations"))
-    return totals.orderBy("predicted", "actual").limit(CHART_ROWS)
+    return totals.orderBy("predicted", "actual")
 
 
 def importance_bar(importance: DataFrame) -> DataFrame:
     highest = importance.groupBy("feature").agg(F.max("importance").alias("importance"))
-    return highest.orderBy("importance", "feature").limit(CHART_ROWS)
+    return highest.orderBy("importance", "feature")
 
 
 def roc_line(curve: DataFrame) -> DataFrame:
     highest = curve.groupBy("fpr").agg(F.max("tpr").alias("true_positive_rate"))
-    return highest.orderBy("fpr").limit(CHART_ROWS)
+    return highest.orderBy("fpr")
 
 
 def model_table(comparison: DataFrame) -> DataFrame:
     return comparison.select(
         "model", "accuracy", "balanced_accuracy", "true_class_f1", "roc_auc", "pr_auc"
-    ).limit(CHART_ROWS)
+    )

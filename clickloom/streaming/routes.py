@@ -115,10 +115,11 @@ def archive_stream(
 ) -> StreamingQuery:
     """Append clean records to Parquet partitioned by ``event_date``.
 
-    Each batch first gathers a date's rows into ``files_per_date`` evenly filled parts, so it
-    adds that many files per date instead of one per task and date.
+    Each batch first gathers a date's rows into ``files_per_date`` parts by a hash of the record,
+    so it adds that many files per date instead of one per task and date, and a repeated task
+    sends each record the same way.
     """
-    part = F.floor(F.rand(7) * files_per_date)
+    part = F.pmod(F.xxhash64(*clean.columns), F.lit(files_per_date))
     writer = (
         with_event_date(clean)
         .withColumn("_part", part)

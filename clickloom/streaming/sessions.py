@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from clickloom.functions.keys import named_session
 from clickloom.functions.times import epoch_millis
 from clickloom.operators.botrate import bot_rate_windows, latest_per_window, status_filter
 from clickloom.schema import (
@@ -248,7 +249,7 @@ def score_sessions_stream(
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     cloudpickle.register_pickle_by_value(sys.modules["clickloom.schema"])
     narrow = (
-        events.where(F.col(key).isNotNull() & (F.trim(key) != "") & F.col(ts).isNotNull())
+        events.where(named_session(key) & F.col(ts).isNotNull())
         .select(F.col(key).alias("user_session"), F.col(ts).cast("timestamp").alias("ts"))
         .withColumn("event_ms", epoch_millis(F.col("ts")))
         .withWatermark("ts", f"{out_of_orderness_ms} milliseconds")

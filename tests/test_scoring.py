@@ -191,3 +191,37 @@ def test_histogram_with_missing_parts(spark):
     metrics = spark.createDataFrame(rows, "window_end int, score_histogram string")
     found = {r["bucket"]: r["sessions"] for r in dashboards.latest_histogram(metrics).collect()}
     assert found == {"0.0-0.2": 7, "0.2-0.4": 0, "0.4-0.6": 0, "0.6-0.8": 0, "0.8-1.0": 3}
+
+
+def test_scoring_refuses_missing_thresholds(spark):
+    from clickloom.operators.intervals import percentile_unpivot, thresholds_of
+    from clickloom.schema import INTERVAL_STATISTICS
+
+    columns = ", ".join(f"{name}_values array<double>" for name in INTERVAL_STATISTICS)
+    row = spark.createDataFrame([([1.0] * 101, [2.0] * 101, [3.0] * 101, None)], columns)
+    table = percentile_unpivot(row)
+    assert table.count() == 101 and table.where("sd_click_interval_ms is null").count() == 101
+    for missing in (table, percentile_unpivot(row.limit(0))):
+        with pytest.raises(ValueError, match="sd_click_interval_ms"):
+            thresholds_of(missing)
+
+
+def test_equal_times_follow_the_tiebreak_in_both_plans(spark):
+    from clickloom.operators.intervals import click_intervals
+
+    rows = [("a", 0, 9), ("a", 5, 3), ("a", 5, 1), ("a", 5, 2), ("a", 7, None), ("a", 7, 4)]
+    events = spark.createDataFrame(rows, "user_session string, s long, n long").selectExpr(
+        "user_session", "timestamp_seconds(s) AS event_time", "n"
+    )
+    found = [
+        {(r.n, r.click_interval_ms) for r in click_intervals(events, tiebreak="n", hot_limit=limit).collect()}
+        for limit in (None, 1)
+    ]
+    assert found[0] == found[1] == {(9, None), (1, 5000.0), (2, 0.0), (3, 0.0), (4, 2000.0), (None, 0.0)}
+
+
+def test_blank_sessions_are_none_for_the_batch_twin(spark):
+    from clickloom.functions.keys import named_session
+
+    keys = spark.createDataFrame([("a",), ("",), (" \t",), (None,)], "k string")
+    assert [r.k for r in keys.where(named_session("k")).collect()] == ["a"]
