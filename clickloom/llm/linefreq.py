@@ -35,7 +35,7 @@ _PLACE = stream(21, WINDOW) | np.uint64(1)
 
 STATS = (
     "doc_id long, host string, row_a long, row_b long, n_words long, word_chars long, n_symbols long, "
-    "n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:long>>"
+    "n_dup_lines long, n_repeat_words long, m1 long, m2 long, lines array<struct<line:long,words:long>>"
 )
 
 
@@ -80,7 +80,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        n_words, chars, symbols, dups, repeats, lines = [], [], [], [], [], []
+        n_words, chars, symbols, dups, repeats, lines, lowest = [], [], [], [], [], [], []
         for first, last, data, offsets in slices(texts):
             starts, ends = word_spans(data)
             words = hash_spans_exact(data, starts, ends)
@@ -96,6 +96,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 repeats.append(repeated_words(words[bounds[i] : bounds[i + 1]]))
                 twice, own = line_words(raw[offsets[i] : offsets[i + 1] - 1])
                 dups.append(twice)
+                lowest.append([*sorted(own)[:2], None, None][:2])
                 lines.append([{"line": k, "words": v} for k, v in own.items()])
         yield pa.RecordBatch.from_arrays(
             [
@@ -104,6 +105,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("row_a"),
                 batch.column("row_b"),
                 *(pa.array(x, pa.int64()) for x in (n_words, chars, symbols, dups, repeats)),
+                *(pa.array([m[k] for m in lowest], pa.int64()) for k in (0, 1)),
                 pa.array(lines, kind),
             ],
             names=[f.split()[0] for f in STATS.split(", ")],
@@ -126,9 +128,7 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[
     """Statistics with verdicts per row, and the boilerplate lines of each row that has any."""
     bound_batches(docs.sparkSession)
     stats = materialize(docs.select(*_named(docs, id_col, text_col, host_col)).mapInArrow(_stats, STATS), "line-stats")
-    lowest = F.array_min("lines.line")
-    second = F.array_min(F.filter("lines.line", lambda x: x > lowest))
-    lines = stats.select("row_a", "row_b", "host", lowest.alias("m1"), second.alias("m2"), F.explode("lines").alias("l"))
+    lines = stats.select("row_a", "row_b", "host", "m1", "m2", F.explode("lines").alias("l"))
     lines = lines.select(
         "row_a", "row_b", "host", F.col("l.line").alias("line"), F.col("l.words").alias("words"),
         F.when(F.col("l.line") == F.col("m1"), F.coalesce("m2", F.lit(0))).otherwise(F.col("m1")).alias("other"),
@@ -151,8 +151,9 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     depleted = F.coalesce("lost", F.lit(0)) > 0
     depleted &= (rest < LEAST_WORDS) | (rest < LEAST_SHARE * F.col("n_words"))
-    judged = stats.drop("lines").join(removed.drop("common"), ["row_a", "row_b"], "left").select(
-        *stats.drop("lines").columns, rest.alias("rest_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept")
+    narrow = stats.drop("lines", "m1", "m2")
+    judged = narrow.join(removed.drop("common"), ["row_a", "row_b"], "left").select(
+        *narrow.columns, rest.alias("rest_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept")
     )
     return judged, removed
 

@@ -25,7 +25,7 @@ LOW = 0.3  # importance below this is noise
 LEAST_PAGES = 5  # unlike pages that must show a text before it can be noise
 
 _TREE = (
-    "row_a long, row_b long, host string, blocks array<struct<path:string,text:long,chars:long>>, "
+    "row_a long, row_b long, host string, m1 long, m2 long, blocks array<struct<path:string,text:long,chars:long>>, "
     "styles array<struct<path:string,style:long>>"
 )
 _TEXT = "page_id long, url string, text string, n_chars long"
@@ -39,11 +39,12 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64()), ("chars", pa.int64())]))
     style = pa.list_(pa.struct([("path", pa.string()), ("style", pa.int64())]))
     for batch in batches:
-        blocks, styles = [], []
+        blocks, styles, lowest = [], [], []
         for html in batch.column("html").to_pylist():
             found, elements = parse(html or "")
             own = {(b.element.path, text_hash(b.text)): len(b.text) for b in found}
             blocks.append([{"path": p, "text": t, "chars": n} for (p, t), n in own.items()])
+            lowest.append([*sorted({t for _, t in own})[:2], None, None][:2])
             seen = {}
             for e in elements:
                 if e.children:  # runs of equal children count once
@@ -51,8 +52,9 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen[e.path] = text_hash(" ".join(seq))
             styles.append([{"path": p, "style": s} for p, s in seen.items()])
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("row_a", "row_b", "host")), pa.array(blocks, block), pa.array(styles, style)],
-            names=["row_a", "row_b", "host", "blocks", "styles"],
+            [*(batch.column(c) for c in ("row_a", "row_b", "host")),
+             *(pa.array([m[k] for m in lowest], pa.int64()) for k in (0, 1)), pa.array(blocks, block), pa.array(styles, style)],
+            names=["row_a", "row_b", "host", "m1", "m2", "blocks", "styles"],
         )
 
 
@@ -100,9 +102,7 @@ def style_tree(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     pages = trees.groupBy("host").agg(F.countDistinct("row_a", "row_b").alias("m"))
     pages = materialize(pages, "host-pages")
-    lowest = F.array_min("blocks.text")
-    second = F.array_min(F.filter("blocks.text", lambda x: x > lowest))
-    rows = trees.select("host", lowest.alias("m1"), second.alias("m2"), F.explode("blocks").alias("b"))
+    rows = trees.select("host", "m1", "m2", F.explode("blocks").alias("b"))
     rows = rows.select(
         "host", F.col("b.path").alias("path"), F.col("b.text").alias("text"), F.col("b.chars").alias("chars"),
         F.when(F.col("b.text") == F.col("m1"), F.coalesce("m2", F.lit(0))).otherwise(F.col("m1")).alias("other"),
