@@ -868,7 +868,7 @@ def replay_tick(spark, sf_dir):
     ),
 )
 def ordered_dispatch(spark, sf_dir):
-    rows = perturb.ordered_dispatch(materialize(_delayed(spark, sf_dir), "delayed"))
+    rows = perturb.ordered_dispatch(_delayed(spark, sf_dir))
     return rows.select("event_id", "dispatch_position")
 
 
@@ -881,7 +881,7 @@ def ordered_dispatch(spark, sf_dir):
     ),
 )
 def out_of_order_flag(spark, sf_dir):
-    rows = perturb.out_of_order_flag(materialize(_delayed(spark, sf_dir), "delayed"))
+    rows = perturb.out_of_order_flag(_delayed(spark, sf_dir))
     return rows.select("event_id", "out_of_order")
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators.ordering import CHUNK, row_positions, running_in_order, with_chunks
-from clickloom.session import materialize
 
 METRIC_ORDER = [
     "accuracy",
@@ -101,8 +100,7 @@ def score_steps(
     counted = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(hit).alias("positives"), F.count_if(~hit).alias("negatives")
     )
-    counted = materialize(counted.withColumn("_rank", -F.col("score")), "score-steps")
-    chunked = with_chunks(counted, ["_rank"], chunks)
+    chunked = with_chunks(counted.withColumn("_rank", -F.col("score")), ["_rank"], chunks)
     summed = running_in_order(
         chunked, [], ["_rank"], {"tp": ("sum", "positives"), "fp": ("sum", "negatives")}
     )

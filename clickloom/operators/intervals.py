@@ -2,75 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.scoring import mean_of, sample_sd, square
 from clickloom.functions.times import epoch_micros
-from clickloom.operators.hotkeys import by_key_size
-from clickloom.operators.ordering import lag_in_order, with_chunks
 from clickloom.operators.percentiles import exact_percentiles
+from clickloom.operators.spans import SPAN, in_spans
 from clickloom.schema import INTERVAL_STATISTICS, SCORED_STATISTICS
-from clickloom.session import materialize
 
 GAP = "_gap_us"
 TIME = "_time_us"
+PER_SECOND = 1_000_000
 
 
-def _timed(df: DataFrame, key: str, ts: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn(
-        TIME, epoch_micros(F.col(ts))
-    )
-
-
-def _gaps_by_window(df: DataFrame, key: str, tiebreak: str | None = None) -> DataFrame:
-    order = [F.col(TIME), *([F.col(tiebreak).asc_nulls_last()] if tiebreak else [])]
-    previous = F.lag(TIME).over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn(GAP, F.col(TIME) - previous)
-
-
-def _gaps_of_distinct_times(df: DataFrame, key: str, *extra) -> DataFrame:
-    """Gaps between the distinct times of oversized keys, cut into time ranges."""
-    times = materialize(
-        df.groupBy(key, TIME).agg(F.count(F.lit(1)).alias("_copies"), *extra), "times"
-    )
-    chunked = with_chunks(times, [key, TIME])
-    return lag_in_order(chunked, [key], TIME, "_before").withColumn(
-        GAP, F.col(TIME) - F.col("_before")
-    )
+def _in_spans(df: DataFrame, key: str, ts: str) -> DataFrame:
+    timed = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    return in_spans(timed.withColumn(TIME, epoch_micros(F.col(ts))), key, TIME, PER_SECOND)
 
 
 def click_intervals(
-    df: DataFrame,
-    key: str = "user_session",
-    ts: str = "event_time",
-    tiebreak: str | None = None,
-    hot_limit: int | None = None,
+    df: DataFrame, key: str = "user_session", ts: str = "event_time", tiebreak: str | None = None
 ) -> DataFrame:
     """Add ``click_interval_ms``: time since the previous event of the same key, null first.
 
     Events with equal times are 0 ms apart; of these the one with the lowest ``tiebreak``
-    carries the gap to the time before. A unique tiebreak keeps the join of oversized keys
-    evenly spread.
+    carries the gap to the time before. The first event of a span looks back to the key's
+    span before it.
     """
-    timed = _timed(df, key, ts)
-    columns = [c for c in df.columns]
-
-    def hot(part: DataFrame) -> DataFrame:
-        tie = tiebreak or "_tie"
-        rows = part if tiebreak else part.withColumn(tie, F.monotonically_increasing_id())
-        rows = materialize(rows, "hot-rows")
-        firsts = _gaps_of_distinct_times(rows, key, F.min(tie).alias("_first")).select(
-            key, TIME, F.col("_first").alias(tie), GAP, F.lit(True).alias("_is_first")
-        )
-        joined = rows.join(firsts, [key, TIME, tie], "left")
-        gap = F.when(F.col("_is_first"), F.col(GAP)).otherwise(F.lit(0).cast("bigint"))
-        return joined.withColumn(GAP, gap).select(*columns, GAP)
-
-    gaps = by_key_size(
-        timed, key, lambda part: _gaps_by_window(part, key, tiebreak).select(*columns, GAP), hot, hot_limit
-    )
-    return gaps.select(*columns, (F.col(GAP) / F.lit(1000.0)).alias("click_interval_ms"))
+    spanned = _in_spans(df, key, ts)
+    ends = _in_spans(df.select(key, ts), key, ts).groupBy(key, SPAN).agg(F.max(TIME).alias("_end"))
+    by_span = Window.partitionBy(key).orderBy(SPAN)
+    carry = ends.select(key, SPAN, F.lag("_end").over(by_span).alias("_carried"))
+    order = [F.col(TIME), *([F.col(tiebreak).asc_nulls_last()] if tiebreak else [])]
+    previous = F.lag(TIME).over(Window.partitionBy(key, SPAN).orderBy(*order))
+    gaps = spanned.withColumn("_previous", previous).join(carry, [key, SPAN])
+    gap = F.col(TIME) - F.coalesce("_previous", "_carried")
+    return gaps.select(*df.columns, (gap / F.lit(1000.0)).alias("click_interval_ms"))
 
 
 def require_interval(df: DataFrame, column: str = "click_interval_ms") -> DataFrame:
@@ -78,26 +46,40 @@ def require_interval(df: DataFrame, column: str = "click_interval_ms") -> DataFr
     return df.where(F.col(column).isNotNull() & (F.col(column) >= 0))
 
 
-def _statistics(gaps: DataFrame, key: str, copies: str | None) -> DataFrame:
-    """Per-key moments in whole microseconds, then statistics in milliseconds.
+def session_interval_stats(
+    df: DataFrame, key: str = "user_session", ts: str = "event_time"
+) -> DataFrame:
+    """Count, mean, min, max and sample deviation of click intervals per session.
 
-    ``copies`` counts events sharing one time; all but the first are 0 ms intervals.
+    Events shuffle once, by key and span: repeated times fold into counts, and a span into one
+    row of moments in whole microseconds. Those rows shuffle by key, where the gaps between
+    spans join in. All but the first of several events at one time are 0 ms intervals.
     """
+    times = _in_spans(df.select(key, ts), key, ts).groupBy(key, SPAN, TIME)
+    times = times.agg(F.count(F.lit(1)).alias("_copies"))
+    before = F.lag(TIME).over(Window.partitionBy(key, SPAN).orderBy(TIME))
     gap = F.col(GAP)
-    if copies is None:
-        kept = gaps.where(gap.isNotNull() & (gap >= 0))
-        count = F.count(F.lit(1))
-        low = F.min(gap)
-    else:
-        kept = gaps
-        count = F.sum(F.col(copies) - F.when(gap.isNull(), 1).otherwise(0))
-        low = F.min(F.when(F.col(copies) > 1, F.lit(0)).otherwise(gap))
-    moments = kept.groupBy(key).agg(
-        count.alias("interval_count"),
-        F.coalesce(F.sum(gap), F.lit(0)).alias("_total"),
-        F.coalesce(F.sum(square(gap)), F.lit(0)).alias("_squares"),
-        low.alias("_low"),
-        F.coalesce(F.max(gap), F.lit(0)).alias("_high"),
+    spans = times.withColumn(GAP, F.col(TIME) - before).groupBy(key, SPAN).agg(
+        F.min(TIME).alias("_first"),
+        F.max(TIME).alias("_last"),
+        F.sum("_copies").alias("_events"),
+        F.sum(gap).alias("_total"),
+        F.sum(square(gap)).alias("_squares"),
+        F.min(F.when(F.col("_copies") > 1, F.lit(0)).otherwise(gap)).alias("_low"),
+        F.max(gap).alias("_high"),
+    )
+    crossing = F.col("_first") - F.lag("_last").over(Window.partitionBy(key).orderBy(SPAN))
+    cross = F.col("_cross")
+
+    def added(inside: str, between) -> Column:
+        return F.coalesce(F.sum(inside), F.lit(0)) + F.coalesce(F.sum(between), F.lit(0))
+
+    moments = spans.withColumn("_cross", crossing).groupBy(key).agg(
+        (F.sum("_events") - 1).alias("interval_count"),
+        added("_total", cross).alias("_total"),
+        added("_squares", square(cross)).cast("decimal(38,0)").alias("_squares"),
+        F.least(F.min("_low"), F.min(cross)).alias("_low"),
+        F.greatest(F.max("_high"), F.max(cross), F.lit(0)).alias("_high"),
     )
     n, total = F.col("interval_count"), F.col("_total")
     thousand = F.lit(1000.0)
@@ -111,26 +93,6 @@ def _statistics(gaps: DataFrame, key: str, copies: str | None) -> DataFrame:
     )
 
 
-def session_interval_stats(
-    df: DataFrame,
-    key: str = "user_session",
-    ts: str = "event_time",
-    hot_limit: int | None = None,
-) -> DataFrame:
-    """Count, mean, min, max and sample deviation of click intervals per session.
-
-    An ordinary session needs one shuffle: the window and the aggregate share it.
-    """
-    timed = _timed(df.select(key, ts), key, ts).select(key, TIME)
-    return by_key_size(
-        timed,
-        key,
-        lambda part: _statistics(_gaps_by_window(part, key), key, None),
-        lambda part: _statistics(_gaps_of_distinct_times(part, key), key, "_copies"),
-        hot_limit,
-    )
-
-
 def interval_percentiles(stats: DataFrame, **options) -> DataFrame:
     """One row of four arrays: percentiles 0..100 of each statistic."""
     found = exact_percentiles(stats, INTERVAL_STATISTICS, [p / 100 for p in range(101)], **options)

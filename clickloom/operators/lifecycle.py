@@ -2,27 +2,31 @@
 
 Batch twin of the session-scoring stream. Times count in whole milliseconds and an event that
 repeats the previous time adds nothing.
+
+A key's events are cut into spans of time. Inside a span they form pieces without a long gap;
+the pieces, far fewer than events, then join up to sessions per key.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.scoring import bot_score, is_bot, mean_of, sample_sd, square
 from clickloom.functions.times import epoch_millis, millis_to_time
 from clickloom.functions.keys import named_session
-from clickloom.operators.hotkeys import by_key_size
-from clickloom.operators.ordering import CHUNK, lag_in_order, running_in_order, with_chunks
+from clickloom.operators.spans import SPAN, in_spans
 from clickloom.schema import BOT_SCORE_THRESHOLD, SCORED_STATISTICS, SESSION_TIMEOUT_MS
-from clickloom.session import materialize
 
 TIME = "_t"
-BEFORE = "_before"
 SEQ = "session_seq"
+PIECE = "_piece"
 GAP = "_gap"
+PER_SECOND = 1_000
 
 
 def _times(df: DataFrame, key: str, ts: str) -> DataFrame:
@@ -31,51 +35,57 @@ def _times(df: DataFrame, key: str, ts: str) -> DataFrame:
     )
 
 
-def _mark_starts(df: DataFrame, timeout_ms: int) -> DataFrame:
-    gap = F.col(TIME) - F.col(BEFORE)
-    starts = F.col(BEFORE).isNull() | (gap > timeout_ms)
-    return df.withColumn("_starts", starts.cast("bigint")).withColumn(GAP, F.when(~starts, gap))
-
-
-def _number_sessions(df: DataFrame, key: str, timeout_ms: int) -> DataFrame:
-    """``(key, time, gap inside the session, session_seq)``, one row per distinct time."""
-    by_time = Window.partitionBy(key).orderBy(TIME)
-    before = df.withColumn(BEFORE, F.lag(TIME).over(by_time))
-    distinct = before.where(F.col(BEFORE).isNull() | (F.col(TIME) > F.col(BEFORE)))
+def _in_pieces(df: DataFrame, key: str, timeout_ms: int) -> DataFrame:
+    """One row per distinct time: its piece within the span and the gap inside that piece."""
+    times = in_spans(df, key, TIME, PER_SECOND).distinct()
+    by_time = Window.partitionBy(key, SPAN).orderBy(TIME)
     upto = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _mark_starts(distinct, timeout_ms).withColumn(SEQ, F.sum("_starts").over(upto))
-
-
-def _number_hot_sessions(df: DataFrame, key: str, timeout_ms: int) -> DataFrame:
-    times = materialize(df.distinct(), "hot-times")
-    chunked = lag_in_order(with_chunks(times, [key, TIME]), [key], TIME, BEFORE)
-    numbered = running_in_order(
-        _mark_starts(chunked, timeout_ms), [key], [TIME], {SEQ: ("sum", "_starts")}
+    gapped = times.withColumn(GAP, F.col(TIME) - F.lag(TIME).over(by_time))
+    breaks = F.coalesce(F.col(GAP) > timeout_ms, F.lit(False))
+    numbered = gapped.withColumn(PIECE, F.sum(breaks.cast("bigint")).over(upto))
+    return numbered.withColumn(GAP, F.when(~breaks, F.col(GAP)))
+
+
+def _joined_up(rows: DataFrame, key: str, timeout_ms: int) -> DataFrame:
+    """One row per piece with its session and ``_cross``, the gap to that session's last piece."""
+    pieces = rows.groupBy(key, SPAN, PIECE).agg(
+        F.min(TIME).alias("_first"),
+        F.max(TIME).alias("_last"),
+        F.count(F.lit(1)).alias("event_count"),
+        F.sum(GAP).alias("_total"),
+        F.sum(square(F.col(GAP))).alias("_squares"),
+        F.min(GAP).alias("_low"),
     )
-    return materialize(numbered, "hot-sessions")
-
-
-_SUMS = {
-    "event_count": ("sum", "_one"),
-    "_total": ("sum", GAP),
-    "_squares": ("sum", "_square"),
-    "_low": ("min", GAP),
-}
+    by_time = Window.partitionBy(key).orderBy("_first")
+    upto = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gapped = pieces.withColumn("_cross", F.col("_first") - F.lag("_last").over(by_time))
+    starts = F.coalesce(F.col("_cross") > timeout_ms, F.lit(True))
+    numbered = gapped.withColumn(SEQ, F.sum(starts.cast("bigint")).over(upto))
+    return numbered.withColumn("_cross", F.when(~starts, F.col("_cross")))
 
 
-def _with_addends(df: DataFrame) -> DataFrame:
-    return df.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_square", square(F.col(GAP)))
+def _plus(*parts) -> Column:
+    """Sum of counts or moments, absent ones as 0."""
+    return reduce(operator.add, [F.coalesce(part, F.lit(0)) for part in parts])
 
 
-def _running(df: DataFrame, key: str) -> DataFrame:
-    upto = (
-        Window.partitionBy(key, SEQ)
-        .orderBy(TIME)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _carries(pieces: DataFrame, key: str) -> DataFrame:
+    """What each span's first piece continues: moments of its session up to that piece."""
+    session = Window.partitionBy(key, SEQ).orderBy("_first")
+    earlier = session.rowsBetween(Window.unboundedPreceding, -1)
+    upto = session.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cross = F.col("_cross")
+    carried = pieces.select(
+        key,
+        SPAN,
+        PIECE,
+        F.col(SEQ).alias("_first_seq"),
+        F.sum("event_count").over(earlier).alias("_c_events"),
+        _plus(F.sum("_total").over(earlier), F.sum(cross).over(upto)).alias("_c_total"),
+        _plus(F.sum("_squares").over(earlier), F.sum(square(cross)).over(upto)).alias("_c_squares"),
+        F.least(F.min("_low").over(earlier), F.min(cross).over(upto)).alias("_c_low"),
     )
-    functions = {"sum": F.sum, "min": F.min}
-    added = {out: functions[op](column).over(upto) for out, (op, column) in _SUMS.items()}
-    return _with_addends(df).withColumns(added)
+    return carried.where(F.col(PIECE) == 0).drop(PIECE)
 
 
 def _scored(
@@ -121,21 +131,38 @@ def running_session_score(
     key: str = "user_session",
     ts: str = "event_time",
     threshold: float = BOT_SCORE_THRESHOLD,
-    hot_limit: int | None = None,
 ) -> DataFrame:
     """The ``active`` rows of the stream: a session's state after each of its events."""
+    rows = _in_pieces(_times(df, key, ts), key, timeout_ms)
+    carries = _carries(_joined_up(rows, key, timeout_ms), key)
+    upto = (
+        Window.partitionBy(key, SPAN, PIECE)
+        .orderBy(TIME)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    first = F.col(PIECE) == 0
 
-    def hot(part: DataFrame) -> DataFrame:
-        numbered = _with_addends(_number_hot_sessions(part, key, timeout_ms))
-        return running_in_order(numbered, [key, SEQ], [TIME], _SUMS).drop(CHUNK)
+    def carried(column: str) -> Column:
+        return F.when(first, F.col(column))
 
-    columns = [key, SEQ, TIME, *_SUMS]
-    rows = by_key_size(
-        _times(df, key, ts),
+    inside = rows.select(
         key,
-        lambda part: _running(_number_sessions(part, key, timeout_ms), key).select(*columns),
-        lambda part: hot(part).select(*columns),
-        hot_limit,
+        SPAN,
+        PIECE,
+        TIME,
+        F.count(F.lit(1)).over(upto).alias("event_count"),
+        F.sum(GAP).over(upto).alias("_total"),
+        F.sum(square(F.col(GAP))).over(upto).alias("_squares"),
+        F.min(GAP).over(upto).alias("_low"),
+    )
+    rows = inside.join(carries, [key, SPAN]).select(
+        key,
+        (F.col("_first_seq") + F.col(PIECE)).alias(SEQ),
+        TIME,
+        _plus(F.col("event_count"), carried("_c_events")).alias("event_count"),
+        _plus(F.col("_total"), carried("_c_total")).alias("_total"),
+        _plus(F.col("_squares"), carried("_c_squares")).cast("decimal(38,0)").alias("_squares"),
+        F.least(F.col("_low"), carried("_c_low")).alias("_low"),
     )
     return _scored(
         rows, key, table, threshold, F.lit("active"), F.lit(None).cast("timestamp_ntz")
@@ -150,7 +177,6 @@ def batch_session_lifecycle(
     ts: str = "event_time",
     threshold: float = BOT_SCORE_THRESHOLD,
     as_of_ms: int | None = None,
-    hot_limit: int | None = None,
 ) -> DataFrame:
     """One final row per session, numbered by ``session_seq`` within a re-used key.
 
@@ -158,21 +184,14 @@ def batch_session_lifecycle(
     sessions whose timeout lies after it are still ``active``.
     """
 
-    def closed(numbered: DataFrame) -> DataFrame:
-        return numbered.groupBy(key, SEQ).agg(
-            F.max(TIME).alias(TIME),
-            F.count(F.lit(1)).alias("event_count"),
-            F.sum(GAP).alias("_total"),
-            F.sum(square(F.col(GAP))).alias("_squares"),
-            F.min(GAP).alias("_low"),
-        )
-
-    rows = by_key_size(
-        _times(df, key, ts),
-        key,
-        lambda part: closed(_number_sessions(part, key, timeout_ms)),
-        lambda part: closed(_number_hot_sessions(part, key, timeout_ms)),
-        hot_limit,
+    pieces = _joined_up(_in_pieces(_times(df, key, ts), key, timeout_ms), key, timeout_ms)
+    cross = F.col("_cross")
+    rows = pieces.groupBy(key, SEQ).agg(
+        F.max("_last").alias(TIME),
+        F.sum("event_count").alias("event_count"),
+        _plus(F.sum("_total"), F.sum(cross)).alias("_total"),
+        _plus(F.sum("_squares"), F.sum(square(cross))).cast("decimal(38,0)").alias("_squares"),
+        F.least(F.min("_low"), F.min(cross)).alias("_low"),
     )
     close_ms = F.col(TIME) + timeout_ms
     if as_of_ms is None:

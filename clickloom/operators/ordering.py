@@ -1,11 +1,9 @@
 """Sequence operators over data whose order has to be cut into pieces.
 
-A window over one key (or over everything) runs in one task. These operators cut the sort
-order into chunks at sampled boundaries, work inside each chunk, and carry a small summary
-from chunk to chunk. A row's chunk is a fixed function of its own sort columns, so retried
-tasks and separate passes always agree. A boundary can be crossed by at most one key, so a
-carry table never has more rows than there are chunks: that bound is what makes it safe to
-broadcast.
+A window over everything runs in one task. These operators cut the sort order into ranges,
+work inside each range, and carry a small summary from range to range. The ranges are stored:
+retried tasks and separate passes read the same range number with the row. A carry table has
+one row per range and is broadcast for that reason.
 """
 
 from __future__ import annotations
@@ -15,52 +13,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.functions.search import count_at_or_below
+from clickloom.session import materialize
 
 CHUNK = "_chunk"
-SAMPLE_PER_CHUNK = 48
-MAX_CHUNKS = 2048
-ONE_TASK_ROWS = 250_000
 
 
 def default_chunks(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_CHUNKS, 2 * partitions))
+    """Twice the shuffle partitions: the setting that is sized for the data sizes the ranges."""
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sample_boundaries(
-    df: DataFrame, order: Sequence[str], chunks: int | None = None, seed: int = 17
-) -> list:
-    """Up to ``chunks - 1`` sorted boundary values that cut the order about evenly.
-
-    The sample only steers balance; at most about ``SAMPLE_PER_CHUNK * chunks`` rows of the
-    sort columns reach the driver. Unless ``chunks`` is given, tables that one task can hold
-    stay in one piece.
-    """
-    narrow = df.select(*order)
-    total = narrow.count()
-    if total == 0 or (chunks is None and total <= ONE_TASK_ROWS):
-        return []
-    chunks = chunks or default_chunks(df)
-    wanted = SAMPLE_PER_CHUNK * chunks
-    if total > wanted:
-        narrow = narrow.sample(fraction=wanted / total, seed=seed)
-    rows = sorted(tuple(row) for row in narrow.collect() if None not in row)
-    cuts = sorted({rows[len(rows) * i // chunks] for i in range(1, chunks)}) if rows else []
-    return [cut[0] for cut in cuts] if len(order) == 1 else cuts
-
-
-def with_chunks(
-    df: DataFrame,
-    order: Sequence[str],
-    chunks: int | None = None,
-    boundaries: list | None = None,
-) -> DataFrame:
-    """Add the chunk number. ``order`` holds numeric or string columns."""
-    if boundaries is None:
-        boundaries = sample_boundaries(df, order, chunks)
-    value = order[0] if len(order) == 1 else f"struct({', '.join(order)})"
-    return df.withColumn(CHUNK, count_at_or_below(value, boundaries))
+def with_chunks(df: DataFrame, order: Sequence[str], chunks: int | None = None) -> DataFrame:
+    """``df`` stored in ranges of ``order``, with the range number."""
+    ranged = df.repartitionByRange(chunks or default_chunks(df), *order)
+    return materialize(ranged.withColumn(CHUNK, F.spark_partition_id()), "ranges")
 
 
 def _within(keys: Sequence[str], order: Sequence[str]) -> Window:
@@ -68,22 +34,12 @@ def _within(keys: Sequence[str], order: Sequence[str]) -> Window:
 
 
 def _attach_carry(df: DataFrame, summary: DataFrame, keys: Sequence[str], carried: list[str]) -> DataFrame:
-    """Join chunk summaries back. Only keys that cross a chunk boundary have a carry."""
+    """Join range summaries back. Only keys that cross a range boundary have a carry, and a
+    boundary is crossed by at most one key."""
     carry = summary.where(F.col(carried[0]).isNotNull()).select(CHUNK, *keys, *carried)
     return df.join(F.broadcast(carry), [CHUNK, *keys], "left")
 
 
-def lag_in_order(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
-    """Previous ``order`` value within ``keys``; ``df`` already has chunks."""
-    ends = df.groupBy(CHUNK, *keys).agg(F.max(order).alias("_end"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK)
-    ends = ends.withColumn("_carried", F.lag("_end").over(before))
-    joined = _attach_carry(df, ends, keys, ["_carried"])
-    return joined.withColumn(
-        out, F.coalesce(F.lag(order).over(_within(keys, [order])), F.col("_carried"))
-    ).drop("_carried")
-
-
 _COMBINE = {
     "sum": lambda value: F.sum(value),
     "min": lambda value: F.min(value),
@@ -140,8 +96,9 @@ def row_slice(df: DataFrame, order: Sequence[str], start: int = 0, rows: int | N
               chunks: int | None = None) -> DataFrame:
     """Rows ``start`` up to ``start + rows`` in sort order.
 
-    ``order`` must identify a row. Chunk sizes decide which chunks lie wholly inside the
-    slice; those pass through unsorted and only the one or two cut chunks are numbered.
+    ``order`` must identify a row. Range sizes decide which ranges lie wholly inside the
+    slice; those pass through unsorted and only the one or two cut ranges are numbered. The
+    range numbers are pushed into the scan of the stored ranges.
     """
     stop = None if rows is None else start + rows
     chunked = with_chunks(df, order, chunks)
@@ -156,7 +113,8 @@ def row_slice(df: DataFrame, order: Sequence[str], start: int = 0, rows: int | N
             whole.append(chunk)
         else:
             cut.append((chunk, first))
-    result = chunked.where(F.col(CHUNK).isin(whole)).drop(CHUNK)
+    inside = F.col(CHUNK).between(whole[0], whole[-1]) if whole else F.lit(False)
+    result = chunked.where(inside).drop(CHUNK)
     for chunk, first in cut:
         position = F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order)) - 1 + F.lit(first)
         numbered = chunked.where(F.col(CHUNK) == chunk).withColumn("_position", position)

@@ -8,34 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.operators.ordering import CHUNK, ONE_TASK_ROWS, running_in_order, with_chunks
-from clickloom.session import materialize
+from clickloom.operators.ordering import CHUNK, running_in_order, with_chunks
 
 
 def exact_percentiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    fractions: Sequence[float],
-    one_task_rows: int = ONE_TASK_ROWS,
-    chunks: int | None = None,
+    df: DataFrame, columns: Sequence[str], fractions: Sequence[float], chunks: int | None = None
 ) -> DataFrame:
     """One row per column: ``(statistic, percentiles array<double>)``, nulls ignored.
 
-    ``df`` is read more than once, so pass a stored table. Up to ``one_task_rows`` rows the
-    built-in aggregate does the work; beyond, :func:`percentiles_by_rank` does.
+    Counts each value, cuts the values into ranges, adds up range sizes, then looks inside
+    only those ranges that hold a wanted rank. A column without values has no percentiles.
     """
-    if df.count() > one_task_rows:
-        return percentiles_by_rank(df, columns, fractions, chunks)
-    wanted = F.array(*[F.lit(float(f)) for f in fractions])
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(c) for c in columns])
-    return row.unpivot([], list(columns), "statistic", "percentiles")
-
-
-def percentiles_by_rank(
-    df: DataFrame, columns: Sequence[str], fractions: Sequence[float], chunks: int | None = None
-) -> DataFrame:
-    """Same result from ranks: count each value, cut the values into ranges, add up range
-    sizes, then look inside only those ranges that hold a wanted rank."""
     spark = df.sparkSession
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "statistic", "value"
@@ -43,13 +26,10 @@ def percentiles_by_rank(
     counted = values.where(F.col("value").isNotNull()).groupBy("statistic", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
-    counted = materialize(counted, "value-counts")
-
-    order = ["statistic", "value"]
-    chunked = with_chunks(counted, order, chunks)
+    chunked = with_chunks(counted, ["statistic", "value"], chunks)
     sizes = (
         chunked.groupBy("statistic", CHUNK).agg(F.sum("n").alias("n")).collect()
-    )  # at most one row per chunk and statistic
+    )  # at most one row per range and statistic
     spans: dict[str, list[tuple[int, int, int]]] = {}
     for row in sorted(sizes, key=lambda r: (r["statistic"], r[CHUNK])):
         spans_of = spans.setdefault(row["statistic"], [])
@@ -71,9 +51,6 @@ def percentiles_by_rank(
             ranks = sorted(rank for rank in wanted if first <= rank < last)
             if ranks:
                 picks.append((name, chunk, first, ranks))
-    if not targets:
-        empty = spark.createDataFrame([], "statistic string, percentiles array<double>")
-        return empty
 
     pick_table = spark.createDataFrame(
         picks, f"statistic string, {CHUNK} int, _first bigint, _ranks array<bigint>"
@@ -99,6 +76,8 @@ def percentiles_by_rank(
     joined = target_table.join(at_low, ["statistic", "low"]).join(at_high, ["statistic", "high"])
     value = F.col("v_low") * (1 - F.col("part")) + F.col("v_high") * F.col("part")
     pairs = F.array_sort(F.collect_list(F.struct("position", value.alias("value"))))
-    return joined.groupBy("statistic").agg(
+    ranked_values = joined.groupBy("statistic").agg(
         F.transform(pairs, lambda pair: pair["value"]).alias("percentiles")
     )
+    names = spark.createDataFrame([(name,) for name in columns], "statistic string")
+    return names.join(ranked_values, "statistic", "left")

@@ -1,4 +1,4 @@
-"""Chunked sequence operators and oversized keys against brute force."""
+"""Ranged sequence operators and keys of any size against brute force."""
 
 import numpy as np
 import pandas as pd
@@ -6,18 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.functions.search import count_at_or_below
-from clickloom.operators import intervals, lifecycle, ordering
-from clickloom.operators.hotkeys import find_hot_keys
-from clickloom.operators.percentiles import percentiles_by_rank
+from clickloom.operators import intervals, lifecycle, ordering, spans
+from clickloom.operators.percentiles import exact_percentiles
 from clickloom.schema import INTERVAL_STATISTICS
 
 
-@pytest.fixture(autouse=True)
-def many_chunks(monkeypatch):
-    """Cut even small inputs into chunks."""
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", 100)
-
-
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of the rows in one key, one key of copies of a single time, and many small."""
@@ -75,58 +68,104 @@ def test_running_operations(spark, skewed):
         assert found[name].tolist() == ordered[name].tolist()
 
 
-def test_hot_keys_are_found(spark, skewed):
-    _, df = skewed
-    assert sorted(find_hot_keys(df, "user_session", limit=500)) == ["copies", "hot"]
-    assert find_hot_keys(df, "user_session", limit=10_000) == []
-
-
-def test_intervals_of_oversized_keys(spark, skewed):
+def test_intervals_of_any_key(spark, skewed):
     frame, df = skewed
     ordered = frame.sort_values(["user_session", "ms"])
     expected = sorted(ordered.groupby("user_session")["ms"].diff().dropna().tolist())
     for tiebreak in ("id", None):
-        found = intervals.click_intervals(df, tiebreak=tiebreak, hot_limit=500)
+        found = intervals.click_intervals(df, tiebreak=tiebreak)
         assert found.count() == len(frame)
         got = sorted(r[0] for r in found.select("click_interval_ms").dropna().collect())
         assert got == expected
 
 
-def test_statistics_of_oversized_keys(spark, skewed):
+def test_statistics_of_any_key(spark, skewed, monkeypatch):
     frame, df = skewed
     gaps = frame.sort_values(["user_session", "ms"]).assign(
         gap=lambda f: f.groupby("user_session")["ms"].diff()
     ).dropna()
     expected = gaps.groupby("user_session")["gap"].agg(["count", "mean", "min", "max", "std"])
-    plain = intervals.session_interval_stats(df).toPandas().set_index("user_session").sort_index()
-    hot = intervals.session_interval_stats(df, hot_limit=500).toPandas().set_index("user_session")
-    pd.testing.assert_frame_equal(plain, hot.sort_index(), check_exact=True)
     expected = expected.sort_index().astype("float64")
+    results = []
+    for seconds in (1, 600, 10**7):
+        monkeypatch.setattr(spans, "SPAN_SECONDS", seconds)
+        found = intervals.session_interval_stats(df).toPandas()
+        results.append(found.set_index("user_session").sort_index())
+    for found in results:
+        pd.testing.assert_frame_equal(results[0], found, check_exact=True)
     np.testing.assert_allclose(
-        plain.astype("float64").to_numpy(), expected.to_numpy(), rtol=1e-9
+        results[0].astype("float64").to_numpy(), expected.to_numpy(), rtol=1e-9
     )
 
 
-def test_scores_of_oversized_keys(spark, skewed):
-    _, df = skewed
-    table = {name: [float(v) for v in range(0, 2_020_000, 20_000)] for name in INTERVAL_STATISTICS}
-    for function in (lifecycle.running_session_score, lifecycle.batch_session_lifecycle):
-        plain = function(df, table, 60_000)
-        hot = function(df, table, 60_000, hot_limit=500)
-        assert plain.count() == hot.count()
-        assert plain.exceptAll(hot).isEmpty() and hot.exceptAll(plain).isEmpty()
+def _plain_sessions(frame, timeout):
+    """Every session as ``(key, number, [times])``, from one pass over each key's times."""
+    found = []
+    for key, times in frame.groupby("user_session")["ms"]:
+        number, current = 0, []
+        for time in sorted(set(times.tolist())):
+            if not current or time - current[-1] > timeout:
+                number, current = number + 1, []
+                found.append((key, number, current))
+            current.append(time)
+    return found
 
 
-def test_percentiles_by_rank(spark):
+@pytest.mark.parametrize("timeout", [60_000, 2_000_000])
+def test_scores_of_any_key(spark, skewed, timeout):
+    frame, df = skewed
+    table = {name: [float(v) for v in range(0, 2_020_000, 20_000)] for name in INTERVAL_STATISTICS}
+    expected, running = {}, {}
+    for key, number, times in _plain_sessions(frame, timeout):
+        for upto in range(1, len(times) + 1):
+            gaps = np.diff(times[:upto])
+            running[key, number, upto] = (
+                times[upto - 1],
+                gaps.mean() if upto > 1 else None,
+                gaps.min() if upto > 1 else None,
+                gaps.std(ddof=1) if upto > 2 else None,
+            )
+        expected[key, number] = (len(times), running[key, number, len(times)])
+
+    def values(row):
+        time = int(pd.Timestamp(row.last_event_time).value // 1_000_000)
+        return time, row.mean_click_interval_ms, row.min_click_interval_ms, row.sd_click_interval_ms
+
+    def same(found, wanted):
+        return all(
+            (a is None) == (b is None) and (a is None or a == pytest.approx(b, rel=1e-9))
+            for a, b in zip(found, wanted, strict=True)
+        )
+
+    rows = lifecycle.running_session_score(df, table, timeout).collect()
+    assert len(rows) == len(running)
+    for r in rows:
+        assert same(values(r), running[r.user_session, r.session_seq, r.event_count])
+    rows = lifecycle.batch_session_lifecycle(df, table, timeout).collect()
+    assert len(rows) == len(expected)
+    for r in rows:
+        count, wanted = expected[r.user_session, r.session_seq]
+        assert r.event_count == count and r.interval_count == count - 1 and same(values(r), wanted)
+
+
+@pytest.mark.parametrize("function", [intervals.session_interval_stats, intervals.click_intervals])
+def test_empty_tables(spark, function):
+    empty = spark.createDataFrame([], "user_session string, event_time timestamp")
+    assert function(empty).count() == 0
+
+
+def test_percentiles(spark):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({"a": rng.exponential(5, 3_001), "b": np.repeat([1.0, 2.0, 7.0], [1000, 2000, 1])})
     frame.loc[::10, "a"] = np.nan
     df = spark.createDataFrame(frame).select(
-        *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("a", "b")]
+        *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("a", "b")],
+        F.lit(None).cast("double").alias("c"),
     )
     fractions = [p / 100 for p in range(101)]
-    found = percentiles_by_rank(df, ["a", "b"], fractions, chunks=11)
+    found = exact_percentiles(df, ["a", "b", "c"], fractions, chunks=11)
     result = {r["statistic"]: r["percentiles"] for r in found.collect()}
     for name in ("a", "b"):
         expected = np.quantile(frame[name].dropna(), fractions)
         np.testing.assert_allclose(result[name], expected, rtol=1e-12)
+    assert result["c"] is None
