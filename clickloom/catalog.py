@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom import catalog_sql as S
+from clickloom.functions.hashing import hash_uniform
 from clickloom.functions.scoring import percentile_rank_lookup, sample_sd, score_bucket, square
 from clickloom.functions.times import epoch_millis, event_date
 from clickloom.operators import botrate, evaluate, intervals, lifecycle, perturb, quality, sessions
@@ -896,10 +897,12 @@ def row_slice(spark, sf_dir):
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions with a given score, so that the evaluation has one right answer."""
+    """Sessions with a given score, so that the evaluation has one right answer. A draw per
+    session makes about as many scores as sessions."""
     staged = sessions.staging_events(clickstream(spark, sf_dir))
     mix = (7 * F.col("hour_of_day") + 13 * F.col("view_count") + 5 * F.col("cart_add_count")) % 101
-    return sessions.session_features(staged).select("converted", (mix / F.lit(101.0)).alias("score"))
+    score = (mix + hash_uniform("score", F.col("user_session"))) / F.lit(101.0)
+    return sessions.session_features(staged).select("converted", score.alias("score"))
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -992,14 +995,15 @@ def average_precision(spark, sf_dir):
     S.with_clicks(
         """SELECT round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM (
           SELECT *, row_number() OVER (ORDER BY threshold DESC) - 1 AS i FROM curve)
-        WHERE i IN (SELECT CAST(floor(j * (((SELECT count(*) FROM curve) - 1) / 39.0::DOUBLE)) AS BIGINT)
-          FROM range(0, 39) AS r(j)) OR i = (SELECT count(*) FROM curve) - 1""",
+        WHERE i IN (SELECT CAST(floor(j * (((SELECT count(*) FROM curve) - 1) / 999.0::DOUBLE)) AS BIGINT)
+          FROM range(0, 999) AS r(j))
+          OR (SELECT count(*) FROM curve) <= 1000 OR i = (SELECT count(*) FROM curve) - 1""",
         *_EVALUATED, S.STEPS,
     ),
 )
 def downsample_curve(spark, sf_dir):
     curve = materialize(evaluate.roc_curve(_steps(spark, sf_dir)), "curve")
-    points = evaluate.downsample_curve(curve, 40).select("fpr", "tpr")
+    points = evaluate.downsample_curve(curve).select("fpr", "tpr")
     return _rounded(points, {"fpr": 9, "tpr": 9})
 
 
@@ -1042,12 +1046,16 @@ def encode_categories(spark, sf_dir):
 
 
 def _trained(spark: SparkSession, sf_dir: str):
-    features = materialize(_features(spark, sf_dir), "features")
-    train, test = sessions.train_test_split(features)
-    return conversion_model.train_conversion_model(train, rounds=MODEL_ROUNDS), test
+    """The model with its usual rounds and the test part; trained once per session and folder."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _TRAINED:
+        features = materialize(_features(spark, sf_dir), "features")
+        train, test = sessions.train_test_split(features)
+        _TRAINED[place] = conversion_model.train_conversion_model(train), test
+    return _TRAINED[place]
 
 
-MODEL_ROUNDS = 20
+_TRAINED: dict = {}
 
 
 @query("predict_sessions")
@@ -1062,6 +1070,42 @@ def feature_importance(spark, sf_dir):
     return conversion_model.feature_importance(_trained(spark, sf_dir)[0])
 
 
+@query(
+    "predict_sessions_checked",
+    S.with_clicks(
+        "SELECT * EXCLUDE (bucket), true AS score_in_range, true AS follows_cutoff FROM split WHERE bucket = 0",
+        S.STAGED, S.SESSIONS, S.KEPT, S.SPLIT,
+    ),
+)
+def predict_sessions_checked(spark, sf_dir):
+    """What must hold of every prediction: one per test row, a probability, cut at one half."""
+    scored = predict_sessions(spark, sf_dir)
+    return scored.withColumns(
+        {
+            "score_in_range": F.col("score").between(0, 1),
+            "follows_cutoff": F.col("prediction") == (F.col("score") >= 0.5),
+        }
+    ).drop("score", "prediction")
+
+
+@query(
+    "feature_importance_checked",
+    S.with_clicks(
+        "SELECT unnest(['brand', 'category_code', 'day_of_week', 'hour_of_day', 'view_count', "
+        "'cart_add_count']) AS feature, true AS is_share, true AS sums_to_one",
+    ),
+)
+def feature_importance_checked(spark, sf_dir):
+    """What must hold of the importances: a share for every feature, and a sum of 1."""
+    shares = feature_importance(spark, sf_dir)
+    total = shares.agg(F.sum("importance")).scalar()
+    return shares.select(
+        "feature",
+        F.col("importance").between(0, 1).alias("is_share"),
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+    )
+
+
 # ---------------------------------------------------------------- dashboards
 
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clickloom.functions.hashing import hash_bucket
+from clickloom.operators.ordering import row_positions
 from clickloom.schema import CATEGORY_COLUMNS, FEATURE_COLUMNS
-from clickloom.session import ensure_checkpoints
+from clickloom.session import ensure_checkpoints, materialize
 
 ROUNDS = 300
 DEPTH = 4
@@ -21,35 +22,60 @@ ROW_SHARE = 0.8
 COLUMN_SHARE = "0.8"
 SEED = 42
 BINS = 256
-MAX_CATEGORIES = 10_000
-NUMERIC_COLUMNS = [c for c in FEATURE_COLUMNS if c not in CATEGORY_COLUMNS]
+FOLDS = 5
+FOLD = "_fold"
+SMOOTHING = 20.0
 ENCODED_COLUMNS = {c: f"{c}_code" if c in CATEGORY_COLUMNS else c for c in FEATURE_COLUMNS}
 
 
-def category_encoder(columns: Sequence[str] = CATEGORY_COLUMNS) -> StringIndexer:
-    """Codes by sorted vocabulary; unseen and missing values share one extra code."""
-    return StringIndexer(
-        inputCols=list(columns),
-        outputCols=[ENCODED_COLUMNS[c] for c in columns],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    )
+def encode_categories(features: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Features plus a numeric code per categorical column, by sorted vocabulary.
 
+    Unseen and missing values share one extra code. The vocabulary stays a table, so it may
+    be of any size.
+    """
+    known = features if vocabulary is None else vocabulary
+    coded = features
+    for column in CATEGORY_COLUMNS:
+        values = known.select(column).where(F.col(column).isNotNull()).distinct()
+        codes = row_positions(values, [column], "_code")
+        size = codes.agg(F.count(F.lit(1))).scalar()
+        code = F.coalesce("_code", size).cast("double")
+        coded = coded.join(codes, column, "left").withColumn(ENCODED_COLUMNS[column], code).drop("_code")
+    return coded.select(*features.columns, *[ENCODED_COLUMNS[c] for c in CATEGORY_COLUMNS])
 
-def encode_categories(features: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Features plus a numeric code per categorical column."""
-    return category_encoder().fit(features if vocabulary is None else vocabulary).transform(features)
 
+@dataclass(frozen=True)
+class ConversionModel:
+    """Boosted trees, and the smoothed conversion rate of every category seen in training."""
+
+    trees: GBTClassificationModel
+    rates: dict[str, DataFrame]
+    prior: float
+
+
+def _rate(converted: Column, rows: Column, prior: float) -> Column:
+    return (converted + F.lit(SMOOTHING * prior)) / (rows + F.lit(SMOOTHING))
 
-def _bins_needed(features: DataFrame) -> int:
-    """Trees split categories exactly when every category has a bin."""
-    sizes = features.agg(*[F.count_distinct(c).alias(c) for c in CATEGORY_COLUMNS]).first()
-    largest = max(sizes[c] for c in CATEGORY_COLUMNS) + 1
-    if largest > MAX_CATEGORIES:
-        raise ValueError(
-            f"{largest} categories exceed {MAX_CATEGORIES}: group rare ones before training"
-        )
-    return max(BINS, largest)
+
+def _with_rates(rows: DataFrame, rates: DataFrame, column: str, *more: str) -> DataFrame:
+    """Join rates in; a missing category is a category like any other."""
+    renamed = rates.withColumnsRenamed({name: f"_r_{name}" for name in (column, *more)})
+    same = F.col(column).eqNullSafe(F.col(f"_r_{column}"))
+    for name in more:
+        same = same & (F.col(name) == F.col(f"_r_{name}"))
+    return rows.join(renamed, same, "left").drop(*[f"_r_{name}" for name in (column, *more)])
+
+
+def _out_of_fold(rows: DataFrame, column: str, prior: float) -> DataFrame:
+    """Each row's category rate from the other folds, so that no row sees its own label."""
+    counted = rows.groupBy(column, FOLD).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_s")
+    )
+    everywhere = Window.partitionBy(column)
+    others = _rate(F.sum("_s").over(everywhere) - F.col("_s"), F.sum("_n").over(everywhere) - F.col("_n"), prior)
+    rates = counted.select(column, FOLD, others.alias(ENCODED_COLUMNS[column]))
+    return _with_rates(rows, rates, column, FOLD)
 
 
 def train_conversion_model(
@@ -61,14 +87,25 @@ def train_conversion_model(
     column_share: str = COLUMN_SHARE,
     seed: int = SEED,
     checkpoint_interval: int = 10,
-) -> PipelineModel:
+) -> ConversionModel:
     """Boosted trees with logistic loss over the six session features.
 
-    Training data stay distributed; every ``checkpoint_interval`` rounds the row weights are
-    written out so that a lost executor costs a few rounds at most.
+    Categories enter as conversion rates, learned by an aggregate and joined in, so a
+    vocabulary of any size trains. Training data stay distributed; every
+    ``checkpoint_interval`` rounds the row weights are written out so that a lost executor
+    costs a few rounds at most.
     """
     ensure_checkpoints(train.sparkSession)
-    rows = train.withColumn("label", F.col("converted").cast("double"))
+    fold = hash_bucket(FEATURE_COLUMNS, FOLDS)
+    rows = train.withColumn("label", F.col("converted").cast("double")).withColumn(FOLD, fold)
+    prior = rows.agg(F.avg("label")).first()[0] or 0.0
+    rates, encoded = {}, rows
+    for column in CATEGORY_COLUMNS:
+        learned = rows.groupBy(column).agg(
+            _rate(F.sum("label"), F.count(F.lit(1)), prior).alias(ENCODED_COLUMNS[column])
+        )
+        rates[column] = materialize(learned, "category-rates")
+        encoded = _out_of_fold(encoded, column, prior)
     trees = GBTClassifier(
         featuresCol="features",
         labelCol="label",
@@ -77,27 +114,34 @@ def train_conversion_model(
         stepSize=step,
         subsamplingRate=row_share,
         featureSubsetStrategy=column_share,
-        maxBins=_bins_needed(train),
+        maxBins=BINS,
         seed=seed,
         checkpointInterval=checkpoint_interval,
     )
-    assembler = VectorAssembler(inputCols=list(ENCODED_COLUMNS.values()), outputCol="features")
-    return Pipeline(stages=[category_encoder(), assembler, trees]).fit(rows)
+    stored = materialize(encoded.select("label", *ENCODED_COLUMNS.values()), "training-rows")
+    return ConversionModel(trees.fit(_assembler().transform(stored)), rates, prior)
+
+
+def _assembler() -> VectorAssembler:
+    return VectorAssembler(inputCols=list(ENCODED_COLUMNS.values()), outputCol="features")
 
 
-def predict_sessions(model: PipelineModel, features: DataFrame, cutoff: float = 0.5) -> DataFrame:
+def predict_sessions(model: ConversionModel, features: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """Features plus the conversion probability ``score`` and ``prediction`` at the cutoff."""
-    scored = model.transform(features)
+    encoded = features
+    for column, rates in model.rates.items():
+        code = ENCODED_COLUMNS[column]
+        encoded = _with_rates(encoded, rates, column).fillna(model.prior, [code])
+    scored = model.trees.transform(_assembler().transform(encoded))
     probability = vector_to_array("probability")[1]
     return scored.select(*features.columns, probability.alias("score")).withColumn(
         "prediction", F.col("score") >= cutoff
     )
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
+def feature_importance(model: ConversionModel) -> DataFrame:
     """Each feature's share of the total gain, highest first; all 0 if nothing was split."""
-    trees = model.stages[-1]
-    gains = trees.featureImportances.toArray()
+    gains = model.trees.featureImportances.toArray()
     total = float(gains.sum())
     rows = [
         (name, float(gain) / total if total else 0.0) for name, gain in zip(FEATURE_COLUMNS, gains)

@@ -44,30 +44,32 @@ def distinct_sessions_by_type(df: DataFrame, day: date | str | None = None) -> D
 
     The usual event types become bits of one number per session, so a single aggregate by
     session serves them all and moves far less than distinct (type, session) pairs would.
-    Other types take the general route.
+    Sessions with other types add a row per such type to the same aggregate.
     """
     rows = df if day is None else on_day(df, day)
     kind = F.col("event_type")
-    usual = kind.isin(SUPPORTED_EVENT_TYPES)
+    usual = F.coalesce(kind.isin(SUPPORTED_EVENT_TYPES), F.lit(False))
     bit = F.lit(0)
     for place, name in enumerate(SUPPORTED_EVENT_TYPES):
         bit = F.when(kind == name, F.lit(1 << place)).otherwise(bit)
-    seen = rows.where(usual).groupBy("user_session").agg(F.bit_or(bit).alias("bits"))
+    seen = rows.groupBy(
+        "user_session", usual.alias("usual"), F.when(~usual, kind).alias("other")
+    ).agg(F.bit_or(bit).alias("bits"))
 
-    def entry(place: int, name: str) -> Column:
-        has = F.col("bits").bitwiseAND(F.lit(1 << place)) != 0
+    def entry(name: Column, has: Column) -> Column:
         return F.struct(
-            F.lit(name).alias("event_type"),
+            name.alias("event_type"),
             F.count_if(has & F.col("user_session").isNotNull()).alias("session_count"),
             F.bool_or(has).alias("occurs"),
         )
 
-    entries = [entry(place, name) for place, name in enumerate(SUPPORTED_EVENT_TYPES)]
-    counts = seen.agg(F.array(*entries).alias("entries")).select(F.inline("entries"))
-    others = rows.where(~usual | kind.isNull()).groupBy("event_type").agg(
-        F.countDistinct("user_session").alias("session_count")
-    )
-    return counts.where("occurs").drop("occurs").unionByName(others)
+    entries = [
+        entry(F.lit(name), F.col("bits").bitwiseAND(F.lit(1 << place)) != 0)
+        for place, name in enumerate(SUPPORTED_EVENT_TYPES)
+    ]
+    entries.append(entry(F.col("other"), ~F.col("usual")))
+    counts = seen.groupBy("usual", "other").agg(F.array(*entries).alias("entries"))
+    return counts.select(F.inline("entries")).where("occurs").drop("occurs")
 
 
 def routing_label(event_type: Column) -> Column:

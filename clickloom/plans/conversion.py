@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from clickloom.operators.evaluate import (
@@ -14,7 +13,12 @@ from clickloom.operators.evaluate import (
     roc_curve,
     score_steps,
 )
-from clickloom.operators.model import feature_importance, predict_sessions, train_conversion_model
+from clickloom.operators.model import (
+    ConversionModel,
+    feature_importance,
+    predict_sessions,
+    train_conversion_model,
+)
 from clickloom.operators.quality import expect_column_subset, expect_row_count, expect_split_nonempty
 from clickloom.operators.sessions import (
     activity_outlier_filter,
@@ -39,7 +43,7 @@ def build_features(events: DataFrame, tables: dict[str, str], expected_rows: int
     return export_features(activity_outlier_filter(sessions), tables["features"])
 
 
-def train_and_evaluate(features: DataFrame, base: str, **model_options) -> PipelineModel:
+def train_and_evaluate(features: DataFrame, base: str, **model_options) -> ConversionModel:
     """Split, train, score the test part and publish the five evaluation tables."""
     expect_column_subset(features, [*FEATURE_COLUMNS, "converted"])
     expect_split_nonempty(split_counts(features))
