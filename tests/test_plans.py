@@ -108,6 +108,20 @@ def test_unseen_categories_share_a_code(spark):
     assert [tuple(r) for r in coded.collect()] == [(0.0, 2.0), (2.0, 2.0)]
 
 
+def test_any_vocabulary_trains(spark):
+    rows = spark.range(12_000).select(
+        F.when(F.col("id") % 50 != 0, F.col("id").cast("string")).alias("brand"),
+        (F.col("id") % 7).cast("string").alias("category_code"),
+        *[(F.col("id") % k).cast("int").alias(name) for k, name in enumerate(FEATURE_COLUMNS[2:], 3)],
+        (F.col("id") % 2).cast("int").alias("converted"),
+    )
+    fitted = model.train_conversion_model(rows, rounds=2)
+    unseen = rows.limit(5).withColumn("brand", F.lit("new"))
+    scored = model.predict_sessions(fitted, rows.unionByName(unseen))
+    assert scored.count() == 12_005
+    assert scored.where("score IS NULL OR score < 0 OR score > 1").isEmpty()
+
+
 def fake_session(master, shared=None):
     conf = SimpleNamespace(get=lambda key, default: shared)
     return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="x"))
