@@ -16,7 +16,7 @@ __all__ = [
     "read_table", "split_join", "where_maybe",
 ]
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 BITMAP_BITS = 1 << 26  # 8 MB, whatever the input
 _PAGE = 32_768  # bits of one built-in bitmap
 

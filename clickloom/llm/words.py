@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WIDTH = 5  # words per shingle
-SLICE_BYTES = 1 << 20  # text worked on at a time; one longer text is a slice of its own
+SLICE_BYTES = 1 << 17  # text worked on at a time; one longer text is a slice of its own
 
 
 def mix(x: np.ndarray) -> np.ndarray:
