@@ -2,14 +2,14 @@
 
 Lines are normalised (words in lower case, one space between) and hashed. A line that more than a
 share of a host's documents contain is boilerplate and is removed; a document of which too little
-remains is rejected. Documents that agree in another line count once, so that the lines of a text
-that has many copies do not look like boilerplate.
+remains is rejected. Documents of a host with the same set of lines count as one, so that the lines
+of a text that has many copies do not look like boilerplate.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ _PLACE = stream(21, WINDOW) | np.uint64(1)
 
 STATS = (
     "doc_id long, host string, row_a long, row_b long, n_words long, word_chars long, n_symbols long, "
-    "n_dup_lines long, n_repeat_words long, m1 long, m2 long, lines array<struct<line:long,words:long>>"
+    "n_dup_lines long, n_repeat_words long, set_a long, set_b long, lines array<struct<line:long,words:long>>"
 )
 
 
@@ -76,11 +76,17 @@ def line_words(text: bytes) -> tuple[int, dict[int, int]]:
     return twice, found
 
 
+def set_hash(lines: Iterable[int]) -> tuple[int, int]:
+    """Two 64-bit hashes that stand for a document's set of lines."""
+    digest = hashlib.md5(np.array(sorted(lines), "<i8").tobytes()).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        n_words, chars, symbols, dups, repeats, lines, lowest = [], [], [], [], [], [], []
+        n_words, chars, symbols, dups, repeats, lines, sets = [], [], [], [], [], [], []
         for first, last, data, offsets in slices(texts):
             starts, ends = word_spans(data)
             words = hash_spans_exact(data, starts, ends)
@@ -96,7 +102,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 repeats.append(repeated_words(words[bounds[i] : bounds[i + 1]]))
                 twice, own = line_words(raw[offsets[i] : offsets[i + 1] - 1])
                 dups.append(twice)
-                lowest.append([*sorted(own)[:2], None, None][:2])
+                sets.append(set_hash(own))
                 lines.append([{"line": k, "words": v} for k, v in own.items()])
         yield pa.RecordBatch.from_arrays(
             [
@@ -105,7 +111,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("row_a"),
                 batch.column("row_b"),
                 *(pa.array(x, pa.int64()) for x in (n_words, chars, symbols, dups, repeats)),
-                *(pa.array([m[k] for m in lowest], pa.int64()) for k in (0, 1)),
+                *(pa.array([m[k] for m in sets], pa.int64()) for k in (0, 1)),
                 pa.array(lines, kind),
             ],
             names=[f.split()[0] for f in STATS.split(", ")],
@@ -128,21 +134,19 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[
     """Statistics with verdicts per row, and the boilerplate lines of each row that has any."""
     bound_batches(docs.sparkSession)
     stats = materialize(docs.select(*_named(docs, id_col, text_col, host_col)).mapInArrow(_stats, STATS), "line-stats")
-    lines = stats.select("row_a", "row_b", "host", "m1", "m2", F.explode("lines").alias("l"))
-    lines = lines.select(
-        "row_a", "row_b", "host", F.col("l.line").alias("line"), F.col("l.words").alias("words"),
-        F.when(F.col("l.line") == F.col("m1"), F.coalesce("m2", F.lit(0))).otherwise(F.col("m1")).alias("other"),
-    )
-    hosts = materialize(stats.groupBy("host").agg(F.count(F.lit(1)).alias("docs")), "hosts")
+    lines = stats.select("row_a", "row_b", "host", "set_a", "set_b", F.explode("lines").alias("l"))
+    lines = lines.select("row_a", "row_b", "host", "set_a", "set_b", F.col("l.line").alias("line"), F.col("l.words").alias("words"))
+    unlike = stats.select("host", "set_a", "set_b").distinct()  # one for each document and its copies
+    hosts = materialize(unlike.groupBy("host").agg(F.count(F.lit(1)).alias("docs")), "hosts")
     counted = (
-        lines.select("host", "line", "other").distinct()
+        lines.select("host", "line", "set_a", "set_b").distinct()
         .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > LINE_DOCS)
         .join(hosts, "host")
         .where(F.col("n") > LINE_SHARE * F.col("docs"))
         .select("host", "line")
     )
-    common = split_join(lines, counted, ["host", "line"], "inner", "common-lines")
+    common = split_join(lines.drop("set_a", "set_b"), counted, ["host", "line"], "inner", "common-lines")
     removed = materialize(
         common.distinct().groupBy("row_a", "row_b").agg(F.sum("words").alias("lost"), F.collect_set("line").alias("common")),
         "removed-lines",
@@ -151,7 +155,7 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     depleted = F.coalesce("lost", F.lit(0)) > 0
     depleted &= (rest < LEAST_WORDS) | (rest < LEAST_SHARE * F.col("n_words"))
-    narrow = stats.drop("lines", "m1", "m2")
+    narrow = stats.drop("lines", "set_a", "set_b")
     judged = narrow.join(removed.drop("common"), ["row_a", "row_b"], "left").select(
         *narrow.columns, rest.alias("rest_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept")
     )
@@ -162,8 +166,9 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, rest_words (words outside the removed lines).
 
-    A null text counts as empty and fails; a null host is the host ''. Repeated rows count once
-    in line frequencies and give repeated rows. An empty table gives an empty result.
+    A null text counts as empty and fails; a null host is the host ''. Documents of a host with the
+    same set of lines count once in line frequencies, as lines and as documents, and give a row
+    each; near copies count each. An empty table gives an empty result.
     """
     judged, _ = _judge(docs, id_col, text_col, host_col)
     return judged.select(

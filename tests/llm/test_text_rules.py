@@ -63,6 +63,25 @@ def test_line_rules(spark):
     assert linefreq.line_rules(docs_of(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("shared", [1, 2, 5, 10])
+def test_boilerplate_of_several_lines_goes(spark, shared):
+    draw = random.Random(shared)
+    own = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    template = {h: [own(6) for _ in range(shared)] for h in "abcdef"}
+    rows, want = [], {}
+    for n, (host, lines) in enumerate(template.items()):
+        for k in range(300):
+            mine = [own(25) for _ in range(1 + k % 3)]
+            has = lines if host < "d" or k % 20 == 0 else []  # in all documents, or in 5 %
+            rows.append((1000 * n + k, "\n".join([*has, *mine]), None, host, 0))
+            want[rows[-1][0]] = 25 * len(mine)
+        copies = [own(25) for _ in range(3)]
+        rows += [(1000 * n + 500 + k, "\n".join(copies), None, host, 0) for k in range(400)]
+        want |= {1000 * n + 500 + k: 75 for k in range(400)}
+    found = linefreq.line_rules(docs_of(spark, rows)).collect()
+    assert {r.doc_id: r.rest_words for r in found} == want and all(r.kept for r in found)
+
+
 def windows(text, item, percent=75):
     w, goal = brute.words(text), Counter(brute.shingle_list(item))
     n = min(len(brute.words(item)), len(w))
