@@ -25,7 +25,7 @@ LOW = 0.3  # importance below this is noise
 LEAST_PAGES = 5  # unlike pages that must show a text before it can be noise
 
 _TREE = (
-    "row_a long, row_b long, host string, m1 long, m2 long, blocks array<struct<path:string,text:long,chars:long>>, "
+    "row_a long, row_b long, host string, set_a long, set_b long, blocks array<struct<path:string,text:long,chars:long>>, "
     "styles array<struct<path:string,style:long>>"
 )
 _TEXT = "page_id long, url string, text string, n_chars long"
@@ -35,16 +35,23 @@ def text_hash(text: str) -> int:
     return int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
 
 
+def list_hash(found: list) -> tuple[int, int]:
+    """Two 64-bit hashes that stand for a page's whole list of blocks."""
+    lines = "\n".join(f"{b.element.path}\t{b.text}" for b in found)
+    digest = hashlib.md5(lines.encode("utf-8", "surrogatepass")).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64()), ("chars", pa.int64())]))
     style = pa.list_(pa.struct([("path", pa.string()), ("style", pa.int64())]))
     for batch in batches:
-        blocks, styles, lowest = [], [], []
+        blocks, styles, sets = [], [], []
         for html in batch.column("html").to_pylist():
             found, elements = parse(html or "")
             own = {(b.element.path, text_hash(b.text)): len(b.text) for b in found}
             blocks.append([{"path": p, "text": t, "chars": n} for (p, t), n in own.items()])
-            lowest.append([*sorted({t for _, t in own})[:2], None, None][:2])
+            sets.append(list_hash(found))
             seen = {}
             for e in elements:
                 if e.children:  # runs of equal children count once
@@ -53,8 +60,8 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             styles.append([{"path": p, "style": s} for p, s in seen.items()])
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in ("row_a", "row_b", "host")),
-             *(pa.array([m[k] for m in lowest], pa.int64()) for k in (0, 1)), pa.array(blocks, block), pa.array(styles, style)],
-            names=["row_a", "row_b", "host", "m1", "m2", "blocks", "styles"],
+             *(pa.array([m[k] for m in sets], pa.int64()) for k in (0, 1)), pa.array(blocks, block), pa.array(styles, style)],
+            names=["row_a", "row_b", "host", "set_a", "set_b", "blocks", "styles"],
         )
 
 
@@ -97,15 +104,13 @@ def _keep(doubtful):
 def style_tree(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Importance of texts (host, path, text, importance, pages) and of nodes (host, path, importance).
 
-    Pages whose other blocks agree in the smallest hash count once, so copies of a page do not
-    make its text look like a template.
+    Pages of a host with the same list of blocks count as one, so copies of a page do not make its
+    text look like a template; near copies count each.
     """
-    pages = trees.groupBy("host").agg(F.countDistinct("row_a", "row_b").alias("m"))
+    pages = trees.groupBy("host").agg(F.countDistinct("set_a", "set_b").alias("m"))
     pages = materialize(pages, "host-pages")
-    rows = trees.select("host", "m1", "m2", F.explode("blocks").alias("b"))
-    rows = rows.select(
-        "host", F.col("b.path").alias("path"), F.col("b.text").alias("text"), F.col("b.chars").alias("chars"),
-        F.when(F.col("b.text") == F.col("m1"), F.coalesce("m2", F.lit(0))).otherwise(F.col("m1")).alias("other"),
+    rows = trees.select("host", "set_a", "set_b", F.explode("blocks").alias("b")).select(
+        "host", "set_a", "set_b", F.col("b.path").alias("path"), F.col("b.text").alias("text"), F.col("b.chars").alias("chars")
     )
     texts = (
         rows.distinct().groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("pages"), F.max("chars").alias("chars"))

@@ -76,6 +76,22 @@ def test_site_template_goes_and_copies_stay(spark):
     assert sitestyle.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize("shared", [1, 10, 20])
+def test_template_of_many_blocks_goes(spark, shared):
+    draw = random.Random(shared)
+    own = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    rows, want = [], {}
+    for host in "abc":
+        template = "".join(f"<p>{own(4)}</p>" for _ in range(shared))
+        page = lambda b: f"<body><div>{template}</div><div>{''.join(f'<p>{x}</p>' for x in b)}</div>"  # noqa: B023, E731
+        bodies = [[own(20) for _ in range(3)] for _ in range(200)]
+        for k, body in enumerate([*bodies, *[bodies[0]] * 2000]):  # many copies of one page
+            rows.append((len(rows), f"http://{host}.example/{k}", page(body)))
+            want[rows[-1][0]] = "\n\n".join(body)
+    found = sitestyle.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**17 - 1), max_size=300), st.sampled_from([1, 8]), st.integers(1, 70))
 def test_planes_round_trip(ids, unit, block):
