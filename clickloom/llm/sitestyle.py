@@ -65,8 +65,10 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _text_of(html: str | None, noise: set[int]) -> str:
-    return "\n\n".join(b.text for b, fine in content_blocks(html or "") if fine and text_hash(b.text) not in noise)
+def _text_of(html: str | None, noise: set[tuple[str, int]]) -> str:
+    """``noise`` has the path and the text hash of what goes; the same text elsewhere stays."""
+    found = content_blocks(html or "")
+    return "\n\n".join(b.text for b, fine in found if fine and (b.element.path, text_hash(b.text)) not in noise)
 
 
 def _extract(doubtful, wanted: bool):
@@ -80,7 +82,7 @@ def _extract(doubtful, wanted: bool):
                 met = maybe_in(doubtful.value, batch.column("row_a").to_numpy())
                 batch = batch.filter(pa.array(~met))
             noise = batch.column("noise").to_pylist() if wanted else [None] * batch.num_rows
-            texts = [_text_of(h, set(n or ())) for h, n in zip(batch.column("html").to_pylist(), noise, strict=True)]
+            texts = [_text_of(h, {(x["path"], x["text"]) for x in n or ()}) for h, n in zip(batch.column("html").to_pylist(), noise, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()),
@@ -177,7 +179,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = rows.select("row_a", "row_b", "host", "b.path", "b.text")
     found = materialize(
         split_join(rows, noise, ["host", "path", "text"], "inner", "noise")
-        .groupBy("row_a", "row_b").agg(F.collect_set("text").alias("noise")),  # at most the page's own blocks
+        .groupBy("row_a", "row_b").agg(F.collect_set(F.struct("path", "text")).alias("noise")),  # at most the page's own blocks
         "page-noise",
     )
     doubtful = bitmap_of(found, "row_a")

@@ -92,6 +92,15 @@ def test_template_of_many_blocks_goes(spark, shared):
     assert {r.page_id: r.text for r in found} == want
 
 
+def test_heading_equal_to_a_menu_entry_stays(spark):
+    menu = "<nav><ul><li>Home</li><li>Prices</li><li>Contact</li></ul></nav>"
+    heads = {3: "Prices", 7: "Contact"}
+    html = lambda k: f"<body>{menu}<article><h1>{heads.get(k, f'Title {k}')}</h1><p>Text of page {k} only</p></article>"
+    rows = [(k, f"http://a.example/{k}", html(k)) for k in range(40)]
+    found = sitestyle.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {k: f"{heads.get(k, f'Title {k}')}\n\nText of page {k} only" for k in range(40)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**17 - 1), max_size=300), st.sampled_from([1, 8]), st.integers(1, 70))
 def test_planes_round_trip(ids, unit, block):
