@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling of blocks, in DataFrame functions only.
 
-A source with quota q of Q (its weight as a whole number) releases block k at slot floor(k Q / q)
-and must have it placed before slot ceil((k + 1) Q / q). Earliest deadline first among released
-blocks then keeps each source within one block of its share at every moment. All shares are whole
-at slot Q, so the schedule repeats: Q slots are worked out once, and any block's slot follows from
-them by arithmetic. Every document is placed at least once; the mix ends when the source that is
-richest for its weight has been read once, and smaller sources start over (their next epoch).
+A source with quota q of Q blocks releases block k at slot floor(k Q / q) and must have it placed
+before slot ceil((k + 1) Q / q). Earliest deadline first among released blocks then keeps each
+source within one block of its share at every moment. The quotas are whole numbers for the whole
+mix: each is its target weight of all blocks, rounded up or down, so the rounding stays under one
+block however long the mix is. A mix of more than ``PERIOD`` slots is first cut, by the same rule
+for many slots at a time, into parts of ``PERIOD`` slots with whole quotas, which are laid out
+independently. That adds less than one block for each level of cuts (one up to a million blocks).
+Every document is placed at least once; smaller sources start over (their next epoch).
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from clickloom.llm.common import materialize
 from clickloom.llm.numbering import numbered
 
 BLOCK_ROWS = 32
-PERIOD = 1000  # slots of one period, before rounding; one more per source at most
+PERIOD = 1000  # slots of one part, and parts of one cut
 TEMPER = 0.9  # default weights: shares of the rows to this power
 
 
@@ -25,8 +27,9 @@ def quotas(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """One row per source: mix_source, rows, blocks, quota.
 
     ``weights`` (source, weight) gives target weights for the sources; those it leaves out or
-    gives no positive weight are weighted by default like their share, tempered. A quota is 1 at
-    least, so that no document is left out.
+    gives no positive weight are weighted by default like their share, tempered. The quotas add
+    up to the slots of the mix, each less than a block from the weight's share of them and no less
+    than the source's blocks, so that no document is left out.
     """
     found = docs.groupBy("mix_source").agg(F.count(F.lit(1)).alias("rows"))
     default = F.pow(F.col("rows") / F.sum("rows").over(_all()), F.lit(TEMPER))
@@ -36,13 +39,25 @@ def quotas(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
         given = weights.groupBy(_source("source").alias("mix_source")).agg(F.max("weight").alias("given"))
         found = found.withColumn("default", default).join(given, "mix_source", "left")
         found = found.withColumn("weight", F.when(F.col("given") > 0, F.col("given")).otherwise(F.col("default")))
-    share = F.col("weight") / F.sum("weight").over(_all())
-    return found.select(
-        "mix_source",
-        "rows",
-        F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"),
-        F.greatest(F.lit(1), F.round(share * PERIOD).cast("long")).cast("long").alias("quota"),
+    found = found.select(
+        "mix_source", "rows", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"),
+        (F.col("weight") / F.sum("weight").over(_all())).alias("share"),
+    )
+    # The fewest slots (by steps of a thousandth of the way) whose quotas can hold all blocks: from
+    # where each source's share rounds up to its blocks, to where it reaches them.
+    ends = found.agg(
+        F.max(F.floor((F.col("blocks") - 1) / F.col("share")) + 1).alias("low"), F.max(F.ceil(F.col("blocks") / F.col("share"))).alias("high")
     )
+    tries = ends.where("low is not null").select(
+        F.explode(F.expr("array_distinct(transform(sequence(0, 1000), j -> greatest(low, ceil(low * pow(high / low, j / 1000)))))")).alias("slots")
+    )
+    base = F.greatest(F.floor(F.col("slots") * F.col("share")), F.col("blocks"))
+    slots = found.crossJoin(F.broadcast(tries)).groupBy("slots").agg(F.sum(base).alias("least")).where("least <= slots")
+    slots = slots.agg(F.min(F.struct("slots", "least")).alias("m")).select("m.*")
+    whole = found.crossJoin(F.broadcast(slots)).withColumn("base", base)
+    by_rest = Window.partitionBy("slots").orderBy((F.col("slots") * F.col("share") - F.col("base")).desc(), "mix_source")
+    whole = whole.withColumn("more", (F.row_number().over(by_rest) <= F.col("slots") - F.col("least")).cast("long"))
+    return whole.select("mix_source", "rows", "blocks", (F.col("base") + F.col("more")).cast("long").alias("quota"))
 
 
 def _all():
@@ -55,16 +70,54 @@ def _source(column: str):
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{column}`").cast("string")), F.lit(""))
 
 
-def period(sources: DataFrame) -> DataFrame:
-    """One period of the schedule: mix_source, turn (0 .. quota-1), at (its slot), from ``sources``.
+def _parts(sources: DataFrame, total: int) -> DataFrame:
+    """The mix in parts of at most ``PERIOD`` slots: start, q (slots), s (sources with a quota in it).
 
-    The fold goes slot by slot; among the released blocks it takes the one with the earliest
-    deadline, then the source first in name.
+    A part gives each source the blocks due by its end, and those with the earliest deadlines more.
     """
-    listed = sources.agg(
-        F.sort_array(F.collect_list(F.struct("mix_source", "quota"))).alias("s"),
-        F.sum("quota").alias("q"),
-    )
+    own = F.struct("mix_source", "quota", F.lit(0).cast("long").alias("before"))
+    parts = sources.agg(F.sort_array(F.collect_list(own)).alias("s"), F.sum("quota").alias("q"))
+    parts = parts.where("q is not null").select(F.lit(0).cast("long").alias("start"), "q", "s")
+    size = PERIOD
+    while size * PERIOD < total:
+        size *= PERIOD
+    while size >= PERIOD and size < total:
+        end = f"least((p + 1) * {size}L, q)"
+        low = f"transform(s, (x, i) -> greatest(acc.done[i], ({end} * x.quota) div q))"
+        next_due = f"""array_sort(filter(transform(s, (x, i) -> if(
+            b[i] * q < {end} * x.quota,
+            struct(((b[i] + 1) * q + x.quota - 1) div x.quota as deadline, i as i), null)), c -> c is not null))"""
+        more = f"transform(slice({next_due}, 1, cast({end} - aggregate(b, 0L, (a, v) -> a + v) as int)), c -> c.i)"
+        # aggregate over an array of one value gives that value a name
+        step = f"""aggregate(array({low}), acc, (a0, b) -> aggregate(array({more}), a0, (a, m) -> struct(
+            transform(b, (v, i) -> v + if(array_contains(m, i), 1L, 0L)) as done,
+            concat(a.cuts, array(transform(b, (v, i) -> v + if(array_contains(m, i), 1L, 0L)))) as cuts)))"""
+        zero = "transform(s, x -> 0L)"
+        cuts = f"""aggregate(sequence(0L, (q - 1) div {size}L),
+            struct({zero} as done, array({zero}) as cuts), (acc, p) -> {step}, acc -> acc.cuts)"""
+        parts = parts.withColumn("cuts", F.expr(cuts)).select(
+            "start", "q", "s", "cuts", F.explode(F.expr(f"sequence(0, cast((q - 1) div {size}L as int))")).alias("p")
+        )
+        parts = parts.select(
+            F.expr(f"start + p * {size}L").alias("start"),
+            F.expr(f"least({size}L, q - p * {size}L)").alias("q"),
+            F.expr("""filter(transform(s, (x, i) -> struct(x.mix_source as mix_source,
+                cuts[p + 1][i] - cuts[p][i] as quota, x.before + cuts[p][i] as before)), x -> x.quota > 0)""").alias("s"),
+        )
+        parts = materialize(parts, "mix-parts")
+        tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = parts.repartition(min(tasks, -(-total // size)), "start")
+        size //= PERIOD
+    return parts
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """Each block placed: mix_source, k (0 .. quota-1), mix_slot, mix_release, mix_deadline.
+
+    The fold goes slot by slot through one part; among the released blocks it takes the one with
+    the earliest deadline, then the source first in name.
+    """
+    total = sources.agg(F.sum("quota")).first()[0] or 0
     pick = """array_min(transform(s, (x, i) -> if(
         (acc.done[i] * q) div x.quota <= t,
         struct(((acc.done[i] + 1) * q + x.quota - 1) div x.quota as deadline, cast(i as bigint) as i),
@@ -77,10 +130,16 @@ def period(sources: DataFrame) -> DataFrame:
             concat(a.turns, array(p)) as turns,
             p as last)),
         acc -> acc.turns)"""
-    laid = listed.where("q is not null").select("s", F.posexplode(F.expr(fold)).alias("at", "i"))
-    own = Window.partitionBy("mix_source").orderBy("at")
-    return laid.select(F.expr("s[i].mix_source").alias("mix_source"), F.col("at").cast("long")).select(
-        "mix_source", "at", (F.row_number().over(own) - 1).cast("long").alias("turn")
+    laid = _parts(sources, total).select("start", "q", "s", F.posexplode(F.expr(fold)).alias("at", "i"))
+    laid = laid.select("start", "q", F.expr("s[i]").alias("x"), "at").select("start", "q", "x.*", "at")
+    own = Window.partitionBy("start", "mix_source").orderBy("at")
+    laid = laid.withColumn("turn", (F.row_number().over(own) - 1).cast("long"))
+    return laid.select(
+        "mix_source",
+        F.expr("before + turn").alias("k"),
+        F.expr("start + at").alias("mix_slot"),
+        F.expr("start + (turn * q) div quota").alias("mix_release"),
+        F.expr("start + ((turn + 1) * q + quota - 1) div quota").alias("mix_deadline"),
     )
 
 
@@ -89,7 +148,7 @@ def mixed(docs: DataFrame, source_col: str = "source", key: list[str] | None = N
     mix_release and mix_deadline follow its columns (in place of columns of those names).
 
     Reading rows by (mix_slot, mix_offset) gives the mixture. A row appears once per epoch of its
-    source. Rows of a source are dealt to its blocks by a hash of ``key`` (default: all columns);
+    source. ``mix_release`` and ``mix_deadline`` are those of the block in its part of the mix. Rows of a source are dealt to its blocks by a hash of ``key`` (default: all columns);
     the last block of an epoch may be short. A null source is a source of its own; repeated rows
     are rows of their own; an empty table gives an empty result.
     """
@@ -98,36 +157,23 @@ def mixed(docs: DataFrame, source_col: str = "source", key: list[str] | None = N
     packed = F.struct(*(F.col(f"`{c}`") for c in own)).alias("mix_own")  # no name can clash
     rows = docs.select(packed, _source(source_col).alias("mix_source"))
     sources = materialize(quotas(rows, weights), "mix-quotas")
-    slots = materialize(period(sources), "mix-period")
-
-    ahead = sources.withColumn("q", F.sum("quota").over(_all()))
-    last = ahead.withColumn("turn", F.pmod(F.col("blocks") - 1, F.col("quota"))).join(slots, ["mix_source", "turn"])
-    ends = last.withColumn("end", F.expr("((blocks - 1) div quota) * q + at + 1")).select("mix_source", "end")
-    ahead = ahead.join(ends, "mix_source").withColumn("end", F.max("end").over(_all()))
-    placed = (
-        ahead.join(slots, "mix_source")
-        .groupBy("mix_source", "blocks", "quota", "q", "end")
-        .agg(F.sum(F.when(F.col("at") < F.expr("end % q"), 1).otherwise(0)).alias("rest"))
-        .withColumn("placed", F.expr("(end div q) * quota + rest"))
-    )
-    plan = materialize(placed.select("mix_source", "blocks", "quota", "q", "placed"), "mix-plan")
+    slots = materialize(schedule(sources), "mix-slots")
 
     names = key or own
     at_row = numbered(rows, ["mix_source"], [F.col(f"mix_own.`{c}`") for c in names], "mix_row", "mix-offsets")
     dealt = (
-        at_row.join(plan, "mix_source")
+        at_row.join(F.broadcast(sources.select("mix_source", "blocks", "quota")), "mix_source")
         .withColumn("mix_block", F.expr(f"mix_row div {BLOCK_ROWS}"))
-        .withColumn("mix_epoch", F.explode(F.expr("sequence(0L, (placed - 1 - mix_block) div blocks)")))
+        .withColumn("mix_epoch", F.explode(F.expr("sequence(0L, (quota - 1 - mix_block) div blocks)")))
         .withColumn("k", F.expr("mix_epoch * blocks + mix_block"))
-        .withColumn("turn", F.expr("k % quota"))
-        .join(F.broadcast(slots), ["mix_source", "turn"])  # PERIOD + number of sources rows
+        .join(slots, ["mix_source", "k"])
     )
     return dealt.select(
         *(F.col(f"mix_own.`{c}`") for c in own),
-        F.expr("(k div quota) * q + at").alias("mix_slot"),
+        "mix_slot",
         F.expr(f"mix_row % {BLOCK_ROWS}").alias("mix_offset"),
         "mix_epoch",
         "mix_block",
-        F.expr("(k * q) div quota").alias("mix_release"),
-        F.expr("((k + 1) * q + quota - 1) div quota").alias("mix_deadline"),
+        "mix_release",
+        "mix_deadline",
     )

@@ -200,6 +200,27 @@ def test_mixture_takes_weights(spark, sources):
     assert mixing.mixed(sources.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("part", [1000, 11])
+def test_mixture_keeps_weights(spark, monkeypatch, part):
+    monkeypatch.setattr(mixing, "PERIOD", part)
+    weights = {"a": 0.00148, "b": 0.61, "c": 0.00031, "d": 0.2}
+    weights["e"] = 1 - sum(weights.values())
+    rows = {"a": 64, "b": 26000, "c": 1, "d": 3000, "e": 40}
+    docs = spark.createDataFrame([(s, k) for s, n in rows.items() for k in range(n)], "source string, doc_id long")
+    given_weights = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    found = mixing.mixed(docs, weights=given_weights).groupBy("mix_slot", "source").agg(
+        F.max(F.expr("mix_release <= mix_slot and mix_slot < mix_deadline")).alias("fine")
+    ).collect()
+    order = [r.source for r in sorted(found)]
+    assert [r.mix_slot for r in sorted(found)] == list(range(len(order))) and all(r.fine for r in found)
+    assert 26000 / 32 / 0.61 <= len(order) < 1.1 * 26000 / 32 / 0.61 + 2
+    done, levels = Counter(), 2 if part == 1000 else 4
+    for t, name in enumerate(order, 1):
+        done[name] += 1
+        assert all(abs(done[n] - t * w) < levels + 1 for n, w in weights.items())
+    assert all(abs(done[n] - len(order) * w) < 1 for n, w in weights.items())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 5000), st.integers(0, 2**40), st.integers(1, 40))
 def test_feistel_permutes_and_inverts(n, seed, count):
