@@ -9,6 +9,8 @@ share of all rows: nothing is gathered by conversation; each message stays a row
 from __future__ import annotations
 
 import json
+import re
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,46 +28,124 @@ _KINDS = {
 }
 
 
-def violation(value, schema: dict, at: str = "$") -> str | None:
-    """The first way in which a value breaks a JSON schema (type, enum, const, bounds, required,
-    properties, additionalProperties, items), or None. References ``"$id"`` fit any type."""
-    if not isinstance(schema, dict) or (isinstance(value, str) and value.startswith("$")):
+_NOTES = frozenset(
+    "title description default examples format deprecated readOnly writeOnly $schema $id $comment $defs definitions".split()
+)
+_RULES = frozenset(
+    "type enum const minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern required properties "
+    "additionalProperties items minItems maxItems uniqueItems anyOf oneOf allOf not $ref".split()
+)
+
+
+def unknown_keyword(schema) -> str | None:
+    """A keyword of a schema that ``violation`` does not know, in any place, or None."""
+    if isinstance(schema, bool):
         return None
+    if not isinstance(schema, dict):
+        return "not a schema"
+    for name, rule in schema.items():
+        if name not in _RULES and name not in _NOTES or name == "$ref" and not (rule == "#" or rule.startswith("#/")):
+            return name
+        if name in ("properties", "$defs", "definitions"):
+            inner = list(rule.values())
+        elif name in ("anyOf", "oneOf", "allOf"):
+            inner = rule
+        else:
+            inner = [rule] if name in ("additionalProperties", "items", "not") else []
+        for part in inner:
+            if found := unknown_keyword(part):
+                return found
+    return None
+
+
+def _plain(value):
+    """A value to compare by: 1 and 1.0 are equal, 1 and true are not."""
+    if isinstance(value, dict):
+        return "object", frozenset((k, _plain(v)) for k, v in value.items())
+    if isinstance(value, list):
+        return "array", tuple(map(_plain, value))
+    return isinstance(value, bool), value
+
+
+def _out_of_bounds(value, schema: dict) -> bool:
+    low, high = schema.get("exclusiveMinimum"), schema.get("exclusiveMaximum")
+    if value < schema.get("minimum", value) or value > schema.get("maximum", value):
+        return True
+    if low is True and value == schema.get("minimum") or high is True and value == schema.get("maximum"):
+        return True
+    return not isinstance(low, (bool, type(None))) and value <= low or not isinstance(high, (bool, type(None))) and value >= high
+
+
+def violation(value, schema, at: str = "$", refs=frozenset(), root=None) -> str | None:
+    """The first way in which a value breaks a JSON schema by the keywords of ``_RULES``, or None.
+
+    A string ``"$id"`` with an id of ``refs`` fits any schema; with any other it is plain text.
+    """
+    root = schema if root is None else root
+    if isinstance(value, str) and value[:1] == "$" and value[1:] in refs:
+        return None
+    if isinstance(schema, bool):
+        return None if schema else f"{at}: not allowed"
+
+    def inner(part, rule, place=at):
+        return violation(part, rule, place, refs, root)
+
+    if "$ref" in schema:
+        target = root
+        for step in schema["$ref"].split("/")[1:]:
+            step = step.replace("~1", "/").replace("~0", "~")
+            target = target[int(step)] if isinstance(target, list) else target[step]
+        if found := inner(value, target):
+            return found
     kinds = schema.get("type")
     if kinds is not None:
         fits = False
         for kind in kinds if isinstance(kinds, list) else [kinds]:
-            fits |= isinstance(value, _KINDS.get(kind, object)) and not (isinstance(value, bool) and kind in ("integer", "number"))
+            fits |= isinstance(value, _KINDS[kind]) and not (isinstance(value, bool) and kind in ("integer", "number"))
             fits |= kind == "integer" and isinstance(value, float) and value.is_integer()
         if not fits:
             return f"{at}: not of type {kinds}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and _plain(value) not in [_plain(x) for x in schema["enum"]]:
         return f"{at}: not in enum"
-    if "const" in schema and value != schema["const"]:
+    if "const" in schema and _plain(value) != _plain(schema["const"]):
         return f"{at}: not the constant"
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        if value < schema.get("minimum", value) or value > schema.get("maximum", value):
+        if _out_of_bounds(value, schema):
             return f"{at}: out of bounds"
-    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
-        return f"{at}: bad length"
+        if "multipleOf" in schema and Fraction(str(value)) % Fraction(str(schema["multipleOf"])):
+            return f"{at}: not a multiple"
+    if isinstance(value, str):
+        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+            return f"{at}: bad length"
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            return f"{at}: not of the pattern"
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
         for name in schema.get("required", []):
             if name not in value:
                 return f"{at}: {name} is missing"
         for name in sorted(value):
-            if name in known:
-                found = violation(value[name], known[name], f"{at}.{name}")
-            elif schema.get("additionalProperties") is False:
-                found = f"{at}: {name} is unknown"
-            else:
-                found = None
-            if found:
+            if name not in known and more is False:
+                return f"{at}: {name} is unknown"
+            if found := inner(value[name], known.get(name, more), f"{at}.{name}"):
                 return found
-    if isinstance(value, list) and "items" in schema:
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            return f"{at}: bad number of items"
+        if schema.get("uniqueItems") and len(set(map(_plain, value))) < len(value):
+            return f"{at}: repeated items"
         for k, item in enumerate(value):
-            if found := violation(item, schema["items"], f"{at}[{k}]"):
+            if found := inner(item, schema.get("items", True), f"{at}[{k}]"):
                 return found
+    for rule in schema.get("allOf", []):
+        if found := inner(value, rule):
+            return found
+    if "anyOf" in schema and all(inner(value, r) for r in schema["anyOf"]):
+        return f"{at}: fits none of anyOf"
+    if "oneOf" in schema and sum(inner(value, r) is None for r in schema["oneOf"]) != 1:
+        return f"{at}: does not fit one of oneOf"
+    if "not" in schema and inner(value, schema["not"]) is None:
+        return f"{at}: fits not"
     return None
 
 
@@ -74,9 +154,12 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+UNCHECKED = "unchecked: "
+
+
 @F.pandas_udf(StringType())
-def _checked(arguments: pd.Series, schema: pd.Series) -> pd.Series:
-    def check(raw, rule):
+def _checked(arguments: pd.Series, schema: pd.Series, refs: pd.Series) -> pd.Series:
+    def check(raw, rule, known):
         try:
             value = json.loads(raw) if raw is not None else {}
         except ValueError:
@@ -84,11 +167,17 @@ def _checked(arguments: pd.Series, schema: pd.Series) -> pd.Series:
         if rule is None:
             return "no schema"
         try:
-            return violation(value, json.loads(rule))
+            rule = json.loads(rule)
         except ValueError:
             return "schema is not JSON"
+        try:
+            if found := unknown_keyword(rule):
+                return UNCHECKED + found
+            return violation(value, rule, refs=frozenset(() if known is None else known))
+        except (ArithmeticError, AttributeError, LookupError, RecursionError, TypeError, ValueError, re.error):
+            return UNCHECKED + "not a schema"
 
-    return pd.Series([check(a, s) for a, s in zip(arguments, schema, strict=True)], dtype=object)
+    return pd.Series([check(*row) for row in zip(arguments, schema, refs, strict=True)], dtype=object)
 
 
 @F.pandas_udf(StringType())
@@ -138,12 +227,14 @@ def link_tool_calls(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
     """One row per turn: conv_id, turn, role, message (canonical JSON), order_turn, order_depth,
-    n_calls, n_answered, n_invalid, n_forward, is_result, linked.
+    n_calls, n_answered, n_invalid, n_unchecked, n_forward, is_result, linked.
 
     Sorting a conversation by (order_turn, order_depth, turn) puts every call before its result
     and every result before the calls that refer to it. Within a conversation the first call with
     an id is the call; results with its id link to it, others are orphans (``linked`` false).
-    ``n_invalid`` counts calls without a declared schema or with arguments that break it.
+    ``n_invalid`` counts calls without a declared schema or with arguments that break it;
+    ``n_unchecked`` those whose schema has keywords unknown here. An argument ``"$id"`` fits any
+    schema if an earlier call of the conversation has the id, else it is checked as plain text.
     ``n_forward`` counts arguments that refer to the call itself or to a later one; they order
     nothing, so no cycle can arise. A turn that makes calls is no result. A null or broken text is
     plain content; calls and results without an id, and turns without a
@@ -167,7 +258,7 @@ def link_tool_calls(
     calls = formed.select("conv", "turn", F.posexplode("j.tool_calls").alias("place", "c")).select(
         "conv", "turn", "place", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments")
     )
-    calls = split_join(calls, schemas, ["conv", "name"], "left", "schemas").withColumn("error", _checked("arguments", "schema"))
+    calls = split_join(calls, schemas, ["conv", "name"], "left", "schemas")
     calls = materialize(calls, "calls")
     first = calls.where("id is not null").groupBy("conv", "id").agg(F.min(F.struct("turn", "place")).alias("call"))
     first = materialize(first.select("conv", "id", F.col("call.turn").alias("call_turn"), F.col("call.place").alias("place")), "first-calls")
@@ -175,15 +266,24 @@ def link_tool_calls(
     links = materialize(results.join(first, ["conv", "id"], "left"), "links")
     answered = links.where("call_turn is not null").select("conv", F.col("call_turn").alias("turn"), "place").distinct()
 
-    wanted = calls.select("conv", "turn", F.explode(F.expr(f"regexp_extract_all(arguments, '{_REFERENCE.replace(chr(92), chr(92) * 2)}', 1)")).alias("id"))
+    wanted = calls.select("conv", "turn", "place", F.explode(F.expr(f"regexp_extract_all(arguments, '{_REFERENCE.replace(chr(92), chr(92) * 2)}', 1)")).alias("id"))
+    earlier = wanted.withColumnRenamed("place", "at").join(first, ["conv", "id"]).where(
+        F.struct("call_turn", "place") < F.struct("turn", "at")
+    )
+    refs = earlier.groupBy("conv", "turn", F.col("at").alias("place")).agg(F.collect_set("id").alias("refs"))
+    checked = split_join(calls, refs, ["conv", "turn", "place"], "left", "earlier-calls")
+    checked = materialize(checked.select("conv", "turn", _checked("arguments", "schema", "refs").alias("error")), "checked-calls")
     known = links.where("call_turn is not null").select("conv", "id", "turn", "call_turn")
-    uses = materialize(known.join(wanted.withColumnRenamed("turn", "after"), ["conv", "id"]), "references")
+    uses = materialize(known.join(wanted.drop("place").withColumnRenamed("turn", "after"), ["conv", "id"]), "references")
     edges = known.select("conv", F.col("call_turn").alias("before"), F.col("turn").alias("after")).union(
         uses.where("call_turn < after").select("conv", F.col("turn").alias("before"), "after")
     )
     order = _settled(materialize(edges.where("before <> after").distinct(), "call-edges"))
 
-    per_call = calls.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n_calls"), F.count("error").alias("n_invalid"))
+    skipped = F.col("error").startswith(UNCHECKED)
+    per_call = checked.groupBy("conv", "turn").agg(
+        F.count(F.lit(1)).alias("n_calls"), F.count_if(~skipped).alias("n_invalid"), F.count_if(skipped).alias("n_unchecked")
+    )
     per_answer = answered.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n_answered"))
     forward = uses.where("call_turn >= after").groupBy("conv", F.col("after").alias("turn")).agg(F.count_distinct("id").alias("n_forward"))
     per_result = links.groupBy("conv", "turn").agg(F.max(F.col("call_turn").isNotNull()).alias("linked"))
@@ -193,6 +293,6 @@ def link_tool_calls(
     return rows.select(
         F.col("conv").alias("conv_id"), "turn", "role", _message("role", "text", like).alias("message"),
         F.coalesce("late", "turn").alias("order_turn"), F.coalesce("depth", F.lit(0)).alias("order_depth"),
-        *(F.coalesce(c, none).alias(c) for c in ("n_calls", "n_answered", "n_invalid", "n_forward")),
+        *(F.coalesce(c, none).alias(c) for c in ("n_calls", "n_answered", "n_invalid", "n_unchecked", "n_forward")),
         F.col("linked").isNotNull().alias("is_result"), F.coalesce("linked", F.lit(False)).alias("linked"),
     )

@@ -206,6 +206,28 @@ def test_schema_rules():
     assert check(True, {"type": "integer"}) and check(3.0, {"type": "integer"}) is None and check("z", {"enum": ["a"]})
 
 
+@pytest.mark.parametrize("value, schema", [
+    ("$5.00", {"type": "integer"}), (1, {"anyOf": [{"type": "string"}]}), (1, {"oneOf": [{}, {"type": "integer"}]}),
+    (1, {"allOf": [{"minimum": 2}]}), (1, {"not": {"const": 1}}), ({"a": 1}, {"properties": {"a": False}}),
+    ({"a": 1}, {"properties": {"a": {"$ref": "#/$defs/t"}}, "$defs": {"t": {"type": "string"}}}), ("b", {"pattern": "^a"}),
+    (1, {"exclusiveMinimum": 1}), (1, {"exclusiveMaximum": 1}), (0.25, {"multipleOf": 0.1}), ([], {"minItems": 1}),
+    ([1], {"maxItems": 0}), ([1, 1.0], {"uniqueItems": True}), ({"b": 1}, {"additionalProperties": {"type": "string"}}),
+])
+def test_schema_keywords(value, schema):
+    assert toolcalls.violation(value, schema)
+    assert toolcalls.violation("$a", schema, refs={"a"}) is None
+
+
+def test_references_and_unknown_keywords(spark):
+    call = lambda *c: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in c]})
+    whole = {"properties": {"n": {"type": "integer"}}}
+    tools = json.dumps({"tools": [{"name": "f", "parameters": whole}, {"name": "g", "parameters": {"dependentRequired": {}}}]})
+    rows = [(1, 0, "system", tools), (1, 1, "assistant", call(("a", "f", {"n": 1}), ("b", "f", {"n": "$a"}), ("c", "f", {"n": "$d"}))),
+            (1, 2, "assistant", call(("d", "f", {"n": "$zz"}), ("e", "g", {}), ("h", "f", {"n": "$b"})))]
+    found = toolcalls.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted((r.turn, r.n_calls, r.n_invalid, r.n_unchecked) for r in found.collect()) == [(0, 0, 0, 0), (1, 3, 1, 0), (2, 3, 1, 1)]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 30), max_size=12), max_size=9))
 def test_loser_tree_merges(runs):
