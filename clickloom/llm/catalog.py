@@ -15,6 +15,7 @@ from clickloom.llm.mixing import mixed
 from clickloom.llm.neardup import near_duplicates
 from clickloom.llm.shards import shard_table
 from clickloom.llm.sitestyle import main_text
+from clickloom.llm.streambpe import coding_digest
 from clickloom.llm.tokenfile import token_table
 from clickloom.llm.toolcalls import link_tool_calls
 from clickloom.llm.warc import archived_pages
@@ -74,6 +75,11 @@ def op10_warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids and decoded text of every document, hashed while they stream."""
+    return coding_digest(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; workers find the same path on their machines."""
     import public_tokenizers
@@ -94,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tool_call_links,
         op9_pfair_mixing,
         op10_warc_history,
+        op13_streaming_bpe,
     )
 }
