@@ -17,6 +17,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -31,13 +32,17 @@ from clickloom.llm.words import SLICE_BYTES
 
 BLOCK_CHARS = 1 << 16  # characters taken from a text at a time
 OPEN_CHARS = 1 << 10  # a piece of more characters is handed on while it grows
-MEMO_PIECES = 1 << 17  # encoded pieces a worker remembers
+MEMO_PIECES = 1 << 19  # encoded pieces a worker remembers
 MEMO_CHARS = 64  # longer pieces are not remembered
 SETTLE_CHARS = 4  # characters that decide the start of a piece (a contraction such as 're, and one more)
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+ASCII_PATTERN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 CLASSES = {"letter": regex.compile(r"\p{L}*"), "number": regex.compile(r"\p{N}*"),
            "space": regex.compile(r"\s*"), "other": regex.compile(r"[^\s\p{L}\p{N}]*")}
+SHORT = 64  # bytes up to which a plain search for the next merge is quicker than a heap
+_NONE = 1 << 62
+_ID = (1 << 32) - 1
 STAND_IN = {"letter": "a", "number": "1", "space": "\t", "other": "!"}
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -100,6 +105,7 @@ class Vocabulary:
                 raise ValueError("a merge comes before its parts or makes a token twice")
             made[u + v] = rank
             self.pairs[ids[u], ids[v]] = (rank, ids[u + v])
+        self.keyed = {pair: rank << 32 | made for pair, (rank, made) in self.pairs.items()}
         self.of_byte = [ids[letter] for letter, _ in sorted(letters.items(), key=lambda kv: kv[1])]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text: dict[int, bytes] = {n: bytes(letters[c] for c in t) for t, n in ids.items() if t not in self.special}
@@ -113,7 +119,7 @@ class Vocabulary:
     def merged(self, data: bytes) -> list[int]:
         """All merges of a byte string, lowest rank first and leftmost among equals."""
         ids = [self.of_byte[b] for b in data]
-        if len(ids) < 24:
+        if len(ids) < SHORT:
             return self._merged_short(ids)
         n = len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -135,16 +141,19 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
     def _merged_short(self, ids: list[int]) -> list[int]:
-        find = self.pairs.get
-        while True:
-            best, at = None, 0
-            for k in range(len(ids) - 1):
-                pair = find((ids[k], ids[k + 1]))
-                if pair and (best is None or pair < best):
-                    best, at = pair, k
-            if best is None:
+        find = self.keyed.get
+        keys = [find(pair, _NONE) for pair in zip(ids, ids[1:])]
+        while keys:
+            key = min(keys)
+            if key == _NONE:
                 break
-            ids[at : at + 2] = [best[1]]
+            k = keys.index(key)
+            made = ids[k] = key & _ID
+            del ids[k + 1], keys[k]
+            if k:
+                keys[k - 1] = find((ids[k - 1], made), _NONE)
+            if k < len(keys):
+                keys[k] = find((made, ids[k + 1]), _NONE)
         return ids
 
     def class_of(self, c: str) -> str:
@@ -169,20 +178,27 @@ class Vocabulary:
         return text.translate({ord(c): STAND_IN[self._seen[c]] for c in odd}) if odd else text
 
 
-class _Memo(dict):
+class _Memo:
     """Pieces already encoded: the ids as little-endian 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.known = vocabulary, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        window = Window(self.vocabulary)
-        out = window.feed(piece.encode("utf-8", "surrogatepass")) + window.finish()
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = out
+    def encoded(self, pieces: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            return b"".join(self._learnt(piece) for piece in pieces)
+
+    def _learnt(self, piece: str) -> bytes:
+        out = self.known.get(piece)
+        if out is None:
+            window = Window(self.vocabulary)
+            out = window.feed(piece.encode("utf-8", "surrogatepass")) + window.finish()
+            if len(piece) <= MEMO_CHARS:
+                if len(self.known) >= MEMO_PIECES:
+                    self.known.clear()
+                self.known[piece] = out
         return out
 
 
@@ -258,7 +274,7 @@ class Encoder:
             if self.open:
                 return b"".join(out)
         shown = self.vocabulary.stand_in(text)
-        pieces = PATTERN.findall(shown)
+        pieces = (ASCII_PATTERN if text.isascii() else PATTERN).findall(shown)
         if shown is not text:
             at, own = 0, []
             for piece in pieces:
@@ -270,7 +286,7 @@ class Encoder:
             while pieces and left < SETTLE_CHARS:
                 left += len(pieces.pop())
             self.tail = text[len(text) - left :] if left else ""
-        out.append(b"".join(map(self.vocabulary.memo.__getitem__, pieces)))
+        out.append(self.vocabulary.memo.encoded(pieces))
         if len(self.tail) > OPEN_CHARS:
             self._open(out)
         return b"".join(out)
