@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clickloom.llm.alignment import alignment_digest
 from clickloom.llm.catalog_sql import ORACLE
 from clickloom.llm.common import read_table
 from clickloom.llm.decontam import contaminations
@@ -75,6 +76,12 @@ def op10_warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned tokens of two tokenizers in every document, with corpus counts of the linked pairs."""
+    docs = read_table(spark, sf_dir, "documents")
+    return alignment_digest(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of every document, hashed while they stream."""
     return coding_digest(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tool_call_links,
         op9_pfair_mixing,
         op10_warc_history,
+        op12_pair_bitmaps,
         op13_streaming_bpe,
     )
 }
