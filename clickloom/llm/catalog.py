@@ -14,6 +14,7 @@ from clickloom.llm.langmix import predict_languages
 from clickloom.llm.linefreq import line_rules
 from clickloom.llm.mixing import mixed
 from clickloom.llm.neardup import near_duplicates
+from clickloom.llm.runs import run_digest
 from clickloom.llm.shards import shard_table
 from clickloom.llm.sitestyle import main_text
 from clickloom.llm.streambpe import coding_digest
@@ -76,6 +77,11 @@ def op10_warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, one in ten of them made periodic."""
+    return run_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op12_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned tokens of two tokenizers in every document, with corpus counts of the linked pairs."""
     docs = read_table(spark, sf_dir, "documents")
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tool_call_links,
         op9_pfair_mixing,
         op10_warc_history,
+        op11_periodic_runs,
         op12_pair_bitmaps,
         op13_streaming_bpe,
     )
