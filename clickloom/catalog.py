@@ -344,7 +344,7 @@ def session_interval_stats_long(spark, sf_dir):
     ),
 )
 def interval_percentiles(spark, sf_dir):
-    row = intervals.interval_percentiles(materialize(_stats(spark, sf_dir), "stats"))
+    row = intervals.interval_percentiles(_stats(spark, sf_dir))
 
     def rounded(name: str, places: int):
         return F.transform(f"{name}_values", lambda v: F.round(v, places)).alias(f"{name}_values")
@@ -367,7 +367,7 @@ def percentile_unpivot(spark, sf_dir):
 def percentile_unpivot_sparse(spark, sf_dir):
     """The reference table when no session has a deviation: 101 rows, one column of nulls."""
     stats = _stats(spark, sf_dir).withColumn("sd_click_interval_ms", F.lit(None).cast("double"))
-    row = intervals.interval_percentiles(materialize(stats, "stats"))
+    row = intervals.interval_percentiles(stats)
     return _rounded(intervals.percentile_unpivot(row), _TABLE_DIGITS)
 
 
@@ -387,7 +387,7 @@ def session_count(spark, sf_dir):
     ),
 )
 def inactivity_timeout(spark, sf_dir):
-    return intervals.inactivity_timeout(materialize(_stats(spark, sf_dir, "daily"), "stats"))
+    return intervals.inactivity_timeout(_stats(spark, sf_dir, "daily"))
 
 
 @query(

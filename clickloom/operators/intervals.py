@@ -8,17 +8,15 @@ from pyspark.sql import functions as F
 from clickloom.functions.scoring import mean_of, sample_sd, square
 from clickloom.functions.times import epoch_micros
 from clickloom.operators.percentiles import exact_percentiles
-from clickloom.operators.spans import SPAN, in_spans
+from clickloom.operators.spans import SPAN, cut_points, in_spans
 from clickloom.schema import INTERVAL_STATISTICS, SCORED_STATISTICS
 
 GAP = "_gap_us"
 TIME = "_time_us"
-PER_SECOND = 1_000_000
 
 
-def _in_spans(df: DataFrame, key: str, ts: str) -> DataFrame:
-    timed = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    return in_spans(timed.withColumn(TIME, epoch_micros(F.col(ts))), key, TIME, PER_SECOND)
+def _timed(df: DataFrame, key: str, ts: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn(TIME, epoch_micros(F.col(ts)))
 
 
 def click_intervals(
@@ -27,18 +25,22 @@ def click_intervals(
     """Add ``click_interval_ms``: time since the previous event of the same key, null first.
 
     Events with equal times are 0 ms apart; of these the one with the lowest ``tiebreak``
-    carries the gap to the time before. The first event of a span looks back to the key's
-    span before it.
+    carries the gap to the time before. Events shuffle once, by key; of a key that is cut into
+    spans, the first event of a span looks back to the span before it.
     """
-    spanned = _in_spans(df, key, ts)
-    ends = _in_spans(df.select(key, ts), key, ts).groupBy(key, SPAN).agg(F.max(TIME).alias("_end"))
-    by_span = Window.partitionBy(key).orderBy(SPAN)
-    carry = ends.select(key, SPAN, F.lag("_end").over(by_span).alias("_carried"))
+    timed = _timed(df, key, ts)
+    cuts = cut_points(timed, key, TIME)
     order = [F.col(TIME), *([F.col(tiebreak).asc_nulls_last()] if tiebreak else [])]
     previous = F.lag(TIME).over(Window.partitionBy(key, SPAN).orderBy(*order))
-    gaps = spanned.withColumn("_previous", previous).join(carry, [key, SPAN])
-    gap = F.col(TIME) - F.coalesce("_previous", "_carried")
-    return gaps.select(*df.columns, (gap / F.lit(1000.0)).alias("click_interval_ms"))
+    rows = in_spans(timed, key, TIME, cuts).withColumn("_previous", previous)
+    before = F.col("_previous")
+    if cuts is not None:
+        ends = in_spans(timed.select(key, TIME), key, TIME, cuts, only_cut=True)
+        ends = ends.groupBy(key, SPAN).agg(F.max(TIME).alias("_end"))
+        carried = F.lag("_end").over(Window.partitionBy(key).orderBy(SPAN)).alias("_carried")
+        rows = rows.join(F.broadcast(ends.select(key, SPAN, carried)), [key, SPAN], "left")  # a row per cut
+        before = F.coalesce("_previous", "_carried")
+    return rows.select(*df.columns, ((F.col(TIME) - before) / F.lit(1000.0)).alias("click_interval_ms"))
 
 
 def require_interval(df: DataFrame, column: str = "click_interval_ms") -> DataFrame:
@@ -51,11 +53,13 @@ def session_interval_stats(
 ) -> DataFrame:
     """Count, mean, min, max and sample deviation of click intervals per session.
 
-    Events shuffle once, by key and span: repeated times fold into counts, and a span into one
-    row of moments in whole microseconds. Those rows shuffle by key, where the gaps between
-    spans join in. All but the first of several events at one time are 0 ms intervals.
+    Events shuffle once, by key: repeated times fold into counts, and a key into one row of
+    moments in whole microseconds. A key that is cut into spans gives a row per span; those meet
+    by key, where the gaps between spans join in. All but the first of several events at one
+    time are 0 ms intervals.
     """
-    times = _in_spans(df.select(key, ts), key, ts).groupBy(key, SPAN, TIME)
+    timed = _timed(df.select(key, ts), key, ts).select(key, TIME)
+    times = in_spans(timed, key, TIME, cut_points(timed, key, TIME)).groupBy(key, SPAN, TIME)
     times = times.agg(F.count(F.lit(1)).alias("_copies"))
     before = F.lag(TIME).over(Window.partitionBy(key, SPAN).orderBy(TIME))
     gap = F.col(GAP)
@@ -93,9 +97,9 @@ def session_interval_stats(
     )
 
 
-def interval_percentiles(stats: DataFrame, **options) -> DataFrame:
+def interval_percentiles(stats: DataFrame) -> DataFrame:
     """One row of four arrays: percentiles 0..100 of each statistic."""
-    found = exact_percentiles(stats, INTERVAL_STATISTICS, [p / 100 for p in range(101)], **options)
+    found = exact_percentiles(stats, INTERVAL_STATISTICS, [p / 100 for p in range(101)])
     return found.groupBy().agg(
         *[
             F.first(F.when(F.col("statistic") == name, F.col("percentiles")), ignorenulls=True).alias(
@@ -122,9 +126,9 @@ def percentile_unpivot(row: DataFrame) -> DataFrame:
     )
 
 
-def inactivity_timeout(stats: DataFrame, fraction: float = 0.99, **options) -> DataFrame:
+def inactivity_timeout(stats: DataFrame, fraction: float = 0.99) -> DataFrame:
     """Whole milliseconds after which a session counts as over."""
-    found = exact_percentiles(stats, ["max_click_interval_ms"], [fraction], **options)
+    found = exact_percentiles(stats, ["max_click_interval_ms"], [fraction])
     return found.select(
         F.ceil(F.element_at("percentiles", 1)).cast("bigint").alias("session_inactivity_timeout_ms")
     )

@@ -3,8 +3,8 @@
 Batch twin of the session-scoring stream. Times count in whole milliseconds and an event that
 repeats the previous time adds nothing.
 
-A key's events are cut into spans of time. Inside a span they form pieces without a long gap;
-the pieces, far fewer than events, then join up to sessions per key.
+Events shuffle once, by key, and form pieces without a long gap: its sessions. A very busy key is
+cut into spans; its pieces, far fewer than events, then join up to sessions per key.
 """
 
 from __future__ import annotations
@@ -19,14 +19,13 @@ from pyspark.sql import functions as F
 from clickloom.functions.scoring import bot_score, is_bot, mean_of, sample_sd, square
 from clickloom.functions.times import epoch_millis, millis_to_time
 from clickloom.functions.keys import named_session
-from clickloom.operators.spans import SPAN, in_spans
+from clickloom.operators.spans import SPAN, cut_points, in_spans
 from clickloom.schema import BOT_SCORE_THRESHOLD, SCORED_STATISTICS, SESSION_TIMEOUT_MS
 
 TIME = "_t"
 SEQ = "session_seq"
 PIECE = "_piece"
 GAP = "_gap"
-PER_SECOND = 1_000
 
 
 def _times(df: DataFrame, key: str, ts: str) -> DataFrame:
@@ -35,9 +34,9 @@ def _times(df: DataFrame, key: str, ts: str) -> DataFrame:
     )
 
 
-def _in_pieces(df: DataFrame, key: str, timeout_ms: int) -> DataFrame:
+def _in_pieces(spanned: DataFrame, key: str, timeout_ms: int) -> DataFrame:
     """One row per distinct time: its piece within the span and the gap inside that piece."""
-    times = in_spans(df, key, TIME, PER_SECOND).distinct()
+    times = spanned.distinct()
     by_time = Window.partitionBy(key, SPAN).orderBy(TIME)
     upto = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gapped = times.withColumn(GAP, F.col(TIME) - F.lag(TIME).over(by_time))
@@ -88,6 +87,25 @@ def _carries(pieces: DataFrame, key: str) -> DataFrame:
     return carried.where(F.col(PIECE) == 0).drop(PIECE)
 
 
+def _carried_on(inside: DataFrame, carries: DataFrame, key: str) -> DataFrame:
+    """Add to each span's first piece what its session brings from the spans before."""
+    first = F.col(PIECE) == 0
+
+    def carried(column: str) -> Column:
+        return F.when(first, F.col(column))
+
+    joined = inside.join(F.broadcast(carries), [key, SPAN], "left")  # a row per cut
+    return joined.select(
+        key,
+        (F.coalesce("_first_seq", F.lit(1)) + F.col(PIECE)).alias(SEQ),
+        TIME,
+        _plus(F.col("event_count"), carried("_c_events")).alias("event_count"),
+        _plus(F.col("_total"), carried("_c_total")).alias("_total"),
+        _plus(F.col("_squares"), carried("_c_squares")).cast("decimal(38,0)").alias("_squares"),
+        F.least(F.col("_low"), carried("_c_low")).alias("_low"),
+    )
+
+
 def _scored(
     df: DataFrame,
     key: str,
@@ -133,18 +151,14 @@ def running_session_score(
     threshold: float = BOT_SCORE_THRESHOLD,
 ) -> DataFrame:
     """The ``active`` rows of the stream: a session's state after each of its events."""
-    rows = _in_pieces(_times(df, key, ts), key, timeout_ms)
-    carries = _carries(_joined_up(rows, key, timeout_ms), key)
+    times = _times(df, key, ts)
+    cuts = cut_points(times, key, TIME)
+    rows = _in_pieces(in_spans(times, key, TIME, cuts), key, timeout_ms)
     upto = (
         Window.partitionBy(key, SPAN, PIECE)
         .orderBy(TIME)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    first = F.col(PIECE) == 0
-
-    def carried(column: str) -> Column:
-        return F.when(first, F.col(column))
-
     inside = rows.select(
         key,
         SPAN,
@@ -155,15 +169,11 @@ def running_session_score(
         F.sum(square(F.col(GAP))).over(upto).alias("_squares"),
         F.min(GAP).over(upto).alias("_low"),
     )
-    rows = inside.join(carries, [key, SPAN]).select(
-        key,
-        (F.col("_first_seq") + F.col(PIECE)).alias(SEQ),
-        TIME,
-        _plus(F.col("event_count"), carried("_c_events")).alias("event_count"),
-        _plus(F.col("_total"), carried("_c_total")).alias("_total"),
-        _plus(F.col("_squares"), carried("_c_squares")).cast("decimal(38,0)").alias("_squares"),
-        F.least(F.col("_low"), carried("_c_low")).alias("_low"),
-    )
+    if cuts is None:
+        rows = inside.withColumn(SEQ, F.col(PIECE) + 1)
+    else:
+        pieces = _in_pieces(in_spans(times, key, TIME, cuts, only_cut=True), key, timeout_ms)
+        rows = _carried_on(inside, _carries(_joined_up(pieces, key, timeout_ms), key), key)
     return _scored(
         rows, key, table, threshold, F.lit("active"), F.lit(None).cast("timestamp_ntz")
     )
@@ -184,7 +194,9 @@ def batch_session_lifecycle(
     sessions whose timeout lies after it are still ``active``.
     """
 
-    pieces = _joined_up(_in_pieces(_times(df, key, ts), key, timeout_ms), key, timeout_ms)
+    times = _times(df, key, ts)
+    spanned = in_spans(times, key, TIME, cut_points(times, key, TIME))
+    pieces = _joined_up(_in_pieces(spanned, key, timeout_ms), key, timeout_ms)
     cross = F.col("_cross")
     rows = pieces.groupBy(key, SEQ).agg(
         F.max("_last").alias(TIME),

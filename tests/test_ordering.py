@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.search import count_at_or_below
 from clickloom.operators import intervals, lifecycle, ordering, spans
+from clickloom.operators import percentiles
 from clickloom.operators.percentiles import exact_percentiles
 from clickloom.schema import INTERVAL_STATISTICS
 
@@ -68,7 +69,9 @@ def test_running_operations(spark, skewed):
         assert found[name].tolist() == ordered[name].tolist()
 
 
-def test_intervals_of_any_key(spark, skewed):
+@pytest.mark.parametrize("rows", [1, 500, 1 << 16])
+def test_intervals_of_any_key(spark, skewed, monkeypatch, rows):
+    monkeypatch.setattr(spans, "RANGE_ROWS", rows)
     frame, df = skewed
     ordered = frame.sort_values(["user_session", "ms"])
     expected = sorted(ordered.groupby("user_session")["ms"].diff().dropna().tolist())
@@ -87,8 +90,8 @@ def test_statistics_of_any_key(spark, skewed, monkeypatch):
     expected = gaps.groupby("user_session")["gap"].agg(["count", "mean", "min", "max", "std"])
     expected = expected.sort_index().astype("float64")
     results = []
-    for seconds in (1, 600, 10**7):
-        monkeypatch.setattr(spans, "SPAN_SECONDS", seconds)
+    for rows in (1, 600, 1 << 16):
+        monkeypatch.setattr(spans, "RANGE_ROWS", rows)
         found = intervals.session_interval_stats(df).toPandas()
         results.append(found.set_index("user_session").sort_index())
     for found in results:
@@ -111,8 +114,24 @@ def _plain_sessions(frame, timeout):
     return found
 
 
+def test_busy_key_splits_inside_one_hour(spark, monkeypatch):
+    """Half of all events in one key and one hour: several spans of like size; other keys stay whole."""
+    monkeypatch.setattr(spans, "RANGE_ROWS", 1_000)
+    rng = np.random.default_rng(2)
+    key = np.where(rng.random(16_000) < 0.5, "m", rng.integers(0, 900, 16_000).astype(str))
+    df = spark.createDataFrame(pd.DataFrame({"k": key, "t": rng.integers(0, 3_600_000, 16_000)}))
+    cuts = spans.cut_points(df, "k", "t")
+    assert [row["k"] for row in cuts.collect()] == ["m"]
+    sizes = spans.in_spans(df, "k", "t", cuts).groupBy("k", spans.SPAN).count().toPandas()
+    own = sizes[sizes["k"] == "m"]["count"]
+    assert len(own) >= 3 and own.max() < 4_500 and set(sizes[sizes["k"] != "m"][spans.SPAN]) == {0}
+    assert spans.cut_points(df.where("k <> 'm'"), "k", "t") is None
+
+
+@pytest.mark.parametrize("range_rows", [1, 1 << 16])
 @pytest.mark.parametrize("timeout", [60_000, 2_000_000])
-def test_scores_of_any_key(spark, skewed, timeout):
+def test_scores_of_any_key(spark, skewed, monkeypatch, timeout, range_rows):
+    monkeypatch.setattr(spans, "RANGE_ROWS", range_rows)
     frame, df = skewed
     table = {name: [float(v) for v in range(0, 2_020_000, 20_000)] for name in INTERVAL_STATISTICS}
     expected, running = {}, {}
@@ -163,9 +182,39 @@ def test_percentiles(spark):
         F.lit(None).cast("double").alias("c"),
     )
     fractions = [p / 100 for p in range(101)]
-    found = exact_percentiles(df, ["a", "b", "c"], fractions, chunks=11)
+    found = exact_percentiles(df, ["a", "b", "c"], fractions)
     result = {r["statistic"]: r["percentiles"] for r in found.collect()}
     for name in ("a", "b"):
         expected = np.quantile(frame[name].dropna(), fractions)
         np.testing.assert_allclose(result[name], expected, rtol=1e-12)
     assert result["c"] is None
+
+
+@pytest.mark.parametrize("small", [1 << 16, 0])
+def test_percentiles_of_odd_values(spark, monkeypatch, small):
+    """Negative and tiny values, powers of two and their neighbours, ties, infinities; every step of bits."""
+    monkeypatch.setattr(percentiles, "SMALL", small)
+    rng = np.random.default_rng(5)
+    near = [np.nextafter(2.0**k, d) for k in range(-30, 40, 7) for d in (0, np.inf)] + [2.0**k for k in range(-30, 40, 7)]
+    values = np.concatenate([near, -np.array(near), [0.0] * 40, [5e-324, -5e-324, 1.7e308, np.inf, -np.inf],
+                             1 + rng.random(3000) * 1e-9, rng.normal(0, 1e6, 500), [3.25] * 700])
+    df = spark.createDataFrame(pd.DataFrame({"a": values})).repartition(5)
+    ranks = set(range(0, len(values), 13)) | {0, len(values) - 1}
+    n, found = percentiles.select_ranks(df, ["a"], lambda n: ranks)["a"]
+    assert n == len(values)
+    assert found == {rank: np.sort(values)[rank] for rank in ranks}
+
+
+def test_percentiles_with_nan(spark):
+    df = spark.createDataFrame(pd.DataFrame({"a": [1.0, 2.0, 3.0]})).union(spark.sql("SELECT double('NaN') a FROM range(3)"))
+    _, found = percentiles.select_ranks(df, ["a"], lambda n: {0, 2, 3, 5})["a"]
+    assert (found[0], found[2]) == (1.0, 3.0) and np.isnan(found[3]) and np.isnan(found[5])
+
+
+def test_percentiles_fold_before_the_shuffle(spark):
+    """One small aggregate a pass: no sort, no range exchange."""
+    df = spark.range(1000).select(F.sqrt("id").alias("value"), F.lit("a").alias("statistic"))
+    df = df.withColumn("key", percentiles.ordered_long(F.col("value")))
+    counted = df.groupBy("statistic", F.shiftright("key", 45).alias("part")).agg(F.count(F.lit(1)), F.min("value"), F.max("value"))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan and "rangepartitioning" not in plan
