@@ -20,13 +20,9 @@ sums fold before they are shuffled, and a container is bounded.
 from __future__ import annotations
 
 import hashlib
-import json
-import os
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +31,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm.common import bound_batches, materialize, split_join
-from clickloom.llm.streambpe import byte_letters
+from clickloom.llm.streambpe import encoded_parts, vocabulary_of
+from clickloom.llm.words import SLICE_BYTES
 
 CONTAINER = 1 << 16  # documents in one container
 BITSET = CONTAINER // 8  # bytes; as many sorted 16-bit numbers are never stored
 HELD_ENTRIES = 1 << 21  # (pair, document) entries a task holds before their bitmaps leave
-MEMO_CHUNKS = 1 << 18
-MEMO_CHARS = 48
+LARGE_GROUP = 1 << 12  # links of a group from which its ids are counted before they are paired
 OUT_ROWS = 1 << 16
-ANCHOR = "x"  # stands before a chunk so that the model adds its space there
 DOCS = -1  # the plane that holds the documents themselves
 
-# A cut lies before a space that follows no white space: neither tokenizer has a token across it.
-CHUNK = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
-
 SCHEMA = pa.schema([
     ("container", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
     ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()),
@@ -60,80 +52,96 @@ POSTING = "a int, b int, container long, plane int, n long, bits binary"
 SCORED = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
+class Aligned(NamedTuple):
+    """What some texts give: a row of counts and a digest for each, and all their linked pairs."""
+
+    rows: list[tuple]  # n_a, n_b, n_groups, n_links, groups_sha256
+    codes: np.ndarray  # pairs, A id in the upper half
+    times: np.ndarray  # how often each entry's pair is linked
+    texts: np.ndarray  # the entry's text, by its place in the list
+
+
 class Pair:
-    """The two tokenizers, the bytes of their tokens, and the chunks already aligned."""
+    """The two tokenizers and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
-        letters = byte_letters()
-        with open(a_path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        self.a_bytes = {n: bytes(letters[c] for c in t) for t, n in vocabulary.items() if set(t) <= letters.keys()}
+
+        self.a = vocabulary_of(a_path)
+        self.a_bytes = [self.a.text.get(n, b"") for n in range(max(self.a.text) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = [self._piece_bytes(n) for n in range(self.b.get_piece_size())]
-        if any(re.search("[^▁]▁", self.b.id_to_piece(n)) for n in range(len(self.b_bytes))):
-            raise ValueError("a piece has a space after another character, so texts cannot be cut at spaces")
-        self.lead = len(self.b.encode(ANCHOR))
-        self.known: dict[str, tuple | None] = {}
+        self.a_lengths = np.array([len(t) for t in self.a_bytes])
+        self.b_lengths = np.array([len(t) for t in self.b_bytes])
+        # a token's number with what follows it: for an id k, 2k inside its group and 2k + 1 at the end
+        self.written = [b"%d%b" % (n, mark) for n in range(len(self.a_bytes)) for mark in (b",", b"|")]
+        self.written += [b"%d%b" % (n, mark) for n in range(len(self.b_bytes)) for mark in (b",", b";")]
 
     def _piece_bytes(self, n: int) -> bytes:
         piece = self.b.id_to_piece(n)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(n) else piece.replace("▁", " ").encode()
 
-    def aligned(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
-        """The aligned chunks of each text; None for a text without tokens."""
-        cut = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        if len(self.known) > MEMO_CHUNKS:
-            self.known.clear()
-        fresh = list({c for chunks in cut for c in chunks if c not in self.known})
-        found = dict(zip(fresh, self._align(fresh), strict=True))
-        for chunks in cut:
-            rows = [found[c] if c in found else self.known[c] for c in chunks]
-            yield rows if rows and None not in rows else None
-        self.known.update((c, row) for c, row in found.items() if len(c) <= MEMO_CHARS)
-
-    def _align(self, chunks: list[str]) -> Iterator[tuple | None]:
-        a_ids = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
-        b_ids = self.b.encode([ANCHOR + c for c in chunks], num_threads=1)
-        a_bytes, b_bytes, lead = self.a_bytes, self.b_bytes, self.lead
-        for chunk, a, b in zip(chunks, a_ids, b_ids, strict=True):
-            b = b[lead:]
-            raw = chunk.encode()
-            xs, ys = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-            yield _groups(a, b, list(map(len, xs)), list(map(len, ys))) if b"".join(xs) == raw == b"".join(ys) else None
-
-
-def _groups(a: list[int], b: list[int], a_lengths: list[int], b_lengths: list[int]) -> tuple:
-    """Counts, the groups as text, and the linked id pairs with how often each is linked."""
-    if len(a) == 1 or len(b) == 1:
-        spans = [(a, b)]
-    else:
-        a_ends, b_ends = list(accumulate(a_lengths)), list(accumulate(b_lengths))
-        at_a, at_b = ({e: k + 1 for k, e in enumerate(ends)} for ends in (a_ends, b_ends))
-        spans, i, j = [], 0, 0
-        for end in sorted(at_a.keys() & at_b.keys()):
-            spans.append((a[i : at_a[end]], b[j : at_b[end]]))
-            i, j = at_a[end], at_b[end]
-    pairs: Counter = Counter()
-    for xs, ys in spans:
-        if len(xs) == 1 and len(ys) == 1:
-            pairs[xs[0] << 32 | ys[0]] += 1
-        else:
-            many = Counter(ys)
-            for x, n in Counter(xs).items():
-                for y, m in many.items():
-                    pairs[x << 32 | y] += n * m
-    text = ";".join(f"{','.join(map(str, xs))}|{','.join(map(str, ys))}" for xs, ys in spans)
-    links = sum(len(xs) * len(ys) for xs, ys in spans)
-    return (len(a), len(b), len(spans), links, text,
-            np.fromiter(pairs.keys(), np.int64).tobytes(), np.fromiter(pairs.values(), np.int64).tobytes())
+    def aligned(self, texts: list[str | None]) -> Aligned:
+        """Align some texts at once: their tokens lie one after another in flat arrays."""
+        some = [k for k, t in enumerate(texts) if t]
+        b_ids = self.b.encode([texts[k] for k in some], num_threads=1) if some else []
+        whole, a_parts, b_parts, sizes = [], [], [], []
+        for k, b in zip(some, b_ids, strict=True):
+            raw = (" " + texts[k]).encode()
+            a = np.frombuffer(b"".join(encoded_parts(self.a, " " + texts[k], plain=True)), "<u4")
+            if b"".join(map(self.b_bytes.__getitem__, b)) == raw == b"".join(map(self.a_bytes.__getitem__, a.tolist())):
+                whole.append(k)
+                a_parts.append(a)
+                b_parts.append(np.array(b, np.int64))
+                sizes.append(len(raw))
+        rows = [(0, 0, 0, 0, "")] * len(texts)
+        if not whole:
+            none = np.zeros(0, np.int64)
+            return Aligned(rows, none, none, none)
+        a, b = np.concatenate(a_parts).astype(np.int64), np.concatenate(b_parts)
+        a_ends, b_ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
+        both = np.zeros(a_ends[-1] + 1, bool)
+        both[a_ends] = True
+        ends = b_ends[both[b_ends]]  # where groups end
+        before = np.zeros(a_ends[-1] + 2, np.int64)
+        before[ends + 1] = 1
+        np.cumsum(before, out=before)  # groups that end before an offset
+        a_group, b_group = before[a_ends], before[b_ends]
+        n_a, n_b = np.bincount(a_group, minlength=len(ends)), np.bincount(b_group, minlength=len(ends))
+        a_first, b_first = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+
+        shown = np.empty(len(a) + len(b), np.int64)
+        shown[np.arange(len(a)) + b_first[a_group]] = 2 * a + (np.diff(a_group, append=len(ends)) > 0)
+        b_shown = 2 * (b + len(self.a_bytes)) + (np.diff(b_group, append=len(ends)) > 0)
+        shown[np.arange(len(b)) + (a_first + n_a)[b_group]] = b_shown
+        links = np.append(0, np.cumsum(n_a * n_b))
+        text_ends = np.searchsorted(ends, np.cumsum(sizes), "right")  # groups up to the end of each text
+        a_upto, b_upto = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
+        first = 0
+        for k, last in zip(whole, text_ends.tolist(), strict=True):
+            own_a, own_b = int(a_upto[last] - a_upto[first]), int(b_upto[last] - b_upto[first])
+            at = int(a_upto[first] + b_upto[first])
+            text = b"".join(map(self.written.__getitem__, shown[at : at + own_a + own_b].tolist()))
+            rows[k] = (own_a, own_b, last - first, int(links[last] - links[first]), hashlib.sha256(text[:-1]).hexdigest())
+            first = last
+        owner = np.repeat(np.array(whole), np.diff(text_ends, prepend=0))  # the text of each group
+        return Aligned(rows, *_linked(a, b, a_group, n_a, n_b, a_first, b_first, owner))
+
+
+def _linked(a, b, a_group, n_a, n_b, a_first, b_first, owner) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of all groups: every A token with every B token; large groups by distinct ids."""
+    large = n_a * n_b > LARGE_GROUP
+    repeats = np.where(large, 0, n_b)[a_group]
+    inside = np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+    codes = [np.repeat(a, repeats) << 32 | b[np.repeat(b_first[a_group], repeats) + inside]]
+    times, texts = [np.ones(len(codes[0]), np.int64)], [np.repeat(owner[a_group], repeats)]
+    for g in np.flatnonzero(large):
+        xs, m = np.unique(a[a_first[g] : a_first[g] + n_a[g]], return_counts=True)
+        ys, n = np.unique(b[b_first[g] : b_first[g] + n_b[g]], return_counts=True)
+        codes.append((xs[:, None] << 32 | ys).reshape(-1))
+        times.append((m[:, None] * n).reshape(-1))
+        texts.append(np.full(len(codes[-1]), owner[g]))
+    return np.concatenate(codes), np.concatenate(times), np.concatenate(texts)
 
 
 @lru_cache(maxsize=2)
@@ -182,12 +190,12 @@ class _Held:
         self.slot, self.n = 0, 0
         self.codes, self.times, self.slots = [], [], []
 
-    def add(self, rows: list[tuple]) -> None:
-        codes = np.frombuffer(b"".join([r[5] for r in rows]), np.int64)
-        self.codes.append(codes)
-        self.times.append(np.frombuffer(b"".join([r[6] for r in rows]), np.int64))
-        self.slots.append(np.full(len(codes), self.slot, np.int64))
-        self.n += len(codes)
+    def add(self, found: Aligned) -> None:
+        self.codes.append(found.codes)
+        self.times.append(found.times)
+        self.slots.append(found.texts + self.slot)
+        self.n += len(found.codes)
+        self.slot += len(found.rows)
 
     def leave(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
@@ -220,6 +228,18 @@ class _Held:
             }, n)
 
 
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``SLICE_BYTES`` characters, one longer text alone."""
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text or "") + 1
+        if size >= SLICE_BYTES:
+            yield first, k + 1
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _batch(columns: dict, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[f.name], f.type) if f.name in columns and not isinstance(columns[f.name], pa.Array)
@@ -241,25 +261,19 @@ def index_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, held = pair_of(a_path, b_path), _Held()
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, chunks in zip(batch.column(0).to_pylist(), both.aligned(batch.column(1).to_pylist()), strict=True):
-                if held.slot == CONTAINER:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for first, last in _slices(texts):
+                if held.slot + last - first > CONTAINER:
                     yield from held.leave()
                     held.container, held.slot = held.container + 1, 0
-                if chunks:
-                    n_a, n_b, n_groups, n_links = (sum(c) for c in list(zip(*chunks, strict=True))[:4])
-                    digest = hashlib.sha256(";".join([c[4] for c in chunks]).encode()).hexdigest()
-                    held.add(chunks)
-                else:
-                    n_a = n_b = n_groups = n_links = 0
-                    digest = ""
-                rows.append((held.container, held.slot, doc_id, n_a, n_b, n_groups, n_links, digest))
-                held.slot += 1
+                found = both.aligned(texts[first:last])
+                n = last - first
+                columns = dict(zip(SCHEMA.names[3:8], map(list, zip(*found.rows, strict=True)), strict=True))
+                columns |= {"container": np.full(n, held.container), "slot": held.slot + np.arange(n), "doc_id": ids.slice(first, n)}
+                yield _batch(columns, n)
+                held.add(found)
                 if held.n >= held_entries:
                     yield from held.leave()
-            if rows:
-                names = SCHEMA.names[:8]
-                yield _batch(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), len(rows))
         yield from held.leave()
 
     return materialize(own.mapInArrow(run, DDL), "pair-index")
@@ -377,7 +391,7 @@ def alignment_digest(
     Null and empty texts, and texts that one of the tokenizers cannot give back, have no tokens:
     zeros and an empty ``groups_sha256``. Every row is a document of its own, also a repeated one or
     one without id; ties for the highest count all count. An empty table gives an empty table. A
-    very long text is worked on whole, and its pairs count once. Other columns are not read.
+    very long text is worked on whole and alone. Other columns are not read.
     """
     index = index_documents(docs, a_path, b_path, id_col, text_col, held_entries)
     postings = postings_of(index)

@@ -242,10 +242,12 @@ class Window:
 class Encoder:
     """Text in, ids out, both in parts of any size."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, plain: bool = False):
+        """``plain``: special tokens written in a text are ordinary text."""
         self.vocabulary = vocabulary
-        self.find = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) or r"(?!)")
-        self.keep = max(map(len, vocabulary.special), default=1) - 1
+        special = [] if plain else sorted(vocabulary.special, key=len, reverse=True)
+        self.find = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
+        self.keep = max(map(len, special), default=1) - 1
         self.held = ""  # may begin a special token
         self.tail = ""  # may belong to a piece that goes on
         self.open: tuple[str, Window] | None = None  # class and window of a piece that goes on
@@ -348,9 +350,9 @@ def vocabulary_of(path: str) -> Vocabulary:
     return Vocabulary(spec, lambda text: len(cutter.pre_tokenize_str(text)))
 
 
-def encoded_parts(vocabulary: Vocabulary, text: str) -> Iterator[bytes]:
+def encoded_parts(vocabulary: Vocabulary, text: str, plain: bool = False) -> Iterator[bytes]:
     """The ids of a text as they settle."""
-    encoder = Encoder(vocabulary)
+    encoder = Encoder(vocabulary, plain)
     for k in range(0, len(text), BLOCK_CHARS):
         yield encoder.feed(text[k : k + BLOCK_CHARS])
     yield encoder.finish()
