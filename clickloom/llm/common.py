@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from clickloom.session import fresh_path, materialize
 
 __all__ = [
-    "bitmap_of", "bound_batches", "by_group", "fresh_path", "materialize", "maybe_in", "pick",
+    "Scratch", "bitmap_of", "bound_batches", "by_group", "fresh_path", "materialize", "maybe_column", "maybe_in", "pick",
     "read_table", "split_join", "where_maybe",
 ]
 
@@ -21,6 +22,30 @@ BITMAP_BITS = 1 << 26  # 8 MB, whatever the input
 _PAGE = 32_768  # bits of one built-in bitmap
 
 
+class Scratch:
+    """Stored intermediates of one job that are deleted after their last reader.
+
+    Drop a table only once everything computed from it is stored itself: lost tasks of later
+    passes then never need it again.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` to the shared folder and read it back."""
+        path = self.paths[label] = fresh_path(self.spark, label)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        """Delete the named tables."""
+        jvm = self.spark._jvm
+        for label in labels:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(label))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Cut the batches sent to Python by bytes as well as by rows, so long texts stay bounded.
 
@@ -130,6 +155,16 @@ def where_maybe(df: DataFrame, column: str, bitmap, wanted: bool = True) -> Data
     return df.mapInArrow(run, df.schema)
 
 
+def maybe_column(column, bitmap):
+    """As ``where_maybe``, as a condition: only this column goes to Python, whole rows stay behind."""
+
+    @F.pandas_udf("boolean")
+    def found(values: pd.Series) -> pd.Series:
+        return pd.Series(maybe_in(bitmap.value, values.to_numpy(np.int64)))
+
+    return found(column)
+
+
 def store_of(path: str):
     """The pyarrow file system of a shared path and the path within it, for files of own formats."""
     from pyarrow import fs

@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.common import (
+    Scratch,
     bitmap_of,
     bound_batches,
     by_group,
     materialize,
+    maybe_column,
     maybe_in,
     pick,
+    row_keys,
     split_join,
     where_maybe,
 )
@@ -200,7 +203,7 @@ def _compare_tile(percent: int):
         hub = table.column("hub")[0].as_py()
         low, high, band = (table.column(c)[0].as_py() for c in ("low", "high", "band"))
         sigs = _bytes(table.column("signature"), np.uint8, HASHES)
-        keys = table.column("prints").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         lefts, rights = [], []
         for i in range(len(ids) - 1):
             other = np.arange(i + 1, len(ids))
@@ -304,8 +307,10 @@ def near_duplicates(
     empty result. Other columns are ignored.
     """
     bound_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     texts = pick(docs, doc_id=id_col, text=text_col)
-    every = materialize(texts.mapInArrow(_sketch, SKETCH), "sketches")
+    every = scratch.store(texts.mapInArrow(_sketch, SKETCH), "sketches")
+    sizes = materialize(every.select("doc_id", "n_shingles"), "sizes")
     full = every.where("n_shingles > 0 and doc_id is not null")
 
     set_key = ["n_shingles", "key_a", "key_b"]
@@ -314,7 +319,7 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .where("first < last")
     )
-    copies = materialize(
+    copies = scratch.store(
         split_join(full.select("doc_id", *set_key), folded, set_key, "inner", "folded")
         .where("doc_id > first")
         .select("doc_id", "first", *set_key),
@@ -335,12 +340,13 @@ def near_duplicates(
         .where("hub < last")
         .drop("last")
     )
-    buckets = materialize(buckets, "buckets")
+    buckets = scratch.store(buckets, "buckets")
     shared = heads.mapInArrow(_members(bitmap_of(buckets, "key")), "key long, band int, id long")
-    members = materialize(shared.join(buckets, "key"), "members")
+    members = scratch.store(shared.join(buckets, "key"), "members")
+    scratch.drop("buckets")
     active = bitmap_of(members, "id")
     known = texts.where("doc_id is not null").withColumnRenamed("doc_id", "id").withColumn("id", F.col("id").cast("long"))
-    sets = materialize(known.mapInArrow(_sets(active), "id long, own binary, signature binary"), "sets")
+    sets = scratch.store(known.mapInArrow(_sets(active), "id long, own binary, signature binary"), "sets")
     sigs = sets.where("signature is not null").select("id", "signature").dropDuplicates()
     total = sets.agg(F.sum(F.length("own"))).first()[0] or 0
     blocks = max(1, ceil(total / TILE_BYTES))
@@ -348,10 +354,11 @@ def near_duplicates(
     def of(end: str) -> DataFrame:
         return sigs.select(F.col("id").alias(end), F.col("signature").alias(f"sig_{end}"))
 
-    to_hub = materialize(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "hub-pairs")
+    to_hub = scratch.store(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "hub-pairs")
     likely = to_hub.join(of("b"), "b").join(of("a"), "a").mapInArrow(_prune_pairs(percent), "a long, b long")
-    first_links = materialize(verify(likely, sets, blocks, percent), "hub-links")
-    roots = materialize(connected(first_links), "hub-roots")
+    first_links = scratch.store(verify(likely, sets, blocks, percent), "hub-links")
+    scratch.drop("hub-pairs")
+    roots = scratch.store(connected(first_links), "hub-roots")
 
     placed = members.where("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.withColumn("root", F.coalesce("root", "id"))
@@ -375,24 +382,26 @@ def near_duplicates(
             F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
         )
     )
-    prints = F.transform("bands", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    held = where_maybe(heads, "id", active).select("id", prints.alias("prints")).join(sigs, "id")
+    held = where_maybe(heads, "id", active).select("id", "bands").join(sigs, "id")
+    tiles = scratch.store(tiled, "tiles")
+    scratch.drop("members", "hub-roots")
     compared = (
-        materialize(tiled, "tiles")
-        .join(held, "id")
+        tiles.join(held, "id")
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
         .mapInArrow(_compare_tile(percent), "a long, b long")
     )
-    more_links = materialize(verify(compared, sets, blocks, percent), "links")
+    more_links = scratch.store(verify(compared, sets, blocks, percent), "links")
+    scratch.drop("tiles", "sets", "sketches")
 
     near = first_links.union(more_links).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = materialize(near.union(copies.select("doc_id", "first").distinct()), "all-links")
+    links = scratch.store(near.union(copies.select("doc_id", "first").distinct()), "all-links")
+    scratch.drop("hub-links", "links", "copies")
     final = materialize(connected(links), "roots").withColumnsRenamed({"node": "doc_id", "root": "reached"})
+    scratch.drop("all-links")
     component = F.coalesce("reached", "doc_id")
     return (
-        every.select("doc_id", "n_shingles")
-        .join(final, "doc_id", "left")
+        sizes.join(final, "doc_id", "left")
         .select(
             "doc_id",
             "n_shingles",
@@ -405,11 +414,23 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest id.
 
-    All columns are kept as they are. Exactly repeated rows of a kept id shrink to one; rows
-    without an id stay.
+    All columns are kept as they are. Rows that agree in all columns shrink to one if they have an
+    id; rows that share an id and differ in any column all stay or go with that id. Rows without
+    an id stay, also repeated ones. Null and blank texts stay; an empty table gives an empty one;
+    columns of other names are only carried.
+
+    Texts do not move for rows that surely stay: a bitmap of the ids that go or come twice picks
+    the few rows that enter the exact steps.
     """
     found = near_duplicates(docs, id_col, text_col, percent)
-    gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    rest = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    with_id = rest.where(F.col(f"`{id_col}`").isNotNull())
-    return with_id.dropDuplicates([id_col]).unionByName(rest.where(F.col(f"`{id_col}`").isNull()))
+    key = f"`{id_col}`"
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    rows = docs.select(F.col(key).cast("long").alias("_id"), *row_keys(*docs.columns)).where(F.col("_id").isNotNull())
+    repeated = rows.groupBy("_id", "row_a", "row_b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id").distinct()
+    unsure = bitmap_of(gone.select(F.col("_gone").alias("_id")).union(repeated), "_id")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    known = docs.select(F.col(key).cast("long").alias("_id"), whole, *row_keys(*docs.columns)).where(F.col("_id").isNotNull())
+    marked = known.withColumn("_unsure", maybe_column(F.col("_id"), unsure))
+    doubtful = marked.where("_unsure").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    kept = marked.where("not _unsure").select("_row").union(doubtful.dropDuplicates(["_id", "row_a", "row_b"]).select("_row"))
+    return kept.select("_row.*").unionByName(docs.where(F.col(key).isNull()))

@@ -1,6 +1,7 @@
 """Near-duplicates against all pairs, on the shared documents, planted groups and odd rows."""
 
 import random
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from clickloom.llm import neardup
 from clickloom.llm.components import connected
 from clickloom.llm.words import hashed_words, shingles
+from clickloom.session import work_dir
 
 SCHEMA = "doc_id long, text string, component_id string"
 
@@ -69,6 +71,24 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 6, 7, 9, 10, 11, None]))
 
 
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    one, other = "a b c d e f g", "quite other text of some seven words"
+    rows = [(1, one, 0, "x"), (1, other, 0, "x"), (1, one, 0, "x"), (2, one, 0, "y"), (2, other + " more", 0, "y"), (3, one, 1, "z"),
+            (None, one, 0, "n"), (None, one, 0, "n"), (4, None, 0, "v"), (4, None, 0, "v"), (5, "unlike all the rest of these", 0, "_id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, `row.a` string")
+    got = sorted((tuple(r) for r in neardup.keep_one(docs).collect()), key=repr)
+    assert got == sorted([rows[0], rows[1], rows[6], rows[7], rows[8], rows[10]], key=repr)
+    assert neardup.keep_one(docs.limit(0)).collect() == []
+
+
+def test_intermediates_are_deleted(spark):
+    folder = Path(work_dir(spark))
+    before = set(folder.iterdir())
+    neardup.keep_one(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "a b c d e f")], "doc_id long, text string")).collect()
+    left = {p.name.split("-", 1)[1].rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert left.isdisjoint({"sketches", "members", "sets", "tiles", "hub-pairs", "links", "all-links", "copies", "buckets"})
+
+
 def test_empty_table(spark):
     assert run(spark.createDataFrame([], SCHEMA)) == {}
 
