@@ -36,7 +36,7 @@ from clickloom.llm.words import SLICE_BYTES
 
 CONTAINER = 1 << 16  # documents in one container
 BITSET = CONTAINER // 8  # bytes; as many sorted 16-bit numbers are never stored
-HELD_ENTRIES = 1 << 21  # (pair, document) entries a task holds before their bitmaps leave
+HELD_ENTRIES = 1 << 22  # (pair, document) entries a task holds before their bitmaps leave
 LARGE_GROUP = 1 << 12  # links of a group from which its ids are counted before they are paired
 OUT_ROWS = 1 << 16
 DOCS = -1  # the plane that holds the documents themselves
@@ -89,7 +89,8 @@ class Pair:
         for k, b in zip(some, b_ids, strict=True):
             raw = (" " + texts[k]).encode()
             a = np.frombuffer(b"".join(encoded_parts(self.a, " " + texts[k], plain=True)), "<u4")
-            if b"".join(map(self.b_bytes.__getitem__, b)) == raw == b"".join(map(self.a_bytes.__getitem__, a.tolist())):
+            same = int(self.a_lengths[a].sum()) == len(raw)  # bytes of a text always are bytes of its A tokens
+            if same and b"".join(map(self.b_bytes.__getitem__, b)) == raw:
                 whole.append(k)
                 a_parts.append(a)
                 b_parts.append(np.array(b, np.int64))
@@ -183,48 +184,51 @@ def merged_bits(parts: list[bytes]) -> bytes:
 
 
 class _Held:
-    """Entries of the current container, until their bitmaps leave."""
+    """Entries of the current container, until their bitmaps leave.
 
-    def __init__(self):
+    An entry is one number, pair and document, so that sorting numbers sorts entries.
+    """
+
+    def __init__(self, b_size: int):
         self.container = TaskContext.get().partitionId() << 32
-        self.slot, self.n = 0, 0
-        self.codes, self.times, self.slots = [], [], []
+        self.b_size, self.slot, self.n = b_size, 0, 0
+        self.keys, self.extra = [], []
 
     def add(self, found: Aligned) -> None:
-        self.codes.append(found.codes)
-        self.times.append(found.times)
-        self.slots.append(found.texts + self.slot)
-        self.n += len(found.codes)
+        pairs = (found.codes >> 32) * self.b_size + (found.codes & 0xFFFFFFFF)
+        keys = pairs * CONTAINER + found.texts + self.slot
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.keys.append(keys[first])
+        self.extra.append(np.add.reduceat(found.times[order], first) - 1 if len(first) else found.times)
+        self.n += len(first)
         self.slot += len(found.rows)
 
     def leave(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        codes, times, slots = (np.concatenate(x) for x in (self.codes, self.times, self.slots))
-        self.codes, self.times, self.slots, self.n = [], [], [], 0
-        pairs, place = np.unique(codes, return_inverse=True)
-        keys = place.reshape(-1) * CONTAINER + slots
-        order = np.argsort(keys, kind="stable")
-        keys, times = keys[order], times[order]
-        first = np.flatnonzero(np.diff(keys, prepend=-1))
-        keys, extra = keys[first], np.add.reduceat(times, first) - 1
-        yield from self._plane(pairs, keys, DOCS)
+        keys, extra = np.concatenate(self.keys), np.concatenate(self.extra)
+        self.keys, self.extra, self.n = [], [], 0
+        order = np.argsort(keys)
+        keys, extra = keys[order], extra[order]
+        yield from self._plane(keys, DOCS)
         for k in range(int(extra.max()).bit_length()):
-            yield from self._plane(pairs, keys[extra >> k & 1 == 1], k)
+            yield from self._plane(keys[extra >> k & 1 == 1], k)
 
-    def _plane(self, pairs: np.ndarray, keys: np.ndarray, plane: int) -> Iterator[pa.RecordBatch]:
+    def _plane(self, keys: np.ndarray, plane: int) -> Iterator[pa.RecordBatch]:
         if not len(keys):
             return
-        place = keys // CONTAINER
-        ends = np.append(np.flatnonzero(np.diff(place)) + 1, len(place))
-        own = pairs[place[ends - 1]]
+        pairs = keys // CONTAINER
+        ends = np.append(np.flatnonzero(np.diff(pairs)) + 1, len(pairs))
+        own = pairs[ends - 1]
         bits = compressed(keys % CONTAINER, ends)
         for k in range(0, len(own), OUT_ROWS):
             part = own[k : k + OUT_ROWS]
             n = len(part)
             yield _batch({
-                "container": np.full(n, self.container), "a": (part >> 32).astype(np.int32),
-                "b": (part & 0xFFFFFFFF).astype(np.int32), "plane": np.full(n, plane, np.int32), "bits": bits.slice(k, n),
+                "container": np.full(n, self.container), "a": (part // self.b_size).astype(np.int32),
+                "b": (part % self.b_size).astype(np.int32), "plane": np.full(n, plane, np.int32), "bits": bits.slice(k, n),
             }, n)
 
 
@@ -259,7 +263,8 @@ def index_documents(
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, held = pair_of(a_path, b_path), _Held()
+        both = pair_of(a_path, b_path)
+        held = _Held(len(both.b_bytes))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for first, last in _slices(texts):

@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -193,8 +194,12 @@ class _Memo:
     def _learnt(self, piece: str) -> bytes:
         out = self.known.get(piece)
         if out is None:
-            window = Window(self.vocabulary)
-            out = window.feed(piece.encode("utf-8", "surrogatepass")) + window.finish()
+            data = piece.encode("utf-8", "surrogatepass")
+            if len(data) <= self.vocabulary.ahead:  # nothing of it settles before its end
+                out = array("I", self.vocabulary.merged(data)).tobytes()
+            else:
+                window = Window(self.vocabulary)
+                out = window.feed(data) + window.finish()
             if len(piece) <= MEMO_CHARS:
                 if len(self.known) >= MEMO_PIECES:
                     self.known.clear()
