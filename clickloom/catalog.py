@@ -19,7 +19,7 @@ from clickloom.plans.reference_tables import percentile_table, scoring_threshold
 from clickloom.schema import CLEAN_SCHEMA, EVENT_COLUMNS, INTERVAL_STATISTICS, SCORED_STATISTICS
 from clickloom.session import fresh_path, materialize
 from clickloom.sources import files, sinks
-from clickloom.sources.fixtures import SENTINEL, clickstream, stage_replay
+from clickloom.sources.fixtures import SENTINEL, clickstream, replay_pieces
 from clickloom.streaming import routes
 from clickloom.streaming import sessions as session_stream
 
@@ -1280,23 +1280,23 @@ def _finished(stream_query) -> None:
     stream_query.awaitTermination()
 
 
-def _session_updates(spark: SparkSession, sf_dir: str) -> str:
-    """Replay all events through the scoring stream; the path of the stored updates."""
-    folder, out = fresh_path(spark, "replay"), fresh_path(spark, "updates")
-    stage_replay(clickstream(spark, sf_dir, "lifetime"), folder, REPLAY_CUTS)
-    events = (
-        spark.readStream.schema("user_session string, event_time timestamp")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(folder)
-    )
-    updates = session_stream.score_sessions_stream(
-        events, _thresholds(spark, sf_dir), S.TIMEOUT_MS, threshold=S.THRESHOLD
-    )
-    _finished(
-        session_stream.write_session_updates(
-            updates, out, fresh_path(spark, "checkpoint"), available_now=True
+def _session_updates(spark: SparkSession, sf_dir: str, pieces: list[DataFrame] | None = None) -> str:
+    """Replay events piece by piece through the scoring stream; the path of its table.
+
+    The stream stops after every piece and resumes from its checkpoint with the next.
+    """
+    if pieces is None:
+        pieces = replay_pieces(clickstream(spark, sf_dir, "lifetime"), REPLAY_CUTS)
+    folder, out, checkpoint = (fresh_path(spark, n) for n in ("replay", "updates", "checkpoint"))
+    thresholds = _thresholds(spark, sf_dir)
+    for piece in pieces:
+        piece.write.mode("append").parquet(folder)
+        events = spark.readStream.schema("user_session string, event_time timestamp").parquet(folder)
+        _finished(
+            session_stream.score_sessions_stream(
+                events, thresholds, out, checkpoint, S.TIMEOUT_MS, threshold=S.THRESHOLD, available_now=True
+            )
         )
-    )
     return out
 
 
@@ -1305,27 +1305,68 @@ _STREAM_COLUMNS = """user_session, last_event_time, event_count, interval_count,
   session_status, closed_at"""
 
 
-@query(
-    "score_sessions_stream",
-    S.with_clicks(
-        f"SELECT {_STREAM_COLUMNS} FROM ({_ACTIVE_SQL.replace(' FROM scored', ', CAST(NULL AS TIMESTAMP) AS closed_at FROM scored')})"
-        f" UNION ALL SELECT {_STREAM_COLUMNS} FROM ("
-        + _CLOSED_SQL.replace("FROM scored", "FROM scored WHERE is_last")
-        + ")",
-        *_SCORING,
+def _stream_sql(*before: str, numbered: str = S.NUMBERED, more: str = "") -> str:
+    """Active and closed rows of all sessions of the numbered events."""
+    active = _ACTIVE_SQL.replace(" FROM scored", ", CAST(NULL AS TIMESTAMP) AS closed_at FROM scored")
+    closed = _CLOSED_SQL.replace("FROM scored", "FROM scored WHERE is_last")
+    return S.with_clicks(
+        f"SELECT {_STREAM_COLUMNS} FROM ({active}) UNION ALL SELECT {_STREAM_COLUMNS} FROM ({closed}){more}",
+        *before,
+        S.GAPS, S.STATS, S.LOOKUP, numbered,
         S.RUNNING,
         S.SCORED.replace("scored AS (", "plain AS ("),
         "scored AS (SELECT *, row_number() OVER (PARTITION BY user_session, session_seq ORDER BY t DESC) = 1 "
         "AS is_last FROM plain)",
         sessions="lifetime",
-    ),
-)
+    )
+
+
+@query("score_sessions_stream", _stream_sql())
 def score_sessions_stream(spark, sf_dir):
     """Active and closed rows of the scoring stream over a replay of all events."""
-    rows = spark.read.parquet(_session_updates(spark, sf_dir)).where(F.col("user_session") != SENTINEL)
+    rows = session_stream.stored_updates(spark, _session_updates(spark, sf_dir))
+    rows = rows.where(F.col("user_session") != SENTINEL)
+    return _rounded(_ntz(rows, "last_event_time", "closed_at"), _SCORE_DIGITS)
+
+
+def _disordered(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """All events in another order: some seconds late, and some far too late."""
+    events = clickstream(spark, sf_dir, "lifetime")
+    arrival = F.col("event_time") + F.make_interval(secs=(F.col("event_id") % 5).cast("decimal(18,6)"))
+    last = F.lit(S.LATE_CUTS[1]).cast("timestamp_ntz")
+    arrival = F.when(F.expr(S.FAR), last).otherwise(arrival)
+    return replay_pieces(events.withColumn("arrival", arrival), S.LATE_CUTS, "arrival")
+
+
+@query(
+    "score_sessions_disordered",
+    _stream_sql(S.ARRIVING, numbered=S.NUMBERED.replace("FROM clicks", "FROM in_time")),
+)
+def score_sessions_disordered(spark, sf_dir):
+    """Active and closed rows when events arrive out of order and late ones are dropped."""
+    rows = session_stream.stored_updates(spark, _session_updates(spark, sf_dir, _disordered(spark, sf_dir)))
+    rows = rows.where((F.col("user_session") != SENTINEL) & (F.col("session_status") != "late"))
     return _rounded(_ntz(rows, "last_event_time", "closed_at"), _SCORE_DIGITS)
 
 
+@query(
+    "late_drop",
+    S.with_clicks("SELECT user_session, late_events FROM late", S.ARRIVING, sessions="lifetime"),
+)
+def late_drop(spark, sf_dir):
+    """Late events per session, as the stream counted them."""
+    rows = session_stream.stored_updates(spark, _session_updates(spark, sf_dir, _disordered(spark, sf_dir)))
+    late = rows.where(F.col("session_status") == "late").groupBy("user_session")
+    return late.agg(F.sum("event_count").alias("late_events"))
+
+
+@query("session_gauges", S.with_clicks(S.GAUGES, sessions="lifetime"))
+def session_gauges(spark, sf_dir):
+    """What the stream holds in state before the last part of the events arrives."""
+    pieces = replay_pieces(clickstream(spark, sf_dir, "lifetime"), REPLAY_CUTS)[: len(REPLAY_CUTS)]
+    return session_stream.session_gauges(spark, _session_updates(spark, sf_dir, pieces))
+
+
 @query("bot_rate_stream", _scoring_sql(_METRICS_SQL, S.metrics(300_000)))
 def bot_rate_stream(spark, sf_dir):
     """Windowed bot metrics from the stored update stream."""
@@ -1336,7 +1377,7 @@ def bot_rate_stream(spark, sf_dir):
     writer = writer.option("checkpointLocation", fresh_path(spark, "checkpoint"))
     _finished(routes.triggered(writer, available_now=True).start())
     rows = _ntz(spark.read.parquet(out), "window_start", "window_end")
-    return _rounded(rows.where(F.year("window_start") < 2100), _METRIC_DIGITS)
+    return _rounded(rows, _METRIC_DIGITS)
 
 
 @query(

@@ -60,24 +60,21 @@ def clickstream(spark: SparkSession, sf_dir: str, sessions: str = "daily") -> Da
 SENTINEL = "~end-of-replay"
 
 
-def stage_replay(events: DataFrame, folder: str, cuts: list[str]) -> None:
-    """Lay out events as a followed folder: one write per time range, in time order.
+def replay_pieces(events: DataFrame, cuts: list[str], arrival: str = "event_time") -> list[DataFrame]:
+    """Events as they arrive: one piece per range of ``arrival``, then two ends of replay.
 
-    Two far-future events of a key of their own end the replay, so that the watermark passes
-    every real event and every session timeout.
+    The ends are far-future events of a key of their own; they let the watermark pass every real
+    event and every session timeout.
     """
     spark = events.sparkSession
-    narrow = events.select("user_session", F.col("event_time").cast("timestamp").alias("event_time"))
     bounds = [None, *cuts, None]
+    pieces = []
     for low, high in zip(bounds, bounds[1:]):
-        piece = narrow
+        piece = events
         if low:
-            piece = piece.where(F.col("event_time") >= F.lit(low).cast("timestamp"))
+            piece = piece.where(F.col(arrival) >= F.lit(low).cast("timestamp_ntz"))
         if high:
-            piece = piece.where(F.col("event_time") < F.lit(high).cast("timestamp"))
-        piece.coalesce(1).write.mode("append").parquet(folder)
-    for end in ("2100-01-01 00:00:00", "2100-01-02 00:00:00"):
-        last = spark.range(1).select(
-            F.lit(SENTINEL).alias("user_session"), F.lit(end).cast("timestamp").alias("event_time")
-        )
-        last.coalesce(1).write.mode("append").parquet(folder)
+            piece = piece.where(F.col(arrival) < F.lit(high).cast("timestamp_ntz"))
+        pieces.append(piece.select("user_session", F.col("event_time").cast("timestamp").alias("event_time")))
+    ends = [f"SELECT '{SENTINEL}' AS user_session, timestamp'{end} 00:00:00' AS event_time" for end in ("2100-01-01", "2100-01-02")]
+    return pieces + [spark.sql(end) for end in ends]

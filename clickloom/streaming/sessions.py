@@ -1,26 +1,30 @@
-"""Event-time session scoring as a keyed streaming operator.
+"""Event-time session scoring as a stream over a versioned table of session state.
 
-Per session: events at or before the watermark are dropped as late, newer ones wait in a
-buffer, leave it in event-time order once the watermark passes them, update constant-size
-statistics and yield an ``active`` row each. A session whose inactivity timeout lies at or
-before the watermark yields one ``closed`` row and is forgotten.
+Each micro-batch joins its events with the state the batch before left behind and writes one new
+version: updates, open sessions and waiting events together. The whole step is one DataFrame plan:
+a single shuffle by session, window functions, no Python per row or key.
+
+Per session: events at or before the watermark are dropped as late, newer ones wait as rows of the
+state until the watermark passes them, then update constant-size statistics in event-time order
+and yield an ``active`` row each. A session whose inactivity timeout lies at or before the
+watermark yields one ``closed`` row and leaves the state.
+
+Layout of the table: ``batch=N/kind=update|open|waiting``. A version is written aside and appears by
+one rename, so updates and state agree after any crash and a repeated batch changes nothing. The
+watermark is the name of an empty file in it. State older than the version before is deleted.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Mapping, Sequence
-from decimal import Decimal
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.functions.keys import named_session
+from clickloom.functions.scoring import bot_score, is_bot, mean_of, sample_sd, square
 from clickloom.functions.times import epoch_millis
 from clickloom.operators.botrate import bot_rate_windows, latest_per_window, status_filter
 from clickloom.schema import (
@@ -30,254 +34,238 @@ from clickloom.schema import (
     SESSION_TIMEOUT_MS,
     SESSION_UPDATE_SCHEMA,
 )
-from clickloom.session import ROCKSDB_PROVIDER, STATE_STORE_KEY
 from clickloom.sources.sinks import read_upserts, upsert_sink
+from clickloom.sources.store import mark, move, names_in, remove
 from clickloom.streaming.routes import triggered
 
+KEY = "user_session"
 STATE_SCHEMA = T.StructType(
     [
-        T.StructField("last", T.LongType()),
+        T.StructField(KEY, T.StringType()),
+        T.StructField("event_ms", T.LongType()),  # of the newest event, or of the waiting one
         T.StructField("events", T.LongType()),
         T.StructField("total", T.LongType()),
         T.StructField("squares", T.DecimalType(38, 0)),
         T.StructField("low", T.LongType()),
-        T.StructField("timer", T.LongType()),
-        T.StructField("waiting", T.ArrayType(T.LongType())),
     ]
 )
-SCORE_KEYS = ["user_session"]
+SCORE_KEYS = [KEY]
 # A row with later events wins; at equal events the closing row does.
 SCORE_ORDER = ["last_event_time", "event_count", "session_status"]
 UPDATE_COLUMNS = SESSION_UPDATE_SCHEMA.fieldNames()
+NEVER = -(1 << 62)  # the watermark before the first event
+WATERMARK = "_watermark="
+STAGED = "_staged"
 
 
-class SessionScorer(StatefulProcessor):
-    """One value of state and at most one timer per session."""
-
-    def __init__(self, table: Mapping[str, Sequence[float]], timeout_ms: int, threshold: float):
-        self.thresholds = [np.asarray(table[name], dtype="float64") for name in SCORED_STATISTICS]
-        self.timeout_ms = timeout_ms
-        self.threshold = threshold
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("session", STATE_SCHEMA)
-
-    def close(self) -> None:
-        pass
-
-    def handleInputRows(self, key, rows, timerValues):
-        watermark = timerValues.getCurrentWatermarkInMs()
-        session = self._load()
-        late, newest_late, waiting = 0, None, [session["waiting"]]
-        for frame in rows:
-            times = frame["event_ms"].to_numpy(dtype="int64")
-            dropped = times[times <= watermark]
-            if len(dropped):
-                late += len(dropped)
-                newest_late = max(newest_late or 0, int(dropped.max()))
-            waiting.append(np.unique(times[times > watermark]))
-        session["waiting"] = np.unique(np.concatenate(waiting))
-        self._store(session)
-        if late:
-            yield self._late_row(key, late, newest_late)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        watermark = timerValues.getCurrentWatermarkInMs()
-        session = self._load()
-        session["timer"] = None
-        ready = int(np.searchsorted(session["waiting"], watermark, side="right"))
-        times, session["waiting"] = np.split(session["waiting"], [ready])
-        rows = self._advance(key, session, times, watermark)
-        self._store(session)
-        if rows is not None:
-            yield rows
-
-    def _load(self) -> dict:
-        stored = self.state.get()
-        session = {"timer": None, "waiting": np.empty(0, dtype="int64")}
-        if stored is None:
-            self._reset(session)
-            return session
-        session = dict(zip(STATE_SCHEMA.fieldNames(), stored))
-        waiting = session["waiting"] if session["waiting"] is not None else []
-        session["waiting"] = np.asarray(waiting, dtype="int64")
-        session["squares"] = int(session["squares"])
-        return session
-
-    def _store(self, session: dict) -> None:
-        """Keep one timer: the next waiting event or the close, whichever is first."""
-        wanted = [int(t) for t in session["waiting"][:1]]
-        if session["last"] is not None:
-            wanted.append(session["last"] + self.timeout_ms)
-        if not wanted:
-            if session["timer"] is not None:
-                self.handle.deleteTimer(session["timer"])
-            self.state.clear()
-            return
-        timer = min(wanted)
-        if timer != session["timer"]:
-            if session["timer"] is not None:
-                self.handle.deleteTimer(session["timer"])
-            self.handle.registerTimer(timer)
-            session["timer"] = timer
-        values = {
-            **session,
-            "squares": Decimal(session["squares"]),
-            "waiting": session["waiting"].tolist(),
-        }
-        self.state.update(tuple(values[name] for name in STATE_SCHEMA.fieldNames()))
-
-    @staticmethod
-    def _reset(session: dict) -> None:
-        session.update(last=None, events=0, total=0, squares=0, low=None)
-
-    def _advance(self, key, session: dict, times: np.ndarray, watermark: int) -> pd.DataFrame | None:
-        """Add sorted events: one ``active`` row for each, and a ``closed`` row for every
-        session whose timeout passed. The open session, if any, goes first as row 0.
-
-        Running sums use Python's whole numbers, so they stay exact at any length.
-        """
-        going_on = session["last"] is not None
-        if going_on:
-            times = np.concatenate([np.array([session["last"]]), times])
-        if not len(times):
-            return None
-        gaps = np.diff(times, prepend=times[:1])
-        starts = gaps > self.timeout_ms
-        starts[0] = True
-        position = np.arange(len(times))
-        first = np.maximum.accumulate(np.where(starts, position, 0))
-        inside = np.where(starts, 0, gaps).astype(object)
-        totals, squares = np.cumsum(inside), np.cumsum(inside * inside)
-        totals, squares = totals - totals[first], squares - squares[first]
-        events = position - first + 1
-        lows = np.where(starts, np.inf, gaps)
-        heads = np.flatnonzero(starts)
-        if going_on:
-            ongoing = first == 0
-            events[ongoing] += session["events"] - 1
-            totals[ongoing] += session["total"]
-            squares[ongoing] += session["squares"]
-            lows[0] = np.inf if session["low"] is None else session["low"]
-        for head, tail in zip(heads, [*heads[1:], len(times)]):
-            np.minimum.accumulate(lows[head:tail], out=lows[head:tail])
-
-        ended = heads[1:] - 1
-        if times[-1] + self.timeout_ms <= watermark:
-            ended = np.append(ended, len(times) - 1)
-            self._reset(session)
-        else:
-            session.update(
-                last=int(times[-1]),
-                events=int(events[-1]),
-                total=int(totals[-1]),
-                squares=int(squares[-1]),
-                low=None if np.isinf(lows[-1]) else int(lows[-1]),
-            )
-        order = np.concatenate([position[1:] if going_on else position, ended])
-        if not len(order):
-            return None
-        closed = np.arange(len(order)) >= len(order) - len(ended)
-        return self._rows(
-            key, times[order], events[order], totals[order], squares[order], lows[order], closed
-        )
-
-    def _rows(self, key, times, events, totals, squares, lows, closed) -> pd.DataFrame:
-        intervals = events - 1
-        mean = np.full(len(times), np.nan)
-        sd = np.full(len(times), np.nan)
-        some, more = intervals > 0, intervals > 1
-        mean[some] = totals[some].astype("float64") / intervals[some]
-        if more.any():
-            total, count = totals[more], intervals[more].astype(object)
-            whole = squares[more] - (total // count) * total
-            rest = (total % count) * total
-            spread = whole.astype("float64") - rest.astype("float64") / intervals[more]
-            sd[more] = np.sqrt(np.maximum(0.0, spread / (intervals[more] - 1)))
-        low = np.where(some, lows, np.nan)
-        score = self._score(mean, low, sd)
-        closed_at = np.where(closed, times + self.timeout_ms, np.iinfo("int64").min)
-        return pd.DataFrame(
-            {
-                "user_session": key[0],
-                "last_event_time": times.astype("datetime64[ms]"),
-                "event_count": events,
-                "interval_count": intervals,
-                "mean_click_interval_ms": mean,
-                "min_click_interval_ms": low,
-                "sd_click_interval_ms": sd,
-                "bot_score": score,
-                "is_bot": score >= self.threshold,
-                "session_status": np.where(closed, "closed", "active"),
-                "closed_at": closed_at.astype("datetime64[ms]"),
-            }
-        )
-
-    def _score(self, *values: np.ndarray) -> np.ndarray:
-        shares = [
-            (100 - np.maximum(0, np.searchsorted(bounds, value, side="right") - 1)) / 100.0
-            for bounds, value in zip(self.thresholds, values)
-        ]
-        score = (shares[0] + shares[1] + shares[2]) / 3.0
-        return np.where(np.isnan(np.sum(values, axis=0)), 0.0, score)
-
-    def _late_row(self, key, events: int, newest: int) -> pd.DataFrame:
-        none, never = np.array([0], dtype=object), np.array([False])
-        time, count, low = np.array([newest]), np.array([1]), np.array([np.inf])
-        rows = self._rows(key, time, count, none, none, low, never)
-        return rows.assign(session_status="late", event_count=events)
+def _version(batch_id: int) -> str:
+    return f"batch={batch_id:012d}"
 
 
-def score_sessions_stream(
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    return [name for name in names_in(spark, path) if name.startswith("batch=")]
+
+
+def _watermark(spark: SparkSession, path: str, version: str | None) -> int:
+    """The watermark a version was written with."""
+    if version is None:
+        return NEVER
+    marks = [n for n in names_in(spark, f"{path}/{version}") if n.startswith(WATERMARK)]
+    return int(marks[0].removeprefix(WATERMARK))
+
+
+def _state(spark: SparkSession, path: str, version: str | None, kind: str) -> DataFrame:
+    """Open sessions or waiting events of a version."""
+    if version is None or f"kind={kind}" not in names_in(spark, f"{path}/{version}"):
+        return spark.createDataFrame([], STATE_SCHEMA)
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{path}/{version}/kind={kind}")
+
+
+def advance_sessions(
     events: DataFrame,
+    sessions: DataFrame,
+    waiting: DataFrame,
+    before_ms: int,
+    watermark_ms: int,
     table: Mapping[str, Sequence[float]],
     timeout_ms: int = SESSION_TIMEOUT_MS,
-    out_of_orderness_ms: int = OUT_OF_ORDERNESS_MS,
     threshold: float = BOT_SCORE_THRESHOLD,
-    key: str = "user_session",
-    ts: str = "event_time",
 ) -> DataFrame:
-    """Streaming session updates with status ``active``, ``closed`` or ``late``.
+    """One step of the stream: rows of kind ``update``, ``open`` and ``waiting``.
 
-    ``late`` rows only report how many events a batch dropped for a session; the engine itself
-    drops those at or below the watermark of the batch before.
+    ``events`` holds (user_session, event_ms); those at or before ``before_ms``, the watermark of
+    the step before, are late and only counted. An open session takes part as a row at its newest
+    event that brings its statistics along. Gaps and squares add up as whole numbers, so any
+    division into steps gives the same sums.
     """
-    spark = events.sparkSession
-    spark.conf.set(STATE_STORE_KEY, ROCKSDB_PROVIDER)
-    # Executors receive the processor's code with the task, so no installation is needed there.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    cloudpickle.register_pickle_by_value(sys.modules["clickloom.schema"])
-    narrow = (
-        events.where(named_session(key) & F.col(ts).isNotNull())
-        .select(F.col(key).alias("user_session"), F.col(ts).cast("timestamp").alias("ts"))
-        .withColumn("event_ms", epoch_millis(F.col("ts")))
-        .withWatermark("ts", f"{out_of_orderness_ms} milliseconds")
+
+    def state_rows(df: DataFrame, is_open: bool) -> DataFrame:
+        return df.select(*STATE_SCHEMA.fieldNames(), F.lit(is_open).alias("_open"))
+
+    one = [F.lit(1).cast("long").alias("events"), F.lit(0).cast("long").alias("total"),
+           F.lit(0).cast("decimal(38,0)").alias("squares"), F.lit(None).cast("long").alias("low")]
+    plain = waiting.select(KEY, "event_ms").union(events.where(F.col("event_ms") > before_ms).select(KEY, "event_ms"))
+    rows = state_rows(sessions, True).union(state_rows(plain.select(KEY, "event_ms", *one), False))
+    rows = rows.repartition(KEY).dropDuplicates([KEY, "event_ms"])
+
+    by_time = Window.partitionBy(KEY).orderBy("event_ms")
+    upto = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    due = F.col("event_ms") <= watermark_ms
+    gap = F.col("event_ms") - F.lag("event_ms").over(by_time)
+    starts = F.coalesce(gap > timeout_ms, F.lit(True))
+    rows = rows.select("*", due.alias("_due"), gap.alias("_gap"), starts.alias("_starts"))
+    rows = rows.withColumn("_piece", F.sum(F.col("_starts").cast("long")).over(upto))
+    inner = F.when(~F.col("_starts"), F.col("_gap"))
+    piece = Window.partitionBy(KEY, "_piece").orderBy("event_ms")
+    piece = piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(
+        KEY, "event_ms", "_open", "_due",
+        F.lead("_starts").over(by_time).alias("_next_starts"),
+        F.coalesce(F.lead("_due").over(by_time), F.lit(False)).alias("_next_due"),
+        F.sum("events").over(piece).alias("events"),
+        F.sum(F.col("total") + F.coalesce(inner, F.lit(0))).over(piece).alias("total"),
+        F.sum(F.col("squares") + F.coalesce(square(inner), F.lit(0))).over(piece).cast("decimal(38,0)").alias("squares"),
+        F.least(F.min("low").over(piece), F.min(inner).over(piece)).alias("low"),
     )
-    return narrow.groupBy("user_session").transformWithStateInPandas(
-        SessionScorer(table, timeout_ms, threshold),
-        outputStructType=SESSION_UPDATE_SCHEMA,
-        outputMode="Append",
-        timeMode="EventTime",
+    over = F.when(F.col("_next_due"), F.col("_next_starts")).otherwise(F.col("event_ms") + timeout_ms <= watermark_ms)
+    stays = ~F.col("_next_due") & ~over
+
+    def part(kind: str, status: str | None, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(status).cast("string").alias("session_status")))
+
+    parts = F.array_compact(F.array(
+        part("update", "active", F.col("_due") & ~F.col("_open")),
+        part("update", "closed", F.col("_due") & over),
+        part("open", None, F.col("_due") & stays),
+        part("waiting", None, ~F.col("_due")),
+    ))
+    late = events.where(F.col("event_ms") <= before_ms).groupBy(KEY).agg(
+        F.max("event_ms").alias("event_ms"), F.count(F.lit(1)).alias("_late")
+    )
+    late = late.select(
+        KEY, "event_ms", F.lit(1).cast("long").alias("events"), *one[1:], F.lit("update").alias("kind"),
+        F.lit("late").alias("session_status"), "_late",
+    )
+    moved = rows.withColumn("_part", F.explode(parts)).select(
+        *STATE_SCHEMA.fieldNames(), "_part.*", F.lit(None).cast("long").alias("_late")
+    )
+    return _with_scores(moved.unionByName(late), table, timeout_ms, threshold)
+
+
+def _with_scores(rows: DataFrame, table: Mapping[str, Sequence[float]], timeout_ms: int, threshold: float) -> DataFrame:
+    """The columns of an update beside those of the state."""
+    n = F.col("events") - 1
+    scored = rows.select(
+        "*",
+        F.timestamp_millis("event_ms").alias("last_event_time"),
+        F.coalesce("_late", "events").alias("event_count"),
+        n.alias("interval_count"),
+        mean_of(F.col("total"), n).alias("mean_click_interval_ms"),
+        F.col("low").cast("double").alias("min_click_interval_ms"),
+        sample_sd(n, F.col("total"), F.col("squares")).alias("sd_click_interval_ms"),
+    ).withColumn("bot_score", bot_score(*SCORED_STATISTICS, table))
+    closed_at = F.timestamp_millis(F.col("event_ms") + timeout_ms)
+    return scored.select(
+        "kind", *STATE_SCHEMA.fieldNames(), "last_event_time", "event_count", "interval_count", *SCORED_STATISTICS,
+        "bot_score", is_bot(F.col("bot_score"), threshold).alias("is_bot"), "session_status",
+        F.when(F.col("session_status") == "closed", closed_at).alias("closed_at"),
     )
 
 
-def write_session_updates(
-    updates: DataFrame, path: str, checkpoint: str, available_now: bool = False
+def score_batch(
+    batch: DataFrame,
+    batch_id: int,
+    path: str,
+    table: Mapping[str, Sequence[float]],
+    timeout_ms: int = SESSION_TIMEOUT_MS,
+    out_of_orderness_ms: int = OUT_OF_ORDERNESS_MS,
+    threshold: float = BOT_SCORE_THRESHOLD,
+) -> None:
+    """Write version ``batch_id`` of the table from the version before and a batch of events.
+
+    A version that is there already stays as it is.
+    """
+    spark = batch.sparkSession
+    version = _version(batch_id)
+    earlier = _versions(spark, path)
+    if version in earlier:
+        return
+    before = max((v for v in earlier if v < version), default=None)
+    before_ms = _watermark(spark, path, before)
+    newest = batch.agg(F.max("event_ms")).first()[0]
+    watermark_ms = before_ms if newest is None else max(before_ms, newest - out_of_orderness_ms)
+    rows = advance_sessions(
+        batch, _state(spark, path, before, "open"), _state(spark, path, before, "waiting"),
+        before_ms, watermark_ms, table, timeout_ms, threshold,
+    )
+    staged = f"{path}/{STAGED}/{version}"
+    rows.write.mode("overwrite").partitionBy("kind").parquet(staged)
+    mark(spark, f"{staged}/{WATERMARK}{watermark_ms}")
+    move(spark, staged, f"{path}/{version}")
+    for old in [v for v in earlier if before and v < before][-2:]:
+        for kind in ("open", "waiting"):
+            remove(spark, f"{path}/{old}/kind={kind}")
+
+
+def score_sessions_stream(
+    events: DataFrame,
+    table: Mapping[str, Sequence[float]],
+    path: str,
+    checkpoint: str,
+    timeout_ms: int = SESSION_TIMEOUT_MS,
+    out_of_orderness_ms: int = OUT_OF_ORDERNESS_MS,
+    threshold: float = BOT_SCORE_THRESHOLD,
+    key: str = KEY,
+    ts: str = "event_time",
+    available_now: bool = False,
 ) -> StreamingQuery:
-    """Append session updates to a table other streams read; each batch commits as a whole."""
-    writer = (
-        updates.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
+    """Score a stream of events into the table at ``path``.
+
+    Updates have status ``active``, ``closed`` or ``late``; a ``late`` row says how many events of a
+    session a batch dropped, exactly. Events without a session name or time are ignored.
+    """
+    narrow = events.where(named_session(key) & F.col(ts).isNotNull()).select(
+        F.col(key).alias(KEY), epoch_millis(F.col(ts)).alias("event_ms")
     )
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")  # streams turn it off
+        score_batch(batch, batch_id, path, table, timeout_ms, out_of_orderness_ms, threshold)
+
+    writer = narrow.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return triggered(writer, available_now).start()
 
 
-def read_session_updates(spark, path: str) -> DataFrame:
+def read_session_updates(spark: SparkSession, path: str) -> DataFrame:
     """Stream over the stored updates. Each batch of the writer arrives complete."""
-    return spark.readStream.schema(SESSION_UPDATE_SCHEMA).parquet(path)
+    return spark.readStream.schema(SESSION_UPDATE_SCHEMA).parquet(f"{path}/batch=*/kind=update")
+
+
+def stored_updates(spark: SparkSession, path: str) -> DataFrame:
+    """All updates so far, as a table."""
+    names = [v for v in _versions(spark, path) if "kind=update" in names_in(spark, f"{path}/{v}")]
+    if not names:
+        return spark.createDataFrame([], SESSION_UPDATE_SCHEMA)
+    return spark.read.schema(SESSION_UPDATE_SCHEMA).parquet(*[f"{path}/{v}/kind=update" for v in names])
+
+
+def session_state(spark: SparkSession, path: str) -> DataFrame:
+    """What the newest version holds: a row per open session and per waiting event."""
+    newest = max(_versions(spark, path), default=None)
+    kinds = [_state(spark, path, newest, kind).withColumn("kind", F.lit(kind)) for kind in ("open", "waiting")]
+    return kinds[0].unionByName(kinds[1])
+
+
+def session_gauges(spark: SparkSession, path: str) -> DataFrame:
+    """One row: sessions in state, events that wait for the watermark, late events so far."""
+    held = session_state(spark, path).agg(
+        F.count_distinct(KEY).alias("active_sessions"),
+        F.count_if(F.col("kind") == "waiting").alias("retained_events"),
+    )
+    late = status_filter(stored_updates(spark, path), "late").agg(
+        F.coalesce(F.sum("event_count"), F.lit(0)).alias("late_events")
+    )
+    return held.join(F.broadcast(late))  # one row each
 
 
 def bot_rate_stream(updates: DataFrame, size: str = "5 minutes", threshold: float = BOT_SCORE_THRESHOLD) -> DataFrame:
@@ -310,17 +298,3 @@ def upsert_session_scores(
 
 def read_session_scores(spark, target: str) -> DataFrame:
     return read_upserts(spark, target, SCORE_KEYS, SCORE_ORDER)
-
-
-def session_gauges(query: StreamingQuery) -> dict[str, int]:
-    """Sessions held in state, and late events the engine dropped before they reached the
-    processor. Late events of the newest watermark step show up as ``late`` rows instead."""
-    batches = [batch["stateOperators"] for batch in query.recentProgress if batch["stateOperators"]]
-    if not batches:
-        return {"active_sessions": 0, "state_bytes": 0, "dropped_late_events": 0}
-    newest = batches[-1][0]
-    return {
-        "active_sessions": newest["numRowsTotal"],
-        "state_bytes": newest["memoryUsedBytes"],
-        "dropped_late_events": sum(operators[0]["numRowsDroppedByWatermark"] for operators in batches),
-    }

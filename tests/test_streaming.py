@@ -41,14 +41,17 @@ def scored(spark, folder, out, checkpoint):
         .option("maxFilesPerTrigger", 1)
         .parquet(folder)
     )
-    updates = stream.score_sessions_stream(events, TABLE, TIMEOUT_MS)
-    query = stream.write_session_updates(updates, out, checkpoint, available_now=True)
+    query = stream.score_sessions_stream(events, TABLE, out, checkpoint, TIMEOUT_MS, available_now=True)
     query.awaitTermination()
     return query
 
 
+def gauges(spark, out):
+    return stream.session_gauges(spark, out).first().asDict()
+
+
 def rows_of(spark, out, status):
-    found = spark.read.parquet(out).where(F.col("session_status") == status)
+    found = stream.stored_updates(spark, out).where(F.col("session_status") == status)
     return found.where(F.col("user_session") != SENTINEL).select(*COLUMNS)
 
 
@@ -78,12 +81,13 @@ def test_disorder_and_restart(spark, shuffled):
     folder, out, checkpoint = (fresh_path(spark, n) for n in ("in", "out", "checkpoint"))
     for rows in shuffled[:3]:
         add_file(spark, folder, rows)
-    query = scored(spark, folder, out, checkpoint)
-    assert stream.session_gauges(query)["active_sessions"] > 0
+    scored(spark, folder, out, checkpoint)
+    held = gauges(spark, out)
+    assert held["active_sessions"] > 0 and held["retained_events"] > 0 and held["late_events"] == 0
     for rows in shuffled[3:]:
         add_file(spark, folder, rows)
     end(spark, folder)
-    query = scored(spark, folder, out, checkpoint)
+    scored(spark, folder, out, checkpoint)
     everything = [row for rows in shuffled for row in rows]
     assert same(rows_of(spark, out, "active"), twin(spark, everything, lifecycle.running_session_score))
     assert same(rows_of(spark, out, "closed"), twin(spark, everything, lifecycle.batch_session_lifecycle))
@@ -106,12 +110,52 @@ def test_late_events_are_dropped_and_counted(spark):
     add_file(spark, folder, [("b", 50)])
     add_file(spark, folder, [("a", 20), ("a", 30), ("a", 31), ("b", 51)])
     end(spark, folder)
-    query = scored(spark, folder, out, checkpoint)
+    scored(spark, folder, out, checkpoint)
     kept = [("a", 23), ("a", 29), ("a", 32), ("b", 50), ("b", 51)]
     assert same(rows_of(spark, out, "active"), twin(spark, kept, lifecycle.running_session_score))
     late = rows_of(spark, out, "late").collect()
-    assert [(r["user_session"], r["event_count"]) for r in late] == [("a", 2)]
-    assert stream.session_gauges(query)["dropped_late_events"] == 1
+    assert [(r["user_session"], r["event_count"]) for r in late] == [("a", 3)]
+    assert gauges(spark, out)["late_events"] == 3
+
+
+def test_steps_of_any_size_and_repeats(spark, shuffled):
+    """The same updates however the events are cut into batches; a batch that comes again changes nothing."""
+    events = [row for rows in shuffled for row in rows]
+    schema = "user_session string, event_ms long"
+    frame = [(key, int(s * 1000)) for key, s in sorted(events, key=lambda e: e[1])]
+    results = []
+    for size in (7, 150, len(frame)):
+        out = fresh_path(spark, "steps")
+        parts = [frame[k : k + size] for k in range(0, len(frame), size)] if size > 7 else [frame[:7], frame[7:]]
+        for number, part in enumerate([*parts, [("z", 10**10)]]):
+            batch = spark.createDataFrame(part, schema)
+            stream.score_batch(batch, number, out, TABLE, TIMEOUT_MS)
+            if number == 1:
+                stream.score_batch(batch.limit(1), number, out, TABLE, TIMEOUT_MS)
+        results.append(stream.stored_updates(spark, out).where("user_session <> 'z'"))
+        assert gauges(spark, out) == {"active_sessions": 1, "retained_events": 1, "late_events": 0}
+    assert results[0].count() > len(frame)
+    assert same(results[0], results[1]) and same(results[0], results[2])
+
+
+def test_a_step_runs_without_python_and_shuffles_once(spark):
+    events = spark.range(10).selectExpr("cast(id as string) user_session", "id event_ms")
+    none = spark.createDataFrame([], stream.STATE_SCHEMA)
+    rows = stream.advance_sessions(events.where("event_ms > 0"), none, none, 0, 5, TABLE)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    assert plan.count("Exchange hashpartitioning(user_session") <= 2  # the second one counts late events
+
+
+def test_old_state_is_deleted(spark):
+    import os
+
+    out = fresh_path(spark, "versions")
+    for number in range(5):
+        batch = spark.createDataFrame([("a", number * 1000), ("b", number * 1000 + 1)], "user_session string, event_ms long")
+        stream.score_batch(batch, number, out, TABLE, TIMEOUT_MS)
+    left = {v: sorted(n for n in os.listdir(f"{out}/{v}") if n.startswith("kind=")) for v in os.listdir(out) if v.startswith("batch=")}
+    assert [v for v, kinds in sorted(left.items()) if "kind=waiting" in kinds] == [f"batch={n:012d}" for n in (3, 4)]
 
 
 def test_session_edges(spark):
