@@ -20,6 +20,7 @@ from clickloom.schema import CLEAN_SCHEMA, EVENT_COLUMNS, INTERVAL_STATISTICS, S
 from clickloom.session import fresh_path, materialize
 from clickloom.sources import files, sinks
 from clickloom.sources.fixtures import SENTINEL, clickstream, replay_pieces
+from clickloom.sources.upserts import compact_upserts
 from clickloom.streaming import routes
 from clickloom.streaming import sessions as session_stream
 
@@ -1174,7 +1175,7 @@ def dash_bot_rate_series(spark, sf_dir):
     ),
 )
 def dash_bot_rate_ma12(spark, sf_dir):
-    averaged = dashboards.bot_rate_moving_average(_series(spark, sf_dir))
+    averaged = dashboards.bot_rate_moving_average(_series(spark, sf_dir), minutes=60)
     return _rounded(_ntz(averaged, "time"), {"bot_rate_moving_avg": 9})
 
 
@@ -1380,6 +1381,20 @@ def bot_rate_stream(spark, sf_dir):
     return _rounded(rows, _METRIC_DIGITS)
 
 
+@query("upsert_bot_metrics", _scoring_sql(_METRICS_SQL, S.metrics(300_000)))
+def upsert_bot_metrics(spark, sf_dir):
+    """The metrics table by window, kept by a stream and compacted."""
+    updates = session_stream.read_session_updates(spark, _session_updates(spark, sf_dir))
+    metrics = session_stream.bot_rate_stream(updates, threshold=S.THRESHOLD)
+    target = fresh_path(spark, "metrics")
+    _finished(
+        session_stream.upsert_bot_metrics(metrics, target, fresh_path(spark, "checkpoint"), available_now=True)
+    )
+    compact_upserts(spark, target, session_stream.METRIC_KEYS)
+    rows = session_stream.read_bot_metrics(spark, target).drop("updated_at")
+    return _rounded(_ntz(rows, "window_start", "window_end"), _METRIC_DIGITS)
+
+
 @query(
     "upsert_session_scores",
     _scoring_sql(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.hashing import hash_bucket
+from clickloom.operators.dictionary import ordered_numbers, with_numbers, with_strings
 from clickloom.schema import (
     CATEGORY_COLUMNS,
     EVENT_COLUMNS,
@@ -80,9 +81,16 @@ def routing_label(event_type: Column) -> Column:
 
 
 def session_features(events: DataFrame) -> DataFrame:
-    """One row per session. Partial aggregates run before the only shuffle, so a session of
-    any size arrives as one row per task."""
+    """One row per session. Partial aggregates run before the only shuffle of events, so a session
+    of any size arrives as one row per task.
+
+    Brands and categories take part as order-preserving numbers: minima of fixed width stay in
+    hash aggregates, where minima of strings would have all events sorted.
+    """
     kind, time = F.col("event_type"), F.col("event_time")
+    strings = ["brand", "category_code"]
+    numbers = ordered_numbers(events, strings)
+    events = with_numbers(events, numbers, strings)
 
     def count_of(name: str) -> Column:
         return F.count_if(kind == name)
@@ -108,7 +116,7 @@ def session_features(events: DataFrame) -> DataFrame:
         return F.unix_timestamp(F.col(column).cast("timestamp"))
 
     start = F.col("session_start_time")
-    return sessions.select(
+    return with_strings(sessions, numbers, strings).select(
         "user_session",
         "user_id",
         "brand",

@@ -12,6 +12,7 @@ from clickloom.schema import SCORE_BUCKET_LABELS
 TOP_SESSIONS = 25
 MIN_SESSIONS = 100
 AVERAGED_BUCKETS = 12
+STRETCH = 4096  # buckets that one task lays out and averages
 
 
 def latest_bot_rate(metrics: DataFrame) -> DataFrame:
@@ -56,7 +57,10 @@ def bot_rate_series(
     floor = bounds.select(
         _bucket_start(F.col("low"), minutes).alias("low"), F.col("high")
     ).where(F.col("low").isNotNull())
-    spine = floor.select(F.explode(F.sequence("low", "high", step)).alias("time"))
+    stretch = F.expr(f"INTERVAL {minutes * STRETCH} MINUTES")  # a long range is laid out by many rows
+    starts = floor.select("high", F.explode(F.sequence("low", "high", stretch)).alias("from"))
+    upto = F.least("high", F.col("from") + F.expr(f"INTERVAL {minutes * (STRETCH - 1)} MINUTES"))
+    spine = starts.select(F.explode(F.sequence("from", upto, step)).alias("time"))
 
     shown = metrics.withColumn("window_end", F.col("window_end").cast("timestamp"))
     if start:
@@ -72,11 +76,20 @@ def bot_rate_series(
     return spine.join(counted, "time", "left").select("time", rate.alias("bot_rate"))
 
 
-def bot_rate_moving_average(series: DataFrame, buckets: int = AVERAGED_BUCKETS) -> DataFrame:
-    """Mean of up to the last ``buckets`` non-null rates. One row per bucket of the shown
-    range goes in, never one per event."""
-    recent = Window.orderBy("time").rowsBetween(-(buckets - 1), 0)
-    return series.select("time", F.avg("bot_rate").over(recent).alias("bot_rate_moving_avg"))
+def bot_rate_moving_average(series: DataFrame, buckets: int = AVERAGED_BUCKETS, minutes: int = 5) -> DataFrame:
+    """Mean of up to the last ``buckets`` non-null rates of an unbroken series.
+
+    The series is cut into stretches of time. Each also receives a halo, the last ``buckets`` - 1
+    rows of the stretch before it, so every window lies in one stretch.
+    """
+    position = F.floor(F.unix_seconds(F.col("time").cast("timestamp")) / (60 * minutes))
+    rows = series.select("time", "bot_rate", position.alias("_at"))
+    own = F.floor(F.col("_at") / STRETCH)
+    after = F.floor((F.col("_at") + (buckets - 1)) / STRETCH)
+    spread = rows.withColumn("_stretch", F.explode(F.sequence(own, after)))
+    recent = Window.partitionBy("_stretch").orderBy("_at").rowsBetween(-(buckets - 1), 0)
+    averaged = spread.withColumn("bot_rate_moving_avg", F.avg("bot_rate").over(recent))
+    return averaged.where(F.col("_stretch") == own).select("time", "bot_rate_moving_avg")
 
 
 def top_sessions(scores: DataFrame, rows: int = TOP_SESSIONS) -> DataFrame:

@@ -12,6 +12,7 @@ from clickloom.operators.quality import expect_artifacts
 from clickloom.operators.sessions import feature_frame, union_all_counts
 from clickloom.schema import INTERVAL_STATISTICS
 from clickloom.sources.files import folder_bytes, read_events_csv
+from clickloom.sources.upserts import latest_by_key
 
 ROW_GROUP_ROWS = 100_000
 TARGET_FILE_BYTES = 256 * 1024 * 1024
@@ -91,45 +92,6 @@ def register_views(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     return union_all_counts({name: spark.table(name) for name in paths}, "view_name")
 
 
-def latest_by_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
-    """The row with the highest order columns for each key."""
-    rest = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order_cols)).alias("_row"))
-    return newest.select(*keys, "_row.*").select(*df.columns)
-
-
-def upsert_sink(
-    batch: DataFrame, batch_id: int, target: str, keys: Sequence[str], order_cols: Sequence[str]
-) -> None:
-    """Record a batch of upserts.
-
-    Each batch becomes its own folder of newest rows per key, replaced as a whole if the batch
-    is retried. Nothing already stored is read or rewritten; :func:`read_upserts` picks the
-    winner.
-    """
-    newest = latest_by_key(batch, keys, order_cols)
-    newest.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-
-
-def read_upserts(
-    spark: SparkSession, target: str, keys: Sequence[str], order_cols: Sequence[str] = ()
-) -> DataFrame:
-    """Current rows: for every key the highest order columns, then the newest batch."""
-    history = spark.read.option("basePath", target).parquet(target)
-    return latest_by_key(history, keys, [*order_cols, "batch_id"]).drop("batch_id")
-
-
-def compact_upserts(
-    spark: SparkSession, target: str, compacted: str, keys: Sequence[str], order_cols: Sequence[str] = ()
-) -> DataFrame:
-    """Fold all batches so far into a new table that later batches can be added to."""
-    history = spark.read.option("basePath", target).parquet(target)
-    last = history.agg(F.max("batch_id").alias("b")).first()["b"]
-    current = read_upserts(spark, target, keys, order_cols)
-    current.write.mode("overwrite").parquet(f"{compacted}/batch_id={last}")
-    return read_upserts(spark, compacted, keys, order_cols)
-
-
 def merge_into_table(batch: DataFrame, table: str, keys: Sequence[str], order_cols: Sequence[str]) -> None:
     """Upsert into a table whose format supports MERGE."""
     match = " AND ".join(f"t.{key} = s.{key}" for key in keys)

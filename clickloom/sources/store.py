@@ -27,6 +27,42 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def move_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file unless the target exists; whether it was renamed."""
+    place, system = _open(spark, source)
+    goal = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if system.exists(goal):
+        return False
+    try:
+        options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+        none = spark._sc._gateway.new_array(options, 1)
+        none[0] = options.NONE  # fails if the target exists
+        spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()).rename(
+            system.makeQualified(place), system.makeQualified(goal), none
+        )
+    except Exception as error:  # the gateway wraps every Java exception in one class
+        if system.exists(goal):
+            return False
+        raise OSError(f"cannot move {source} to {target}") from error
+    return True
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    place, system = _open(spark, path)
+    out = system.create(place, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    place, system = _open(spark, path)
+    stream = system.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def mark(spark: SparkSession, path: str) -> None:
     """Create an empty file."""
     place, system = _open(spark, path)

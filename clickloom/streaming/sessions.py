@@ -34,8 +34,8 @@ from clickloom.schema import (
     SESSION_TIMEOUT_MS,
     SESSION_UPDATE_SCHEMA,
 )
-from clickloom.sources.sinks import read_upserts, upsert_sink
 from clickloom.sources.store import mark, move, names_in, remove
+from clickloom.sources.upserts import read_upserts, upsert_sink
 from clickloom.streaming.routes import triggered
 
 KEY = "user_session"
@@ -298,3 +298,22 @@ def upsert_session_scores(
 
 def read_session_scores(spark, target: str) -> DataFrame:
     return read_upserts(spark, target, SCORE_KEYS, SCORE_ORDER)
+
+
+METRIC_KEYS = ["window_start", "window_end"]
+
+
+def upsert_bot_metrics(
+    metrics: DataFrame, target: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Keep the metrics table, one current row per window, read by read_bot_metrics."""
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        upsert_sink(batch.withColumn("updated_at", F.current_timestamp()), batch_id, target, METRIC_KEYS, [])
+
+    writer = metrics.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    return triggered(writer, available_now).start()
+
+
+def read_bot_metrics(spark: SparkSession, target: str) -> DataFrame:
+    return read_upserts(spark, target, METRIC_KEYS)

@@ -186,6 +186,23 @@ def test_rate_series_gaps_and_small_buckets(spark):
     assert averages == pytest.approx([0.0, 0.125, 0.25 / 3, 0.125, 0.05])
 
 
+@pytest.mark.parametrize("stretch", [3, 7, 4096])
+def test_moving_average_across_stretches(spark, monkeypatch, stretch):
+    """A halo wider than a stretch included; the spine is laid out in stretches too."""
+    monkeypatch.setattr(dashboards, "STRETCH", stretch)
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(minutes=5 * k), 200, k * 7 % 200) for k in range(0, 60, 2)]
+    metrics = spark.createDataFrame(rows, "window_end timestamp, active_sessions bigint, bot_sessions bigint")
+    series = dashboards.bot_rate_series(metrics)
+    rates = [r["bot_rate"] for r in series.orderBy("time").collect()]
+    assert rates == [k * 7 % 200 / 200 if k % 2 == 0 else 0.0 for k in range(59)]
+    averaged = dashboards.bot_rate_moving_average(series).orderBy("time")
+    got = [r[1] for r in averaged.collect()]
+    assert got == pytest.approx([sum(rates[max(0, k - 11) : k + 1]) / min(k + 1, 12) for k in range(59)])
+    plan = averaged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") == 1  # the bounds of the range
+
+
 def test_histogram_with_missing_parts(spark):
     rows = [(1, "0.0-0.2=1"), (2, "0.0-0.2=7,0.2-0.4=,0.4-0.6=x,0.8-1.0=3")]
     metrics = spark.createDataFrame(rows, "window_end int, score_histogram string")

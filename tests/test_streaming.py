@@ -11,7 +11,8 @@ from clickloom.operators import botrate, lifecycle, quality, validate
 from clickloom.schema import EVENT_COLUMNS, INTERVAL_STATISTICS
 from clickloom.session import fresh_path
 from clickloom.sources.fixtures import SENTINEL, clickstream
-from clickloom.sources.sinks import compact_upserts, read_upserts, upsert_sink
+from clickloom.sources import store, upserts
+from clickloom.sources.upserts import compact_upserts, read_upserts, upsert_sink
 from clickloom.streaming import routes
 from clickloom.streaming import sessions as stream
 
@@ -191,10 +192,46 @@ def test_upserts_survive_retries_and_compaction(spark):
 
     expected = [("a", 2, "y"), ("b", 5, "kept"), ("c", 1, "n")]
     assert current(read_upserts(spark, target, ["k"])) == expected
-    folded = fresh_path(spark, "folded")
-    assert current(compact_upserts(spark, target, folded, ["k"])) == expected
-    upsert_sink(batch([("a", 0, "newest")]), 2, folded, ["k"], ["v"])
-    assert current(read_upserts(spark, folded, ["k"])) == [("a", 0, "newest"), *expected[1:]]
+    assert current(compact_upserts(spark, target, ["k"])) == expected
+    upsert_sink(batch([("b", 7, "again")]), 1, target, ["k"], ["v"])  # merged already, so it counts as done
+    upsert_sink(batch([("a", 0, "newest")]), 2, target, ["k"], ["v"])
+    assert current(read_upserts(spark, target, ["k"])) == [("a", 0, "newest"), *expected[1:]]
+
+
+def test_readers_keep_their_generation_while_runs_merge(spark):
+    target = fresh_path(spark, "runs")
+    for n in range(9):
+        rows = [(f"k{n % 4}", n), ("same", n)]
+        upsert_sink(spark.createDataFrame(rows, "k string, v int"), n, target, ["k"], ["v"])
+        if n == 6:
+            pinned = upserts.current_generation(spark, target)
+            opened = read_upserts(spark, target, ["k"], ["v"], at=pinned)
+            before = sorted(map(tuple, opened.collect()))
+    assert sorted(map(tuple, read_upserts(spark, target, ["k"], ["v"]).collect())) == [
+        ("k0", 8), ("k1", 5), ("k2", 6), ("k3", 7), ("same", 8)
+    ]
+    now = upserts.current_generation(spark, target)
+    assert sorted(run.level for run in now.runs) == [0, 1, 1] and now.last_batch == 8
+    assert before == [("k0", 4), ("k1", 5), ("k2", 6), ("k3", 3), ("same", 6)]
+    upserts.reclaim(spark, target, kept=1)
+    assert set(store.names_in(spark, f"{target}/_runs")) == {run.name for run in now.runs}
+
+
+def test_writers_that_meet_both_win(spark):
+    """A commit between reading and writing a manifest makes the later one start again."""
+    target = fresh_path(spark, "meet")
+    upsert_sink(spark.createDataFrame([("a", 1)], "k string, v int"), 0, target, ["k"], ["v"])
+    tries = []
+
+    def change(now):
+        tries.append(now.generation)
+        if len(tries) == 1:
+            upsert_sink(spark.createDataFrame([("b", 2)], "k string, v int"), 1, target, ["k"], ["v"])
+        return upserts.Manifest(0, now.last_batch, now.runs)
+
+    done = upserts._commit(spark, target, change)
+    assert len(tries) == 2 and done.generation == tries[1] + 1
+    assert sorted(map(tuple, read_upserts(spark, target, ["k"], ["v"]).collect())) == [("a", 1), ("b", 2)]
 
 
 def test_validation_routes_each_record_once_across_restarts(spark, sf_dir):
