@@ -1469,7 +1469,24 @@ def archive_stream(spark, sf_dir):
     path = fresh_path(spark, "archive")
     stream = _clean_stream(spark, sf_dir)
     _finished(routes.archive_stream(stream, path, fresh_path(spark, "checkpoint"), available_now=True))
-    return spark.read.parquet(path).withColumn("event_date", F.col("event_date").cast("string"))
+    return routes.read_archive(spark, path)
+
+
+@query(
+    "archive_closed_dates",
+    S.with_clicks(
+        "SELECT DISTINCT strftime(event_timestamp, '%Y-%m-%d') AS event_date FROM checked WHERE failure_reason IS NULL "
+        "AND CAST(event_timestamp AS DATE) + 1 < (SELECT max(CAST(event_timestamp AS DATE)) FROM checked "
+        "WHERE failure_reason IS NULL)",
+        S.TEXTS, S.CORRUPTED, S.CHECKED,
+    ),
+)
+def archive_closed_dates(spark, sf_dir):
+    """The dates that the archive marks as closed."""
+    path = fresh_path(spark, "archive")
+    stream = _clean_stream(spark, sf_dir)
+    _finished(routes.archive_stream(stream, path, fresh_path(spark, "checkpoint"), available_now=True))
+    return routes.closed_dates(spark, path).select("event_date")
 
 
 @query(

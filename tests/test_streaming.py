@@ -253,18 +253,38 @@ def test_validation_routes_each_record_once_across_restarts(spark, sf_dir):
 
 
 def test_archive_layout(spark, sf_dir):
-    import os
-
     folder, path = fresh_path(spark, "clean"), fresh_path(spark, "archive")
     clean = validate.route(validate.as_payload(clickstream(spark, sf_dir)))[0]
     clean.write.parquet(folder)
     source = spark.readStream.schema(clean.schema).parquet(folder)
     routes.archive_stream(source, path, fresh_path(spark, "c"), available_now=True).awaitTermination()
-    dates = sorted(name for name in os.listdir(path) if name.startswith("event_date="))
+    (batch,) = [name for name in store.names_in(spark, path) if name.startswith("batch=")]
+    dates = [name for name in store.names_in(spark, f"{path}/{batch}") if name.startswith("event_date=")]
     assert dates[0] == "event_date=2024-01-01" and len(dates) == 30
-    day = spark.read.parquet(path).where("event_date = '2024-01-03'")
-    assert "PartitionFilters: [isnotnull(event_date" in day._jdf.queryExecution().executedPlan().toString()
-    assert spark.read.parquet(path).count() == clean.count()
+    whole = routes.read_archive(spark, path)
+    day = whole.where("event_date = '2024-01-03'")
+    assert "PartitionFilters: [" in day._jdf.queryExecution().executedPlan().toString()
+    assert whole.count() == clean.count()
+    marks = {r["event_date"]: r["closed_by"] for r in routes.closed_dates(spark, path).collect()}
+    assert len(marks) == 28 and set(marks.values()) == {0}
+
+
+def test_archive_packs_by_bytes_and_once(spark):
+    """One file for a small date, several for a large one; a repeated batch adds nothing."""
+    path = fresh_path(spark, "archive")
+
+    def rows(day, n):
+        return [(f"2024-01-{day:02} 00:00:00 UTC", "view", str(k), "1", None, None, "1.0", "2", "s") for k in range(n)]
+
+    batch = spark.createDataFrame(rows(1, 2000) + rows(5, 3), ", ".join(f"{c} string" for c in EVENT_COLUMNS)).repartition(8)
+    for _ in range(2):
+        routes.archive_batch(batch, 0, path, 20_000, 1)
+    files = {day: len([f for f in store.names_in(spark, f"{path}/batch={0:012d}/event_date=2024-01-{day}") if f.endswith(".parquet")])
+             for day in ("01", "05")}
+    assert 2 <= files["01"] <= 5 and files["05"] == 1 and routes.read_archive(spark, path).count() == 2003
+    assert [r["event_date"] for r in routes.closed_dates(spark, path).collect()] == ["2024-01-01"]
+    routes.archive_batch(spark.createDataFrame(rows(1, 1), batch.schema), 1, path, 20_000, 1)
+    assert routes.read_archive(spark, path).count() == 2004 and routes.closed_dates(spark, path).count() == 1
 
 
 def test_failing_stream_restarts_from_its_checkpoint(spark):
