@@ -21,15 +21,12 @@ lines AS (
 worded AS (SELECT *, left(md5(array_to_string(lw, ' ')), 16) AS h FROM lines WHERE len(lw) > 0),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id),
 own AS (SELECT doc_id, host, h, sum(len(lw)) AS words FROM worded GROUP BY ALL),
-other AS (
-  SELECT *, min(h) OVER p AS m1, nth_value(h, 2) OVER (PARTITION BY doc_id ORDER BY h
-    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS m2
-  FROM own WINDOW p AS (PARTITION BY doc_id)),
+sets AS (SELECT doc_id, md5(string_agg(h, ',' ORDER BY h)) AS kind FROM own GROUP BY doc_id),
+kinds AS (SELECT doc_id, host, coalesce(kind, '') AS kind FROM docs LEFT JOIN sets USING (doc_id)),
+hosts AS (SELECT host, count(DISTINCT kind) AS docs FROM kinds GROUP BY host),
 common AS (
-  SELECT host, h FROM other JOIN (SELECT host, count(*) AS docs FROM docs GROUP BY host) USING (host)
-  GROUP BY host, h, docs
-  HAVING count(DISTINCT CASE WHEN h = m1 THEN coalesce(m2, '8000000000000000') ELSE m1 END) > 10
-    AND count(DISTINCT CASE WHEN h = m1 THEN coalesce(m2, '8000000000000000') ELSE m1 END) > 0.03 * docs),
+  SELECT host, h FROM own JOIN kinds USING (doc_id, host) JOIN hosts USING (host)
+  GROUP BY host, h, docs HAVING count(DISTINCT kind) > 10 AND count(DISTINCT kind) > 0.03 * docs),
 lost AS (SELECT doc_id, sum(words) AS n FROM own JOIN common USING (host, h) GROUP BY doc_id),
 facts AS (
   SELECT doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS chars, n_symbols,

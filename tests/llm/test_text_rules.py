@@ -7,12 +7,13 @@ from collections import Counter, defaultdict
 import brute
 import corpus_pipeline
 import numpy as np
+import oracle
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontam, linefreq, mixing, shards
+from clickloom.llm import catalog, decontam, linefreq, mixing, shards
 from clickloom.llm.words import hashed_words
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -287,3 +288,10 @@ def test_pipeline_stages(spark):
 def test_hashes_tell_windows_apart():
     a, b = (next(hashed_words([t])) for t in ("x y", "y x"))
     assert list(a) == list(b[::-1])
+
+
+def test_line_rules_match_sql_on_more_documents(spark):
+    """Many lines are common here, so both sides must count documents alike."""
+    folder = "/root/testdata/sf0.1"
+    columns, rows = oracle.actual(catalog.QUERIES["op6_line_frequency_rules"](spark, folder))
+    assert (columns, rows) == oracle.expected(oracle.connect(folder), catalog.ORACLE["op6_line_frequency_rules"])
