@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from clickloom.operators.quality import expect_artifacts
 from clickloom.operators.sessions import feature_frame, union_all_counts
 from clickloom.schema import INTERVAL_STATISTICS
 from clickloom.sources.files import folder_bytes, read_events_csv
+from clickloom.sources.store import names_in, remove
 from clickloom.sources.upserts import latest_by_key
 
 ROW_GROUP_ROWS = 100_000
@@ -31,21 +33,29 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, rows_per_group
 def create_or_replace_table(df: DataFrame, table: str, path: str | None = None) -> DataFrame:
     """Replace a table's content and schema; its namespace is created when missing.
 
-    Catalogs beyond the session's own get an atomic replace. The session catalog drops the
-    old entry first; ``path`` then says where its files go.
+    Catalogs beyond the session's own get an atomic replace. In the session catalog the new content
+    is written aside first and the name then points to it: a write that fails leaves the old table
+    as it was. ``path`` says where files go, a folder per version; older versions are deleted after
+    the switch.
     """
     spark = df.sparkSession
-    *namespace, _ = table.split(".")
+    *namespace, name = table.split(".")
     if namespace:
         spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {'.'.join(namespace)}")
     if len(namespace) > 1 and namespace[0] != SESSION_CATALOG:
         df.writeTo(table).createOrReplace()
-    else:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-        writer = df.write.mode("overwrite").format("parquet")
-        if path:
-            writer = writer.option("path", path)
-        writer.saveAsTable(table)
+        return spark.table(table)
+    staged = ".".join([*namespace, f"{name}__{uuid.uuid4().hex}"])
+    writer = df.write.format("parquet")
+    version = f"version-{uuid.uuid4().hex}"
+    if path:
+        writer = writer.option("path", f"{path}/{version}")
+    writer.saveAsTable(staged)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+    for old in names_in(spark, path) if path else []:
+        if old.startswith("version-") and old != version:
+            remove(spark, f"{path}/{old}")
     return spark.table(table)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clickloom.operators import evaluate, model, quality, sessions
 from clickloom.plans.conversion import build_features, train_and_evaluate
 from clickloom.plans.reference_tables import build_reference, load_reference
-from clickloom.schema import EVENT_COLUMNS, FEATURE_COLUMNS
+from clickloom.schema import EVENT_COLUMNS, EVENT_SCHEMA, FEATURE_COLUMNS
 from clickloom.session import fresh_path, work_dir
 from clickloom.sources import files, sinks
 from clickloom.sources.fixtures import clickstream
@@ -139,3 +139,31 @@ def test_comparison_rows(spark):
     rows = {r["model"]: r for r in evaluate.model_comparison(df).collect()}
     assert rows["Always predict False"]["balanced_accuracy"] == 0.5
     assert rows["Boosted trees"]["roc_auc"] == 1.0
+
+
+def test_bad_csv_rows_cost_one_row_each(spark, tmp_path):
+    header = ",".join(EVENT_SCHEMA.fieldNames())
+    good = "2024-01-01 00:00:0{} UTC,view,1,2,a,b,1.50,7,s"
+    bad = ["2024-01-01 00:00:09 UTC,view,x,2,a,b,1.50,7,s", "yesterday,view,1,2,a,b,1.50,7,s", "2024-01-01 00:00:08 UTC,view"]
+    lines = [header, good.format(1), *bad, good.format(2)]
+    (tmp_path / "in.csv").write_text("\n".join(lines))
+    events = files.read_events_csv(spark, str(tmp_path / "in.csv"))
+    assert events.count() == 2 and events.select("user_session").count() == 2
+    stored, dead = files.load_events_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"))
+    assert stored.count() == 2 and stored.columns == EVENT_SCHEMA.fieldNames()
+    assert sorted(r[0] for r in dead.collect()) == sorted(bad)
+
+
+def test_failed_replacement_leaves_the_old_table(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    for path in (None, str(tmp_path / "table")):
+        sinks.create_or_replace_table(spark.range(3), "kept_table", path)
+        broken = spark.range(2).select(F.raise_error(F.lit("no")).alias("id"))
+        with pytest.raises(PySparkException):
+            sinks.create_or_replace_table(broken, "kept_table", path)
+        assert spark.table("kept_table").count() == 3
+        assert sinks.create_or_replace_table(spark.range(4), "kept_table", path).count() == 4
+    assert len([p for p in (tmp_path / "table").iterdir() if p.name.startswith("version-")]) == 1
+    spark.sql("DROP TABLE kept_table")
+
