@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from clickloom.session import materialize
 
 CHUNK = "_chunk"
+CELL_BITS = 12  # a pass over a range counts rows in so many cells, as a power of two
 
 
 def default_chunks(df: DataFrame) -> int:
@@ -92,37 +93,66 @@ def running_in_order(
     return joined.withColumns(merged).drop(*carried)
 
 
-def row_slice(df: DataFrame, order: Sequence[str], start: int = 0, rows: int | None = None,
-              chunks: int | None = None) -> DataFrame:
+def value_at_rank(df: DataFrame, column: str, rank: int) -> tuple[int, int]:
+    """The value of a whole-number column at a zero-based rank, and how many values are smaller.
+
+    Bisection by many parts: each pass counts the rows of the range that is left in some thousand
+    cells and goes on with the cell that holds the rank. Ranges are pushed into the scan, where
+    file statistics skip what lies outside.
+    """
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    before = 0
+    while low < high:
+        shift = max(0, (high - low).bit_length() - CELL_BITS)
+        inside = df.where(F.col(column).between(low, high))
+        cells = inside.groupBy(F.shiftright(F.col(column).cast("long"), shift).alias("cell")).count().collect()
+        for cell, n in sorted((row[0], row[1]) for row in cells):
+            if before + n > rank:
+                break
+            before += n
+        low, high = max(low, cell << shift), min(high, (cell + 1 << shift) - 1)
+    return low, before
+
+
+def _row_at(df: DataFrame, order: Sequence[str], rank: int) -> list[int]:
+    """The order columns of the row at a rank."""
+    values = []
+    for column in order:
+        value, before = value_at_rank(df, column, rank)
+        values.append(value)
+        rank -= before
+        df = df.where(F.col(column) == value)
+    return values
+
+
+def _beside(order: Sequence[str], values: Sequence[int], after: bool) -> Column:
+    """Rows at or after (or at or before) a row in sort order; the first column's bound can be pushed down."""
+    def at_least(column: str, value: int) -> Column:
+        return F.col(column) >= value if after else F.col(column) <= value
+
+    test = at_least(order[-1], values[-1])
+    for column, value in zip(reversed(order[:-1]), reversed(values[:-1]), strict=True):
+        one = F.col(column)
+        test = at_least(column, value) & ((one != value) | test)
+    return test
+
+
+def row_slice(df: DataFrame, order: Sequence[str], start: int = 0, rows: int | None = None) -> DataFrame:
     """Rows ``start`` up to ``start + rows`` in sort order.
 
-    ``order`` must identify a row. Range sizes decide which ranges lie wholly inside the
-    slice; those pass through unsorted and only the one or two cut ranges are numbered. The
-    range numbers are pushed into the scan of the stored ranges.
+    ``order`` names whole-number columns without nulls that identify a row. The rows at both ends are found
+    by counting; what comes back is a plain range filter over ``df``, without sort or copy.
     """
-    stop = None if rows is None else start + rows
-    chunked = with_chunks(df, order, chunks)
-    sizes = {r[CHUNK]: r["n"] for r in chunked.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("n")).collect()}
-    whole, cut, offset = [], [], 0
-    for chunk in sorted(sizes):
-        first, last = offset, offset + sizes[chunk]
-        offset = last
-        if last <= start or (stop is not None and first >= stop):
-            continue
-        if first >= start and (stop is None or last <= stop):
-            whole.append(chunk)
-        else:
-            cut.append((chunk, first))
-    inside = F.col(CHUNK).between(whole[0], whole[-1]) if whole else F.lit(False)
-    result = chunked.where(inside).drop(CHUNK)
-    for chunk, first in cut:
-        position = F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order)) - 1 + F.lit(first)
-        numbered = chunked.where(F.col(CHUNK) == chunk).withColumn("_position", position)
-        keep = F.col("_position") >= start
-        if stop is not None:
-            keep = keep & (F.col("_position") < stop)
-        result = result.unionByName(numbered.where(keep).drop(CHUNK, "_position"))
-    return result
+    n = df.count()
+    stop = n if rows is None else min(n, start + rows)
+    if start >= stop:
+        return df.where(F.lit(False))
+    inside = df
+    if start > 0:
+        inside = inside.where(_beside(order, _row_at(df, order, start), after=True))
+    if stop < n:
+        inside = inside.where(_beside(order, _row_at(df, order, stop - 1), after=False))
+    return inside
 
 
 def row_positions(df: DataFrame, order: Sequence[str], out: str, chunks: int | None = None) -> DataFrame:

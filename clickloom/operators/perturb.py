@@ -98,8 +98,8 @@ def out_of_order_flag(
     return highest.withColumn("out_of_order", flag).drop(CHUNK, "_send_us", "_time_us", "_highest")
 
 
-def bounded_sample(df: DataFrame, rows: int, row_id: str = "event_id", chunks: int | None = None) -> DataFrame:
+def bounded_sample(df: DataFrame, rows: int, row_id: str = "event_id") -> DataFrame:
     """The first ``rows`` rows in file order; raises when there are fewer."""
     if df.select(row_id).count() < rows:
         raise ValueError(f"the source holds fewer than {rows} rows")
-    return row_slice(df, [row_id], 0, rows, chunks)
+    return row_slice(df, [row_id], 0, rows)

@@ -49,11 +49,22 @@ def test_positions_and_slices(spark, skewed):
     order = frame.sort_values(["ms", "id"]).reset_index(drop=True)
     assert dict(map(tuple, placed.collect())) == {row.id: i for i, row in order.iterrows()}
     for start, rows in [(0, 10), (1_234, 2_000), (5_990, 100), (0, None)]:
-        part = ordering.row_slice(df, ["ms", "id"], start, rows, chunks=7)
+        part = ordering.row_slice(df, ["ms", "id"], start, rows)
         stop = None if rows is None else start + rows
         assert sorted(r.id for r in part.collect()) == sorted(order["id"][start:stop])
 
 
+def test_slices_are_pushed_down(spark, tmp_path):
+    values = [-(2**62), -5, -4, 0, 7, 2**40, 2**62, *range(100, 5000, 3)]
+    spark.createDataFrame([(v,) for v in values], "id long").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for start, rows in [(0, 3), (2, 4), (len(values) - 2, 9), (50, 1000), (9999, 5)]:
+        part = ordering.row_slice(df, ["id"], start, rows)
+        assert sorted(r.id for r in part.collect()) == sorted(values)[start : start + rows]
+    plan = ordering.row_slice(df, ["id"], 50, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id" in plan and "LessThanOrEqual(id" in plan and "Exchange" not in plan
+
+
 def test_running_operations(spark, skewed):
     frame, df = skewed
     chunked = ordering.with_chunks(df, ["user_session", "ms", "id"], chunks=9)

@@ -120,7 +120,7 @@ def test_no_delay_without_probability(spark, sf_dir):
 
 def test_bounded_sample_needs_enough_rows(spark):
     df = spark.range(10).withColumnRenamed("id", "event_id")
-    assert perturb.bounded_sample(df, 10, chunks=3).count() == 10
+    assert perturb.bounded_sample(df, 10).count() == 10
     with pytest.raises(ValueError):
         perturb.bounded_sample(df, 11)
 
