@@ -28,6 +28,7 @@ _KINDS = {
 }
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _NOTES = frozenset(
     "title description default examples format deprecated readOnly writeOnly $schema $id $comment $defs definitions".split()
 )
@@ -149,9 +150,43 @@ def violation(value, schema, at: str = "$", refs=frozenset(), root=None) -> str
     return None
 
 
+def _no_number(text: str):
+    raise ValueError(f"{text} is not JSON")
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    return value if abs(value) != float("inf") else _no_number(text)
+
+
+def _object(pairs: list[tuple]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a key comes twice")
+    return found
+
+
+def parsed(text: str):
+    """The value of a JSON text. NaN and infinities, numbers beyond a double, repeated keys and
+    nesting too deep to follow raise ValueError, as does any other text."""
+    try:
+        return json.loads(text, parse_constant=_no_number, parse_float=_finite, object_pairs_hook=_object)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+
+
+def _storable(text: str) -> str:
+    """Lone surrogates, which UTF-8 cannot hold, as JSON escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no blanks, and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no blanks, and characters as they are (lone surrogates escaped)."""
+    try:
+        text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    return _storable(text)
 
 
 UNCHECKED = "unchecked: "
@@ -161,13 +196,13 @@ UNCHECKED = "unchecked: "
 def _checked(arguments: pd.Series, schema: pd.Series, refs: pd.Series) -> pd.Series:
     def check(raw, rule, known):
         try:
-            value = json.loads(raw) if raw is not None else {}
+            value = parsed(raw) if raw is not None else {}
         except ValueError:
             return "$: not JSON"
         if rule is None:
             return "no schema"
         try:
-            rule = json.loads(rule)
+            rule = parsed(rule)
         except ValueError:
             return "schema is not JSON"
         try:
@@ -177,7 +212,8 @@ def _checked(arguments: pd.Series, schema: pd.Series, refs: pd.Series) -> pd.Ser
         except (ArithmeticError, AttributeError, LookupError, RecursionError, TypeError, ValueError, re.error):
             return UNCHECKED + "not a schema"
 
-    return pd.Series([check(*row) for row in zip(arguments, schema, refs, strict=True)], dtype=object)
+    found = [check(*row) for row in zip(arguments, schema, refs, strict=True)]
+    return pd.Series([None if text is None else _storable(text) for text in found], dtype=object)
 
 
 @F.pandas_udf(StringType())
@@ -185,7 +221,7 @@ def _message(role: pd.Series, text: pd.Series, formed: pd.Series) -> pd.Series:
     def shape(own, raw, json_like):
         if json_like:
             try:
-                value = json.loads(raw)
+                value = parsed(raw)
                 return canonical({"role": own, **{k: v for k, v in value.items() if k != "role"}})
             except ValueError:
                 pass

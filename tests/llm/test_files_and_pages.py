@@ -252,3 +252,30 @@ def test_archives(spark):
     assert warc.url_key("HTTP://www.A.Example:8080/P?q=R#f") == "example,a:8080)/p?q=R"
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archived_pages(empty).collect() == []
+
+
+def test_hostile_json_stays_plain_or_escaped(spark):
+    """Lone surrogates, endless nesting, values that are no JSON, and repeated keys: a row each, valid JSON."""
+    deep = "[" * 200_000
+    tools = json.dumps({"tools": [{"name": "f", "parameters": {"type": "object", "additionalProperties": False}}]})
+    texts = [
+        tools,
+        '{"content": "\\ud800 x", "tool_calls": []}',
+        '{"content": ' + deep,
+        '{"content": ' + "[" * 5000 + "]" * 5000 + "}",
+        '{"content": NaN}', '{"content": 1e400}', '{"content": 1, "content": 2}',
+        '{"tool_calls": [{"id": "a", "name": "f", "arguments": "{\\"\\\\ud800\\": 1}"}]}',
+        json.dumps({"tool_calls": [{"id": "b", "name": "f", "arguments": '{"k": ' + deep}]}),
+        '{"tool_calls": [{"id": "c", "name": "f", "arguments": "{\\"k\\": Infinity}"}]}',
+    ]
+    rows = [(1, k, "assistant", text) for k, text in enumerate(texts)]
+    found = toolcalls.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.turn: r for r in found.collect()}
+    assert len(got) == len(texts)
+    for k, row in got.items():
+        value = toolcalls.parsed(row.message)
+        assert value["role"] == "assistant"
+        if k in (2, 4, 5, 6):
+            assert value == {"content": texts[k], "role": "assistant"}
+    assert json.loads(got[1].message)["content"] == "\ud800 x"
+    assert [got[k].n_invalid for k in (7, 8, 9)] == [1, 1, 1]
