@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom import catalog_sql as S
-from clickloom.functions.hashing import hash_uniform
+from clickloom.functions.hashing import hash_bucket, hash_uniform
 from clickloom.functions.scoring import percentile_rank_lookup, sample_sd, score_bucket, square
 from clickloom.functions.times import epoch_millis, event_date
 from clickloom.operators import botrate, evaluate, intervals, lifecycle, perturb, quality, sessions
@@ -16,7 +16,7 @@ from clickloom.operators import model as conversion_model
 from clickloom.operators import ordering, validate
 from clickloom.plans import dashboards
 from clickloom.plans.reference_tables import percentile_table, scoring_thresholds
-from clickloom.schema import CLEAN_SCHEMA, EVENT_COLUMNS, INTERVAL_STATISTICS, SCORED_STATISTICS
+from clickloom.schema import CLEAN_SCHEMA, EVENT_COLUMNS, FEATURE_COLUMNS, INTERVAL_STATISTICS, SCORED_STATISTICS
 from clickloom.session import fresh_path, materialize
 from clickloom.sources import files, sinks
 from clickloom.sources.fixtures import SENTINEL, clickstream, replay_pieces
@@ -624,8 +624,8 @@ def null_violations(spark, sf_dir):
     ),
 )
 def raw_equals_clean_plus_dlq(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
-    return quality.reconcile(raw, *validate.route(raw))
+    """Counts of the three stored tables after the validation stream."""
+    return quality.reconcile(*(spark.read.parquet(path) for path in _validated_folders(spark, sf_dir)))
 
 
 @query(
@@ -1089,6 +1089,28 @@ def predict_sessions_checked(spark, sf_dir):
     ).drop("score", "prediction")
 
 
+@query(
+    "planted_signal",
+    "SELECT 'view_count' AS top_feature, true AS auc_reaches_floor, true AS classes_lie_apart",
+)
+def planted_signal(spark, sf_dir):
+    """What the model learns when conversion follows the views, but for one session in twenty."""
+    flipped = hash_bucket(FEATURE_COLUMNS[::-1], 20) == 0
+    planted = ((F.col("view_count") >= 2) != flipped).cast("int")
+    features = materialize(_features(spark, sf_dir).withColumn("converted", planted), "planted")
+    train, test = sessions.train_test_split(features)
+    model = conversion_model.train_conversion_model(train, rounds=20)
+    scored = materialize(conversion_model.predict_sessions(model, test), "planted-scores")
+    ranked = conversion_model.feature_importance(model).limit(1).select(F.col("feature").alias("top_feature"))
+    area = evaluate.roc_auc(evaluate.score_steps(scored)).first()[0]
+    judged = scored.agg(
+        (F.lit(area) >= 0.85).alias("auc_reaches_floor"),
+        ((F.avg(F.when(F.col("converted") == 1, F.col("score"))) > 0.6)
+         & (F.avg(F.when(F.col("converted") == 0, F.col("score"))) < 0.4)).alias("classes_lie_apart"),
+    )
+    return ranked.join(F.broadcast(judged))  # one row each
+
+
 @query(
     "feature_importance_checked",
     S.with_clicks(
@@ -1425,6 +1447,20 @@ def _raw_folder(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+def _validated_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """Stored raw payloads and what the validation stream made of them: clean and dead letters."""
+    source = _raw_folder(spark, sf_dir)
+    raw = routes.stream_source_json(spark, "parquet", {"path": source})
+    clean, dlq = fresh_path(spark, "clean"), fresh_path(spark, "dlq")
+    _finished(
+        routes.validation_stream(
+            raw, routes.batch_folder_writer(clean), routes.batch_folder_writer(dlq),
+            fresh_path(spark, "checkpoint"), available_now=True,
+        )
+    )
+    return source, clean, dlq
+
+
 @query(
     "validation_stream",
     S.with_clicks(
@@ -1435,14 +1471,7 @@ def _raw_folder(spark: SparkSession, sf_dir: str) -> str:
 )
 def validation_stream(spark, sf_dir):
     """Records per route after streaming all raw payloads through validation."""
-    raw = routes.stream_source_json(spark, "parquet", {"path": _raw_folder(spark, sf_dir)})
-    clean, dlq = fresh_path(spark, "clean"), fresh_path(spark, "dlq")
-    _finished(
-        routes.validation_stream(
-            raw, routes.batch_folder_writer(clean), routes.batch_folder_writer(dlq),
-            fresh_path(spark, "checkpoint"), available_now=True,
-        )
-    )
+    _, clean, dlq = _validated_folders(spark, sf_dir)
     accepted = spark.read.parquet(clean).select(
         F.lit("clean").alias("route"), F.lit(None).cast("string").alias("failure_reason")
     )
