@@ -34,7 +34,7 @@ END_ID = 1
 CACHE_PIECES = 1 << 18
 
 PART = "file string, first_doc long, last_doc long, n_docs long, n_ids long"
-DOC = "file string, place long, doc_id long, n_tokens long, ids_crc32 long, before long"
+DOC = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def planes_of(ids: np.ndarray, unit: int, planes: int) -> list[bytes]:
@@ -249,17 +249,17 @@ def write_tokens(
 
 def _read(folder: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = store_of(folder)
+        store, folder_path = store_of(folder)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
-                with store.open_input_file(f"{base}/{name}") as file:
+            for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
+                with store.open_input_file(f"{folder_path}/{name}") as file:
                     reader = Reader(file)
                     rows = []
                     for k, doc in enumerate(reader.docs):
                         ids = reader.document(k)
-                        rows.append((name, k, doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), int(reader.starts[k])))
+                        rows.append((doc, base + int(reader.starts[k]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.string() if n == 0 else pa.int64()) for n, c in enumerate(zip(*rows, strict=True))],
+                    [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
                     names=[f.split()[0] for f in DOC.split(", ")],
                 )
 
@@ -267,15 +267,15 @@ def _read(folder: str) -> Callable:
 
 
 def read_digest(files: DataFrame, folder: str) -> DataFrame:
-    """From the files: doc_id, start (ids before the document), n_tokens, ids_crc32."""
+    """From the files: doc_id, start (ids before the document), n_tokens, ids_crc32.
+
+    A file's row brings the ids before the file along, so documents need no join.
+    """
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     bases = files.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
     bases = materialize(bases, "file-starts")
-    names = bases.select("file").repartition(files.sparkSession.sparkContext.defaultParallelism * 2, "file")
-    docs = names.mapInArrow(_read(folder), DOC)
-    return docs.join(bases, "file").select(
-        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    dealt = bases.repartition(files.sparkSession.sparkContext.defaultParallelism * 2, "file")
+    return dealt.mapInArrow(_read(folder), DOC)
 
 
 def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -279,3 +279,9 @@ def test_hostile_json_stays_plain_or_escaped(spark):
             assert value == {"content": texts[k], "role": "assistant"}
     assert json.loads(got[1].message)["content"] == "\ud800 x"
     assert [got[k].n_invalid for k in (7, 8, 9)] == [1, 1, 1]
+
+
+def test_token_digest_needs_no_join(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string")
+    plan = tokenfile.token_table(docs, VOCABULARY)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
