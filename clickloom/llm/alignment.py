@@ -4,17 +4,18 @@ A byte-level BPE file (A) and a sentencepiece model (B) cut the same text. Offse
 token end cut a text into groups; tokens of a group are linked. Links are counted by an inverted
 index:
 
-1. A task numbers its documents and holds, per id pair, a compressed bitmap of the documents that
-   link it (sorted 16-bit numbers, or bits once those are shorter). Pairs linked several times in a
-   document also have multiplicity planes: plane k marks the documents whose count less one has
-   bit k. Bitmaps leave the task whenever a bounded number of entries is held.
-2. Parts of one pair and container (65,536 document numbers) are merged by OR; the popcount is the
-   pair's document count there. Sums over containers give its count in the corpus.
+1. A task numbers its documents and holds, per id pair, which of them link it. When a bounded number
+   of entries is held or a container (65,536 document numbers) is full, the entries of all slices
+   are merged by OR into one compressed bitmap per pair (sorted 16-bit numbers, or bits once those are
+   shorter) and leave the task with their popcount. Pairs linked several times in a document also
+   have multiplicity planes: plane k marks the documents whose count less one has bit k.
+2. Popcounts add up over containers, folded before the shuffle, to a pair's document count. Bitmaps
+   of indexes that share containers are merged by OR first (``postings_of``).
 3. The postings carry the counts back: joined with their pair's count, they go to their container,
    where every document adds up what its pairs bring.
 
-No step gathers a pair or a document collection in one task: parts are dealt by pair and container,
-sums fold before they are shuffled, and a container is bounded.
+No step gathers a pair or a document collection in one task: sums fold before they are shuffled, an
+oversized pair is cut by the skewed join, and a container is bounded.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import bound_batches, materialize, split_join
+from clickloom.llm.common import bound_batches, materialize
 from clickloom.llm.streambpe import encoded_parts, vocabulary_of
 from clickloom.llm.words import SLICE_BYTES
 
@@ -44,10 +45,10 @@ DOCS = -1  # the plane that holds the documents themselves
 SCHEMA = pa.schema([
     ("container", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
     ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()),
-    ("a", pa.int32()), ("b", pa.int32()), ("plane", pa.int32()), ("bits", pa.binary()),
+    ("a", pa.int32()), ("b", pa.int32()), ("plane", pa.int32()), ("bits", pa.binary()), ("n", pa.int64()),
 ])
 DDL = ("container long, slot int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-       "a int, b int, plane int, bits binary")
+       "a int, b int, plane int, bits binary, n long")
 POSTING = "a int, b int, container long, plane int, n long, bits binary"
 SCORED = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
@@ -61,6 +62,14 @@ class Aligned(NamedTuple):
     texts: np.ndarray  # the entry's text, by its place in the list
 
 
+def _keeps_text(model) -> bool:
+    """Whether a sentencepiece model neither normalises text nor drops white space."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto()).normalizer_spec
+    return spec.name == "identity" and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces
+
+
 class Pair:
     """The two tokenizers and the bytes of their tokens."""
 
@@ -70,6 +79,7 @@ class Pair:
         self.a = vocabulary_of(a_path)
         self.a_bytes = [self.a.text.get(n, b"") for n in range(max(self.a.text) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.as_is = _keeps_text(self.b)
         self.b_bytes = [self._piece_bytes(n) for n in range(self.b.get_piece_size())]
         self.a_lengths = np.array([len(t) for t in self.a_bytes])
         self.b_lengths = np.array([len(t) for t in self.b_bytes])
@@ -81,6 +91,16 @@ class Pair:
         piece = self.b.id_to_piece(n)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(n) else piece.replace("▁", " ").encode()
 
+    def _gives_back(self, b: np.ndarray, raw: bytes) -> bool:
+        """Whether B's tokens are the bytes of the text.
+
+        A model that keeps texts as they are only ever turns U+2581 into a space, which shows in
+        the length, or a character into the unknown token.
+        """
+        if self.as_is:
+            return int(self.b_lengths[b].sum()) == len(raw) and not (b == self.b.unk_id()).any()
+        return b"".join(map(self.b_bytes.__getitem__, b.tolist())) == raw
+
     def aligned(self, texts: list[str | None]) -> Aligned:
         """Align some texts at once: their tokens lie one after another in flat arrays."""
         some = [k for k, t in enumerate(texts) if t]
@@ -89,11 +109,11 @@ class Pair:
         for k, b in zip(some, b_ids, strict=True):
             raw = (" " + texts[k]).encode()
             a = np.frombuffer(b"".join(encoded_parts(self.a, " " + texts[k], plain=True)), "<u4")
-            same = int(self.a_lengths[a].sum()) == len(raw)  # bytes of a text always are bytes of its A tokens
-            if same and b"".join(map(self.b_bytes.__getitem__, b)) == raw:
+            b = np.array(b, np.int64)
+            if int(self.a_lengths[a].sum()) == len(raw) and self._gives_back(b, raw):
                 whole.append(k)
                 a_parts.append(a)
-                b_parts.append(np.array(b, np.int64))
+                b_parts.append(b)
                 sizes.append(len(raw))
         rows = [(0, 0, 0, 0, "")] * len(texts)
         if not whole:
@@ -207,14 +227,16 @@ class _Held:
 
     def leave(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
+            self.container, self.slot = self.container + 1, 0
             return
         keys, extra = np.concatenate(self.keys), np.concatenate(self.extra)
-        self.keys, self.extra, self.n = [], [], 0
         order = np.argsort(keys)
         keys, extra = keys[order], extra[order]
         yield from self._plane(keys, DOCS)
         for k in range(int(extra.max()).bit_length()):
             yield from self._plane(keys[extra >> k & 1 == 1], k)
+        self.keys, self.extra, self.n = [], [], 0
+        self.container, self.slot = self.container + 1, 0
 
     def _plane(self, keys: np.ndarray, plane: int) -> Iterator[pa.RecordBatch]:
         if not len(keys):
@@ -222,13 +244,14 @@ class _Held:
         pairs = keys // CONTAINER
         ends = np.append(np.flatnonzero(np.diff(pairs)) + 1, len(pairs))
         own = pairs[ends - 1]
-        bits = compressed(keys % CONTAINER, ends)
+        bits, n_docs = compressed(keys % CONTAINER, ends), np.diff(ends, prepend=0)
         for k in range(0, len(own), OUT_ROWS):
             part = own[k : k + OUT_ROWS]
             n = len(part)
             yield _batch({
                 "container": np.full(n, self.container), "a": (part // self.b_size).astype(np.int32),
                 "b": (part % self.b_size).astype(np.int32), "plane": np.full(n, plane, np.int32), "bits": bits.slice(k, n),
+                "n": n_docs[k : k + n],
             }, n)
 
 
@@ -270,7 +293,6 @@ def index_documents(
             for first, last in _slices(texts):
                 if held.slot + last - first > CONTAINER:
                     yield from held.leave()
-                    held.container, held.slot = held.container + 1, 0
                 found = both.aligned(texts[first:last])
                 n = last - first
                 columns = dict(zip(SCHEMA.names[3:8], map(list, zip(*found.rows, strict=True)), strict=True))
@@ -399,8 +421,9 @@ def alignment_digest(
     very long text is worked on whole and alone. Other columns are not read.
     """
     index = index_documents(docs, a_path, b_path, id_col, text_col, held_entries)
-    postings = postings_of(index)
-    scored = split_join(postings.drop("n"), pair_counts(postings).drop("n_links"), ["a", "b"], "inner", "pair-counts")
+    postings = index.where(F.col("a").isNotNull()).select("a", "b", "container", "plane", "bits", "n")
+    counts = materialize(pair_counts(postings).drop("n_links"), "pair-counts")
+    scored = postings.drop("n").join(counts.hint("merge"), ["a", "b"])  # grows with the corpus: never broadcast
     nothing = F.lit(None)
     up = scored.select(
         "container", "plane", "bits", "n_docs", "is_best", nothing.cast("int").alias("slot"),
