@@ -10,7 +10,7 @@ from clickloom.operators import evaluate, model, quality, sessions
 from clickloom.plans.conversion import build_features, train_and_evaluate
 from clickloom.plans.reference_tables import build_reference, load_reference
 from clickloom.schema import EVENT_COLUMNS, EVENT_SCHEMA, FEATURE_COLUMNS
-from clickloom.session import fresh_path, work_dir
+from clickloom.session import fresh_path, materialize, work_dir
 from clickloom.sources import files, sinks
 from clickloom.sources.fixtures import clickstream
 
@@ -101,6 +101,32 @@ def test_conversion_job(spark, sf_dir):
         build_features(events, tables, expected_rows=1)
 
 
+def test_equal_rows_train_as_weighted_ones(spark, monkeypatch):
+    """Training rows grow with the combinations of features, not with the sessions; no row is lost."""
+    stored = {}
+
+    def keep(df, label):
+        stored[label] = materialize(df, label)
+        return stored[label]
+
+    monkeypatch.setattr(model, "materialize", keep)
+    kinds = spark.range(40).selectExpr(
+        "concat('b', id % 4) AS brand", "IF(id % 5 = 0, NULL, concat('c', id % 5)) AS category_code",
+        "CAST(id % 7 AS INT) AS day_of_week", "CAST(id % 24 AS INT) AS hour_of_day", "id AS view_count",
+        "id % 3 AS cart_add_count", "CAST(id % 4 = 1 AS INT) AS converted", "100 * (id % 10) + 50 AS copies",
+    )
+    train = kinds.selectExpr("* EXCEPT (copies)", "explode(sequence(1, copies)) AS copy").drop("copy")
+    fitted = model.train_conversion_model(train, rounds=2, units=100)
+    rows = stored["training-rows"]
+    assert 40 < rows.count() <= 40 + 100 and train.count() == 20_000
+    weights = rows.agg(F.sum("_weight"), F.sum(F.col("label") * F.col("_weight")), F.max("_weight")).first()
+    assert tuple(weights) == pytest.approx((20_000, train.agg(F.sum("converted")).first()[0], 190))
+    assert fitted.prior == train.agg(F.avg("converted")).first()[0]
+    plain = train.groupBy("brand").agg(((F.sum("converted") + 20 * fitted.prior) / (F.count("*") + 20)).alias("rate"))
+    learned = {r["brand"]: r["brand_code"] for r in fitted.rates["brand"].collect()}
+    assert learned == pytest.approx({r["brand"]: r["rate"] for r in plain.collect()})
+
+
 def test_unseen_categories_share_a_code(spark):
     known = spark.createDataFrame([("b", "x"), ("a", "y")], "brand string, category_code string")
     other = spark.createDataFrame([("a", "q"), ("z", None)], "brand string, category_code string")
