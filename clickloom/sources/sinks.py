@@ -70,10 +70,15 @@ def export_features(sessions: DataFrame, path: str, views_only: bool = True) ->
 def merge_parquet_files(
     spark: SparkSession, source: str, target: str, target_bytes: int = TARGET_FILE_BYTES
 ) -> DataFrame:
-    """Rewrite many part files as few zstd files; one file when the data fit its target size."""
+    """Rewrite many part files as few zstd files; one file when the data fit its target size.
+
+    A task writes a file and reads its share of the compressed parts, about the target size, without
+    a shuffle. Rows are only dealt out where the parts' splits are larger than a file.
+    """
     files = max(1, math.ceil(folder_bytes(spark, source) / target_bytes))
     rows = spark.read.parquet(source)
-    rows.repartition(files).write.mode("overwrite").option("compression", "zstd").parquet(target)
+    shared = rows.coalesce(files) if rows.rdd.getNumPartitions() >= files else rows.repartition(files)
+    shared.write.mode("overwrite").option("compression", "zstd").parquet(target)
     return spark.read.parquet(target)
 
 

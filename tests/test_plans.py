@@ -44,6 +44,22 @@ def test_merge_sizes(spark):
     assert len(part_files(large)) == 3
 
 
+def test_merge_without_a_shuffle(spark, monkeypatch):
+    """A task reads its share of the compressed parts, not of the rows laid out for a shuffle."""
+    source, target = (fresh_path(spark, n) for n in ("parts", "merged"))
+    spark.range(200_000).selectExpr("id", "id % 3 AS kind").repartition(24).write.parquet(source)
+    size = files.folder_bytes(spark, source)
+    monkeypatch.setattr(sinks, "folder_bytes", lambda *_: size)
+    spark.sparkContext.setJobGroup("merge", "merge")
+    merged = sinks.merge_parquet_files(spark, source, target, target_bytes=size // 4 + 1)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup("merge")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs and all(len(job.stageIds) == 1 for job in jobs)
+    assert len(part_files(target)) == 4 and merged.count() == 200_000 == merged.distinct().count()
+    assert max(os.path.getsize(f"{target}/{name}") for name in part_files(target)) < size / 2
+
+
 def test_row_groups(spark):
     import pyarrow.parquet as pq
 
