@@ -24,19 +24,16 @@ def sql_literal(value) -> str:
 def count_at_or_below(value: str, bounds: Sequence) -> Column:
     """How many of the sorted ``bounds`` are ``<= value``; 0 when ``value`` is null.
 
-    ``value`` is a column name or SQL expression. The lookup is a balanced tree of
-    comparisons, log2(len(bounds)) steps inside generated code, handed over as one text
-    because building it node by node costs seconds. A bound may be a tuple when ``value`` is
-    a struct.
+    ``value`` is a column name or SQL expression. The lookup is a binary search over a constant
+    array, log2(len(bounds)) steps. Its code stays small for any number of bounds: a tree of
+    comparisons grows beyond the size up to which the JVM compiles a method. A bound may be a
+    tuple when ``value`` is a struct.
     """
-
-    def subtree(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        middle = (low + high + 1) // 2
-        return (
-            f"CASE WHEN {value} >= {sql_literal(bounds[middle - 1])} "
-            f"THEN {subtree(middle, high)} ELSE {subtree(low, middle - 1)} END"
-        )
-
-    return F.expr(subtree(0, len(bounds)))
+    if not bounds:
+        return F.lit(0)
+    steps = ", ".join(str(1 << bit) for bit in reversed(range(len(bounds).bit_length())))
+    return F.expr(
+        f"aggregate(array({steps}), 0, (found, step) -> CASE WHEN found + step <= {len(bounds)} AND "
+        f"{value} >= array({', '.join(sql_literal(bound) for bound in bounds)})[found + step - 1] "
+        "THEN found + step ELSE found END)"
+    )

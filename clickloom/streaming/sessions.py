@@ -56,6 +56,7 @@ UPDATE_COLUMNS = SESSION_UPDATE_SCHEMA.fieldNames()
 NEVER = -(1 << 62)  # the watermark before the first event
 WATERMARK = "_watermark="
 STAGED = "_staged"
+COMPILED_BYTES = "8000"  # the JVM only interprets larger methods, as a whole step in one method would be
 
 
 def _version(batch_id: int) -> str:
@@ -106,22 +107,25 @@ def advance_sessions(
            F.lit(0).cast("decimal(38,0)").alias("squares"), F.lit(None).cast("long").alias("low")]
     plain = waiting.select(KEY, "event_ms").union(events.where(F.col("event_ms") > before_ms).select(KEY, "event_ms"))
     rows = state_rows(sessions, True).union(state_rows(plain.select(KEY, "event_ms", *one), False))
-    rows = rows.repartition(KEY).dropDuplicates([KEY, "event_ms"])
+    rows = rows.repartition(KEY)
 
     by_time = Window.partitionBy(KEY).orderBy("event_ms")
     upto = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     due = F.col("event_ms") <= watermark_ms
     gap = F.col("event_ms") - F.lag("event_ms").over(by_time)
-    starts = F.coalesce(gap > timeout_ms, F.lit(True))
-    rows = rows.select("*", due.alias("_due"), gap.alias("_gap"), starts.alias("_starts"))
-    rows = rows.withColumn("_piece", F.sum(F.col("_starts").cast("long")).over(upto))
+    rows = rows.withColumn("_gap", gap).where("_gap IS NULL OR _gap > 0")  # a repeated time counts once
+    starts = F.coalesce(F.col("_gap") > timeout_ms, F.lit(True))
+    rows = rows.select("*", due.alias("_due"), starts.alias("_starts")).select(
+        "*",
+        F.sum(F.col("_starts").cast("long")).over(upto).alias("_piece"),
+        F.lead("_starts").over(by_time).alias("_next_starts"),
+        F.coalesce(F.lead("_due").over(by_time), F.lit(False)).alias("_next_due"),
+    )
     inner = F.when(~F.col("_starts"), F.col("_gap"))
     piece = Window.partitionBy(KEY, "_piece").orderBy("event_ms")
     piece = piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.select(
-        KEY, "event_ms", "_open", "_due",
-        F.lead("_starts").over(by_time).alias("_next_starts"),
-        F.coalesce(F.lead("_due").over(by_time), F.lit(False)).alias("_next_due"),
+        KEY, "event_ms", "_open", "_due", "_next_starts", "_next_due",
         F.sum("events").over(piece).alias("events"),
         F.sum(F.col("total") + F.coalesce(inner, F.lit(0))).over(piece).alias("total"),
         F.sum(F.col("squares") + F.coalesce(square(inner), F.lit(0))).over(piece).cast("decimal(38,0)").alias("squares"),
@@ -230,6 +234,7 @@ def score_sessions_stream(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")  # streams turn it off
+        batch.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED_BYTES)
         score_batch(batch, batch_id, path, table, timeout_ms, out_of_orderness_ms, threshold)
 
     writer = narrow.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

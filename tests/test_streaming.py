@@ -1,6 +1,7 @@
 """Streams against their batch twins: order, lateness, closing, restart and routing."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -313,3 +314,14 @@ def test_failing_stream_restarts_from_its_checkpoint(spark):
     run_with_restarts(start, attempts=3, delay_seconds=0.1)
     assert len(failures) == 2
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(30))
+
+
+def test_repeated_times_need_no_aggregate(spark):
+    """They are found by the windows; only late events are aggregated."""
+    events = spark.createDataFrame([("a", 0), ("a", 0), ("a", 1000), ("a", 1000), ("b", 7)], "user_session string, event_ms long")
+    none = spark.createDataFrame([], stream.STATE_SCHEMA)
+    step = stream.advance_sessions(events, none, none, stream.NEVER, 5000, TABLE, TIMEOUT_MS)
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Aggregate\(keys=\[user_session#\d+L?, event_ms#", plan)
+    found = step.where("session_status = 'active'").select("user_session", "event_ms", "event_count", "interval_count")
+    assert sorted(map(tuple, found.collect())) == [("a", 0, 1, 0), ("a", 1000, 2, 1), ("b", 7, 1, 0)]
